@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
+    "pii_semicrf",
+    "secret_tokens",
     "hypergeometric_shards",
     "positional_index",
     "packing_dp",
