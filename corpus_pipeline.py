@@ -1,20 +1,52 @@
-"""The corpus pipeline: each stage reads what its predecessor kept."""
+"""The corpus pipeline: each stage reads what its predecessor kept.
+
+Toxic documents go, one document of each near-duplicate group stays, contaminated documents go,
+secrets are replaced in the texts, and what is left is packed into training sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from signalloom.llm import common, packing_dp, positional_index, secret_tokens, simhash_bktree, toxicity_ordinal
+
 
-from signalloom.llm import common, simhash_bktree
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model rejects go; it is fitted on the labelled documents of sf_dir."""
+    model = toxicity_ordinal.train(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
+    return toxicity_ordinal.without_toxic(docs, model)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return simhash_bktree.one_of_each(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark passages contaminate go."""
+    return positional_index.decontaminate(docs, common.benchmark(spark, sf_dir))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced; n_chars follows. All documents stay."""
+    return secret_tokens.redact(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    return packing_dp.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("packing", packing),
+]
 
-#: Trained classifiers and tokenizers decide; SQL can't express the stages.
+#: A trained classifier and a tokenizer decide; SQL can't express the stages.
 ORACLE_SQL = None
 
 

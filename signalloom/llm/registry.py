@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
+    "license_classifier",
     "language_viterbi",
     "context_hashing",
     "toxicity_ordinal",
