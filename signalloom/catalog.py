@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import works_queries
+from .plans import table_queries, works_queries
 
-_PARTS = (works_queries,)
+_PARTS = (works_queries, table_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,7 +3,8 @@
 All of them are counts per key and year, framed by RANGE windows over the year and joined back
 to the works by that key: a window never runs over works, so its partitions hold one row per
 year. ``is_history`` restricts what counts as history (a training set, say), while every work
-still gets its features. Works without the keys keep the defaults.
+still gets its features. Works without the keys keep the defaults. ``onto`` gets the columns
+in place of works: a chain of features then counts the works each time, not the chain so far.
 """
 
 from __future__ import annotations
@@ -13,19 +14,22 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import as_year, clip, log_ratio, share
 
-TRUE = F.lit(True)
+
+def history_rows(is_history: Column | None) -> Column:
+    """The condition for a row to count as history; all rows by default."""
+    return F.lit(True) if is_history is None else is_history
 
 
 def _years(works: DataFrame) -> DataFrame:
     return works.withColumn("pub_year", as_year(F.col("pub_year")))
 
 
-def yearly_counts(works: DataFrame, *keys: str, is_history: Column = TRUE) -> DataFrame:
+def yearly_counts(works: DataFrame, *keys: str, is_history: Column | None = None) -> DataFrame:
     """(keys, pub_year, n): works of history in each year; years with other works only have 0."""
     valid = F.col("pub_year").isNotNull()
     for k in keys:
         valid &= F.col(k).isNotNull()
-    return _years(works).where(valid).groupBy(*keys, "pub_year").agg(F.count_if(is_history).alias("n"))
+    return _years(works).where(valid).groupBy(*keys, "pub_year").agg(F.count_if(history_rows(is_history)).alias("n"))
 
 
 def topic_year_counts(works: DataFrame) -> DataFrame:
@@ -54,7 +58,7 @@ def _back(works: DataFrame, found: DataFrame, keys: list[str], columns: dict[str
     return joined.select(*(F.col(c) for c in works.columns), *(F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in columns.items()))
 
 
-def topic_dynamics(works: DataFrame, is_history: Column = TRUE) -> DataFrame:
+def topic_dynamics(works: DataFrame, is_history: Column | None = None, onto: DataFrame | None = None) -> DataFrame:
     """topic_historical_volume (three years), topic_publication_growth, topic_growth_acceleration,
     topic_age_years since the topic's first year, its own included."""
     works = _years(works)
@@ -71,18 +75,18 @@ def topic_dynamics(works: DataFrame, is_history: Column = TRUE) -> DataFrame:
         F.greatest(F.lit(0), F.col("pub_year") - first).cast("double").alias("topic_age_years"),
     )
     names = ("topic_historical_volume", "topic_publication_growth", "topic_growth_acceleration", "topic_age_years")
-    return _back(works, found, ["topic_id", "pub_year"], dict.fromkeys(names, 0.0))
+    return _back(works if onto is None else onto, found, ["topic_id", "pub_year"], dict.fromkeys(names, 0.0))
 
 
-def author_counts(works: DataFrame, is_history: Column = TRUE) -> DataFrame:
+def author_counts(works: DataFrame, is_history: Column | None = None) -> DataFrame:
     """(topic_id, pub_year, authors): distinct authors of history, 0 where a topic's works of a year have none."""
     grid = yearly_counts(works, "topic_id").select("topic_id", "pub_year")
-    each = _years(works).where(is_history).select("topic_id", "pub_year", F.explode("authors_ids").alias("author"))
+    each = _years(works).where(history_rows(is_history)).select("topic_id", "pub_year", F.explode("authors_ids").alias("author"))
     known = each.dropna().distinct().groupBy("topic_id", "pub_year").agg(F.count("*").alias("authors"))
     return grid.join(known, ["topic_id", "pub_year"], "left").select("topic_id", "pub_year", F.coalesce("authors", F.lit(0)).alias("authors"))
 
 
-def author_dynamics(works: DataFrame, is_history: Column = TRUE) -> DataFrame:
+def author_dynamics(works: DataFrame, is_history: Column | None = None, onto: DataFrame | None = None) -> DataFrame:
     """author_growth_rate, author_growth_acceleration, historical_author_count (the year before)."""
     works = _years(works)
     a1, a2, a3 = (_at("topic_id", k, "authors") for k in (1, 2, 3))
@@ -93,10 +97,10 @@ def author_dynamics(works: DataFrame, is_history: Column = TRUE) -> DataFrame:
         clip(log_ratio(a1, a2) - log_ratio(a2, a3)).alias("author_growth_acceleration"),
         a1.cast("double").alias("historical_author_count"),
     )
-    return _back(works, found, ["topic_id", "pub_year"], {"author_growth_rate": 0.0, "author_growth_acceleration": 0.0, "historical_author_count": 0.0})
+    return _back(works if onto is None else onto, found, ["topic_id", "pub_year"], {"author_growth_rate": 0.0, "author_growth_acceleration": 0.0, "historical_author_count": 0.0})
 
 
-def topic_domain(works: DataFrame, is_history: Column = TRUE) -> DataFrame:
+def topic_domain(works: DataFrame, is_history: Column | None = None, onto: DataFrame | None = None) -> DataFrame:
     """ppmi_domain_score, topic_domain_rarity, domain_history_count, topic_domain_age_years."""
     works = _years(works)
     pairs = yearly_counts(works, "topic_id", "domain_id", is_history=is_history)
@@ -120,10 +124,10 @@ def topic_domain(works: DataFrame, is_history: Column = TRUE) -> DataFrame:
         F.when(F.col("pair") > 0, F.greatest(F.lit(0), F.col("pub_year") - F.col("first"))).otherwise(0).cast("double").alias("topic_domain_age_years"),
     )
     names = ("ppmi_domain_score", "topic_domain_rarity", "domain_history_count", "topic_domain_age_years")
-    return _back(works, found, ["topic_id", "domain_id", "pub_year"], dict.fromkeys(names, 0.0))
+    return _back(works if onto is None else onto, found, ["topic_id", "domain_id", "pub_year"], dict.fromkeys(names, 0.0))
 
 
-def source_history(works: DataFrame, is_history: Column = TRUE) -> DataFrame:
+def source_history(works: DataFrame, is_history: Column | None = None, onto: DataFrame | None = None) -> DataFrame:
     """source_history_count, source_novelty, topic_source_diversity (distinct earlier sources,
     counted by the year in which each first appears)."""
     works = _years(works)
@@ -135,14 +139,14 @@ def source_history(works: DataFrame, is_history: Column = TRUE) -> DataFrame:
     found = past.join(seen, ["topic_id", "pub_year"]).select(
         "topic_id", "source_id", "pub_year", F.col("past").cast("double").alias("source_history_count"), (1 / F.log1p(F.col("past") + 1.0)).alias("source_novelty"), F.col("sources").cast("double").alias("topic_source_diversity")
     )
-    return _back(works, found, ["topic_id", "source_id", "pub_year"], {"source_history_count": 0.0, "source_novelty": 0.0, "topic_source_diversity": 0.0})
+    return _back(works if onto is None else onto, found, ["topic_id", "source_id", "pub_year"], {"source_history_count": 0.0, "source_novelty": 0.0, "topic_source_diversity": 0.0})
 
 
-def topic_local_volume(works: DataFrame, is_history: Column = TRUE) -> DataFrame:
+def topic_local_volume(works: DataFrame, is_history: Column | None = None, onto: DataFrame | None = None) -> DataFrame:
     """topic_local_volume: works of the topic in all earlier years."""
     works = _years(works)
     found = yearly_counts(works, "topic_id", is_history=is_history).select("topic_id", "pub_year", _before("n", "topic_id").cast("double").alias("topic_local_volume"))
-    return _back(works, found, ["topic_id", "pub_year"], {"topic_local_volume": 0.0})
+    return _back(works if onto is None else onto, found, ["topic_id", "pub_year"], {"topic_local_volume": 0.0})
 
 
 def year_shares(works: DataFrame, columns: dict[str, str]) -> DataFrame:

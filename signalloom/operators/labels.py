@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_year
-from .history import TRUE, yearly_counts
+from .history import yearly_counts
 
 #: Fixed values of the emergence label.
 WINDOW, SMOOTHING, QUANTILE, LEAST_FUTURE = 3, 5.0, 0.9, 3
@@ -17,7 +17,7 @@ WINDOW, SMOOTHING, QUANTILE, LEAST_FUTURE = 3, 5.0, 0.9, 3
 GROWTH, AUTHOR_GROWTH = 4.0, 2.5
 
 
-def topic_growth(works: DataFrame, is_history: Column = TRUE) -> DataFrame:
+def topic_growth(works: DataFrame, is_history: Column | None = None) -> DataFrame:
     """(topic_id, pub_year, n, future, growth): log2 of the smoothed rates of the three years
     after and before. Works of one topic and year share it."""
     counts = yearly_counts(works, "topic_id", is_history=is_history)

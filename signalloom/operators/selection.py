@@ -100,7 +100,7 @@ def diverse_top(rows: DataFrame, limit: int = 15, threshold: float = 0.78, pool:
         return pd.DataFrame({"doc_id": found["doc_id"].to_numpy(), "confidence": found["confidence"].to_numpy(), "diversity_max_similarity": most, "rank": np.arange(1, len(at) + 1)})
 
     kind = dict(rows.dtypes)["doc_id"]
-    return best.groupBy(F.lit(1)).applyInPandas(chosen, f"doc_id {kind}, confidence double, diversity_max_similarity double, rank int")
+    return best.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(chosen, f"doc_id {kind}, confidence double, diversity_max_similarity double, rank int")
 
 
 def relevant_diverse_top(rows: DataFrame, judge, query: str, limit: int = 15, threshold: float = 0.78, batch: int = 20, pool: int = 240) -> list:

@@ -8,28 +8,28 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import is_review
 from ..operators import citations, history, labels, model, selection, text_geometry
-from ..operators.history import TRUE
 
 #: The columns of a feature row, in order.
 META = ("doc_id", "pub_year", "topic_id", "domain_id", "source_id", "source_tier", "commercial_maturity_index")
 
 
-def build_features(works: DataFrame, is_history: Column = TRUE, vectors: DataFrame | None = None, label: bool = True) -> DataFrame:
+def build_features(works: DataFrame, is_history: Column | None = None, vectors: DataFrame | None = None, label: bool = True) -> DataFrame:
     """works with the topic, author, graph, source, reference and citation features; with
     ``vectors`` (doc_id, vector) those of the text; with ``label`` target_emergence.
 
-    Each step joins small tables of counts by key and year; only the text features meet vectors.
+    Each step counts the works by key and year and joins those small tables; only the text
+    features meet vectors. works is read several times: pass a table, or a persisted frame.
     """
-    found = history.topic_dynamics(works, is_history)
-    found = history.author_dynamics(found, is_history)
-    found = history.topic_domain(found, is_history)
-    found = history.source_history(found, is_history)
-    found = citations.citation_features(citations.reference_features(found))
+    found = citations.citation_features(citations.reference_features(works))
+    found = history.topic_dynamics(works, is_history, found)
+    found = history.author_dynamics(works, is_history, found)
+    found = history.topic_domain(works, is_history, found)
+    found = history.source_history(works, is_history, found)
     if vectors is not None:
         geometry = text_geometry.text_geometry(works.select("doc_id", "topic_id", "pub_year").join(vectors, "doc_id")).drop("topic_id", "pub_year")
         found = found.join(geometry, "doc_id", "left")
     else:
-        found = history.topic_local_volume(found, is_history)
+        found = history.topic_local_volume(works, is_history, found)
     if label:
         marked = labels.emergence_label(works.select("doc_id", "topic_id", "pub_year")).select("doc_id", "target_emergence")
         found = found.join(marked, "doc_id")

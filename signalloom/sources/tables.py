@@ -111,7 +111,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VECTORS_SQL = """
 vectors AS (
-  SELECT vec_id AS doc_id, cast(2017 + vec_id % 7 AS INTEGER) AS pub_year, label AS topic_id, list_transform(embedding, x -> cast(x AS DOUBLE)) AS vector
+  SELECT vec_id AS doc_id, cast(2017 + vec_id % 7 AS INTEGER) AS pub_year, label AS topic_id, list_transform(embedding, lambda x: cast(x AS DOUBLE)) AS vector
   FROM embeddings
 )
 """
