@@ -44,9 +44,11 @@ def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, words) for the items that have words; an item is one row, repeats count once."""
+    """(item_key, item_id, words) for the items that have words; repeats count once. The key, a
+    digest of id and words, keeps items without id apart."""
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    return arrow_map(rows, _item_batches, "item_id long, words array<string>").where("size(words) > 0").distinct()
+    found = arrow_map(rows, _item_batches, "item_id long, words array<string>").where("size(words) > 0").distinct()
+    return found.select(F.md5(F.concat_ws(" ", F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "words")).alias("item_key"), "item_id", "words")
 
 
 def _kept(ids: np.ndarray, shortest: np.ndarray) -> np.ndarray:
@@ -103,7 +105,7 @@ class PositionalIndex:
 
 
 def build_index(docs: DataFrame, items: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> PositionalIndex:
-    """Index docs; with ``items`` (item_id, words) only what an exact search for them can use."""
+    """Index docs; with ``items`` (from item_words) only what an exact search for them can use."""
     vocabulary, shortest = None, None
     if items is not None:
         need = items.select(F.explode("words").alias("term"), F.least(F.size("words"), F.lit(window)).alias("n")).groupBy("term").agg(F.min("n").alias("n"))
@@ -118,16 +120,16 @@ def build_index(docs: DataFrame, items: DataFrame | None = None, id_col: str = "
 
 
 def _seeds(index: PositionalIndex, items: DataFrame, window: int, rarest: int) -> DataFrame:
-    """(item_id, offset, term): the rarest terms of each window whose terms all have a list."""
-    each = items.select("item_id", F.posexplode("words").alias("offset", "term")).join(index.frequency, "term", "left")
+    """(item_key, offset, term): the rarest terms of each window whose terms all have a list."""
+    each = items.select("item_key", F.posexplode("words").alias("offset", "term")).join(index.frequency, "term", "left")
     term = F.struct(F.col("offset"), F.coalesce("occurrences", F.lit(0)).alias("n"), F.col("term"))
-    whole = each.groupBy("item_id").agg(F.array_sort(F.collect_list(term)).alias("w"))
+    whole = each.groupBy("item_key").agg(F.array_sort(F.collect_list(term)).alias("w"))
     size = f"least({int(window)}, size(w))"
     best = f"slice(array_sort(transform(filter(slice(w, s, {size}), x -> x.n > 0), x -> struct(x.n, x.offset, x.term))), 1, {int(rarest)})"
     # with one rarest term all terms must occur; with k of them a window may lack k - 1
     enough = f"size(filter(slice(w, s, {size}), x -> x.n = 0)) < {int(rarest)}"
     chosen = f"array_distinct(flatten(transform(filter(sequence(1, size(w) - {size} + 1), s -> {enough}), s -> {best})))"
-    return whole.select("item_id", F.explode(F.expr(chosen)).alias("x")).select("item_id", "x.offset", "x.term")
+    return whole.select("item_key", F.explode(F.expr(chosen)).alias("x")).select("item_key", "x.offset", "x.term")
 
 
 def _matched(lists: dict[str, set[int]], seq: list[str], shift: int, slop: int) -> np.ndarray:
@@ -178,12 +180,12 @@ def matches(index: PositionalIndex, items: DataFrame, window: int = WINDOW, slop
     seeds = _seeds(index, items, window, missing + 1)
     pairs = (
         index.lists.join(hint(seeds), "term")
-        .select("doc_id", "text_hash", "item_id", F.explode(F.expr("transform(positions, p -> p - offset)")).alias("shift"))
-        .groupBy("doc_id", "text_hash", "item_id")
+        .select("doc_id", "text_hash", "item_key", F.explode(F.expr("transform(positions, p -> p - offset)")).alias("shift"))
+        .groupBy("doc_id", "text_hash", "item_key")
         .agg(F.collect_set("shift").alias("shifts"))
     )
     own = index.rows.where("size(postings) > 0").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "postings").dropDuplicates(["d", "h"])
-    found = pairs.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).join(hint(items), "item_id")
+    found = pairs.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).join(hint(items), "item_key")
     schema = "doc_id long, text_hash long, item_id long, starts array<int>, hits array<int>"
     return arrow_map(found.select("doc_id", "text_hash", "item_id", "words", "shifts", "postings"), _match_batches(window, slop, missing), schema)
 
@@ -198,8 +200,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     A word is hit if it lies in an occurrence of ``window`` consecutive words of an item, or of
     a shorter item whole; a document is contaminated if ``share * n_hit >= n_words`` with a hit.
     Null or empty text has no words and an item without words no windows. Repeated rows each
-    return a row; rows that share a doc_id are told apart by their text. A null item_id is left
-    out of the list of items, its hits count. Empty tables give no rows or no hits.
+    return a row; rows that share a doc_id are told apart by their text. A null item_id is
+    left out of the list of items, its hits count. Empty tables give no rows or no hits.
     """
     seqs = materialise(item_words(items, item_id, item_text), "items")
     index = build_index(docs, seqs, id_col, text_col, window)
