@@ -130,6 +130,8 @@ def learn(pairs: Iterator[tuple[str, str]]) -> Model:
     for text, lang in pairs:
         words[lang].update(text.lower().split())
     languages = sorted(words)
+    if not languages:
+        return Model([], {}, {}, np.zeros((1, 0)))
     counts: dict[str, np.ndarray] = {}
     written: dict[str, np.ndarray] = {}
     for j, lang in enumerate(languages):
