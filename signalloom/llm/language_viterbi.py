@@ -154,9 +154,11 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` rows with a language that are not held out (doc_id, text, lang)."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("doc_id", F.lit(10)).alias("order"), "text", "lang")
-    chosen = rows.orderBy("order", "doc_id", F.xxhash64("text")).limit(sample)
-    return learn((r.text, r.lang) for r in chosen.toLocalIterator())
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("hash"), "text", "lang")
+    # the order is decided without the texts; only those of the sample move
+    chosen = rows.select("doc_id", "hash").distinct().orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id", "hash").limit(sample)
+    found = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.min(F.struct("lang", "text")).alias("x")).orderBy("doc_id", "hash")
+    return learn((r.x.text, r.x.lang) for r in found.toLocalIterator())
 
 
 def summaries(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
