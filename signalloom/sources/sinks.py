@@ -37,6 +37,18 @@ def write_report(rows: DataFrame, path: str, kind: str = "csv") -> None:
     out.option("header", True).csv(path) if kind == "csv" else out.json(path)
 
 
+def write_next(rows: DataFrame, folder: str, name: str = "output") -> str:
+    """JSON in the first free folder output1, output2, ... of ``folder``; returns its path."""
+    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+    n = 1
+    while True:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}{n}")
+        if not path.getFileSystem(conf).exists(path):
+            rows.write.json(f"{folder}/{name}{n}")
+            return f"{folder}/{name}{n}"
+        n += 1
+
+
 def write_versioned(rows: DataFrame, path: str, version: str = VERSION) -> None:
     rows.withColumns({"version": F.lit(version), "generated_at": F.current_timestamp()}).write.mode("overwrite").json(path)
 
