@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 POINTS = 1000
 
 
-def _cumulative(rows: DataFrame, order: str, sums: list[str]) -> DataFrame:
+def cumulative(rows: DataFrame, order: str, sums: list[str]) -> DataFrame:
     """rows with ``cum_<x>``, the running sum in ascending order, rows of equal order being one.
 
     Range partitions in order: totals of the partitions before (one row per partition) plus the
@@ -35,7 +35,7 @@ def score_counts(rows: DataFrame, y: str = "y", score: str = "score") -> DataFra
 def curve(rows: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """(score, pos, neg, tp, fp, p, n): what a threshold at each distinct score takes in."""
     counts = score_counts(rows, y, score)
-    running = _cumulative(counts.withColumn("down", -F.col("score")), "down", ["pos", "neg"])
+    running = cumulative(counts.withColumn("down", -F.col("score")), "down", ["pos", "neg"])
     totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return running.crossJoin(F.broadcast(totals)).select("score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), "p", "n")
 
@@ -72,7 +72,7 @@ def threshold_table(rows: DataFrame, y: str = "y", score: str = "score", points:
     n = c.count()
     table = c.where((F.col("p") > 0) & (F.col("n") > 0))
     if n > points:
-        ranked = _cumulative(table.withColumn("one", F.lit(1)), "score", ["one"]).withColumn("i", F.col("cum_one") - 1)
+        ranked = cumulative(table.withColumn("one", F.lit(1)), "score", ["one"]).withColumn("i", F.col("cum_one") - 1)
         chosen = F.sequence(F.lit(0), F.lit(points - 1))
         # i is one of floor(k (n - 1) / (points - 1))
         k = F.ceil(F.col("i") * (points - 1) / (n - 1)).cast("long")

@@ -7,7 +7,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import _cumulative
+from .metrics import cumulative
 
 
 def validate_corpus(works: DataFrame, last_labelled: int, expected: int | None = None) -> DataFrame:
@@ -72,14 +72,14 @@ def ks_statistic(rows: DataFrame, column: str, y: str) -> DataFrame:
     """One row ks: the greatest distance between the classes' distribution functions."""
     counts = rows.where(F.col(column).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
     totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    running = _cumulative(counts, "x", ["pos", "neg"]).crossJoin(F.broadcast(totals))
+    running = cumulative(counts, "x", ["pos", "neg"]).crossJoin(F.broadcast(totals))
     return running.agg(F.max(F.abs(F.try_divide("cum_pos", "p") - F.try_divide("cum_neg", "n"))).alias("ks"))
 
 
 def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
     """rows with the average rank of the column, ties sharing theirs."""
     counts = rows.groupBy(column).agg(F.count("*").alias("__c"))
-    ranked = _cumulative(counts, column, ["__c"]).select(column, (F.col("cum___c") - (F.col("__c") - 1) / 2).alias(name))
+    ranked = cumulative(counts, column, ["__c"]).select(column, (F.col("cum___c") - (F.col("__c") - 1) / 2).alias(name))
     return rows.join(ranked, column)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import normal_space
+from .metrics import cumulative
 
 
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -38,9 +39,19 @@ def top_per_group(rows: DataFrame, group: str, score: Column, tie: str, k: int)
 
 
 def keep_top_share(rows: DataFrame, score: str, tie: str, remove: float = 0.15) -> DataFrame:
-    """The best floor(n * (1 - remove)) rows, one at least; a sort and a limit, no global window."""
-    n = rows.count()
-    return rows.orderBy(F.col(score).desc(), tie).limit(max(1, int(n * (1 - remove))))
+    """The best floor(n * (1 - remove)) rows, one at least; null scores come last.
+
+    The score at which they end follows from counts by score, so most rows pass a plain filter;
+    only those of that very score are ordered by the tie."""
+    value = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    counts = rows.groupBy((-value).alias("down")).agg(F.count("*").alias("n")).persist()
+    keep = max(1, int((counts.agg(F.sum("n")).first()[0] or 0) * (1 - remove)))
+    edge = cumulative(counts, "down", ["n"]).where(F.col("cum_n") >= keep).orderBy("down").limit(1).first()
+    counts.unpersist()
+    if edge is None:
+        return rows.limit(0)
+    above = rows.where(value > -edge.down)
+    return above.unionByName(rows.where(value == -edge.down).orderBy(tie).limit(keep - (edge.cum_n - edge.n)))
 
 
 def relevance_floor(rows: DataFrame, score: str, seed: Column) -> DataFrame:
