@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, documents, materialise, utf8
@@ -220,13 +220,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         firsts.join(roots, "fp", "left")
         .groupBy(F.coalesce("root", "fp").alias("root"))
         .agg(F.min("first").alias("first"))
-        .select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_hash").alias("__kept_hash"))
+        .select(*_key(F.col("first.doc_id"), F.col("first.text_hash")))
     )
-    names = docs.columns
-    hashed = docs.withColumn("__hash", F.xxhash64(text_col))
-    same = hashed[id_col].cast("long").eqNullSafe(kept["__kept_id"]) & (hashed["__hash"] == kept["__kept_hash"])
-    left = hashed.join(kept, same, "left_semi")
-    return left.groupBy(id_col, "__hash").agg(*(F.first(c).alias(c) for c in names if c != id_col)).select(*names)
+    # the join and the removal of equal rows share their keys, so the texts are exchanged once
+    names, key = docs.columns, ["__id", "__none", "__hash"]
+    left = docs.select("*", *_key(F.col(id_col).cast("long"), F.xxhash64(text_col))).join(kept, key, "left_semi")
+    return left.groupBy(*key).agg(*(F.first(c).alias(c) for c in names)).select(*names)
+
+
+def _key(doc_id: Column, text_hash: Column) -> list[Column]:
+    """A row's identity, without nulls."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("__id"), doc_id.isNull().alias("__none"), text_hash.alias("__hash")]
 
 
 def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
