@@ -224,8 +224,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the contaminated ones; columns and repeats stay as they are."""
+    """docs without the contaminated ones; columns and repeats stay as they are. The keys of those
+    are written first: where they are few, their known size lets the planner broadcast them and
+    leave the texts in place."""
     bad = contamination(docs, items, id_col, text_col, **options).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct()
+    bad = materialise(bad.coalesce(8), "contaminated")
     same = docs[id_col].cast("long").eqNullSafe(bad["__bad_id"]) & (F.xxhash64(docs[text_col]) == bad["__bad_hash"])
     return docs.join(bad, same, "left_anti")
 
