@@ -173,13 +173,18 @@ def train(docs: DataFrame, labelled: DataFrame, sample: tuple[int, int] = SAMPLE
         chosen = part if chosen is None else chosen.union(part)
     if chosen is None:
         return Model({}, set(), np.zeros(1), np.full(GRADES - 1, 20.0) + np.arange(GRADES - 1))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id", F.xxhash64("text"))
-    texts, toxic, have = [], [], Counter()
-    found = rows.where("toxic = 1").limit(sample[1]).union(rows.where("toxic = 0").limit(sample[0]))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").join(F.broadcast(chosen), "doc_id")
+    # the order is decided without the texts; only those of the sample move
+    keys = rows.select("doc_id", "hash", "toxic").distinct()
+    picked = None
+    for t, n in enumerate(sample):
+        part = keys.where(F.col("toxic") == t).orderBy(order, "doc_id", "hash").limit(n).drop("toxic")
+        picked = part if picked is None else picked.union(part)
+    found = rows.join(F.broadcast(picked), ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.min(F.struct("toxic", "text")).alias("x")).orderBy("doc_id", "hash")
+    texts, toxic = [], []
     for r in found.toLocalIterator():
-        have[r.toxic] += 1
-        texts.append((r.text or "").encode())
-        toxic.append(r.toxic)
+        texts.append((r.x.text or "").encode())
+        toxic.append(r.x.toxic)
     return fit(texts, toxic, min(max(counts.get(1, 0) / total, 0.01), 0.99))
 
 
