@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -57,15 +58,21 @@ class Encoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-        self.ends = np.zeros(max(self.exact.get_vocab_size(), max(ranks.values()) + 1), bool)
+        self.path = public_tokenizers.path(f"{vocabulary}.json")
+        self.ends = np.zeros(max(ranks.values()) + 2, bool)  # the special token follows the ranks
         self.ends[[i for t, i in ranks.items() if t[-1:] in b".!?\n"]] = True
 
+    @cached_property
+    def exact(self):
+        """Loaded only where a text needs it; it takes some 30 MB of each worker."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> np.ndarray:
         if _UNUSUAL.search(text) or _SPECIAL in text:
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
