@@ -31,7 +31,7 @@ EVIDENCE, LEAST_TEXTS, FEATURES = 19.0, 3, 4096
 PREFIXES = (4, 5, 6)
 #: A text is rejected from this probability of any toxicity.
 REJECT = 0.5
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 150_000
 
 _SPACED = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -134,7 +134,12 @@ def fit(texts: list[bytes], toxic: list[int], prior: float) -> Model:
     texts, toxic = distinct(texts, toxic)
     y = np.array(toxic, np.int64)
     n1, n0 = max(int(y.sum()), 1), max(int(len(y) - y.sum()), 1)
-    seen = Counter(f for text, t in zip(texts, toxic) if t for f in {f for w in set(words(text)) for f in of_word(w)})
+    # words first: a feature of too few words' texts needs no count of its own
+    bound: Counter = Counter()
+    for w, n in Counter(w for text, t in zip(texts, toxic) if t for w in set(words(text))).items():
+        bound.update(dict.fromkeys(of_word(w), n))
+    bound = Counter({f: n for f, n in bound.items() if n >= LEAST_TEXTS})
+    seen = Counter(f for text, t in zip(texts, toxic) if t for f in {f for w in set(words(text)) for f in of_word(w) if f in bound})
     candidates = {f: n for f, n in seen.items() if n >= LEAST_TEXTS}
     clean = Counter(f for text, t in zip(texts, toxic) if not t for f in {f for w in set(words(text)) for f in of_word(w) if f in candidates})
     evidence = sorted(((ratio(a, n1, clean[f], n0), f) for f, a in candidates.items()), key=lambda x: (-x[0], x[1]))
