@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates, records, texts
@@ -297,12 +297,20 @@ WITH w AS (SELECT doc_id, string_split(text[1:300], ' ') AS t, doc_id % 3 AS k F
 SELECT doc_id, array_to_string(t, ' ') AS lenient, CASE WHEN k <> 1 THEN array_to_string(t, ' ') END AS strict FROM w
 """)
 def abstract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverted indexes of texts' beginnings, some with a gap, and the texts rebuilt from them."""
-    docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.split(F.substring("text", 1, 300), " ").alias("t"), (F.col("doc_id") % 3 == 1).cast("int").alias("gap"))
-    words = F.array_distinct("t")
-    places = F.transform(words, lambda w: F.filter(F.transform("t", lambda x, i: F.when(x == w, i + F.col("gap") * 2).otherwise(-1)), lambda i: i >= 0))
-    index = F.map_from_arrays(words, places)
-    return docs.select("doc_id", texts.lenient_abstract(index).alias("lenient"), texts.strict_abstract(index).alias("strict"))
+    """Inverted indexes of texts' beginnings, as its SQL has them, some with a gap, and the texts rebuilt from them."""
+    return _rebuilt(spark, sf_dir, F.substring("text", 1, 300))
+
+
+@query("SELECT doc_id, text AS lenient, CASE WHEN doc_id % 3 <> 1 THEN text END AS strict FROM documents")
+def abstract_rebuild_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the whole texts."""
+    return _rebuilt(spark, sf_dir, F.col("text"))
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.split(text, " ").alias("t"), F.when(F.col("doc_id") % 3 == 1, 2).otherwise(0).alias("gap"))
+    indexed = docs.select("doc_id", texts.inverted_index(F.col("t"), F.col("gap")).alias("index"))
+    return indexed.select("doc_id", texts.lenient_abstract(F.col("index")).alias("lenient"), texts.strict_abstract(F.col("index")).alias("strict"))
 
 
 @query("""

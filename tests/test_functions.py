@@ -1,7 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from signalloom.functions import numbers, predicates, records, texts
+from signalloom.plans import table_queries
+from signalloom.sources import tables
 
 
 def one(spark, schema, row, column):
@@ -15,6 +19,23 @@ def test_abstracts(spark, index, strict, lenient):
     assert one(spark, schema, (index,), texts.lenient_abstract(F.col("i"))) == lenient
 
 
+def test_inverted_index_of_a_long_text(spark):
+    rng = random.Random(5)
+    words = [rng.choice(["a", "of", "", "é"] + [f"w{k}" for k in range(9000)]) for _ in range(20_000)] + ["last"]
+    plain = {}
+    for i, w in enumerate(words):
+        plain.setdefault(w, []).append(i + 2)
+    assert one(spark, "x array<string>", (words,), texts.inverted_index(F.col("x"), 2)) == plain
+    assert one(spark, "x array<string>", (words,), texts.strict_abstract(texts.inverted_index(F.col("x")))) == " ".join(words)
+    assert one(spark, "x array<string>", (None,), texts.inverted_index(F.col("x"))) is None
+
+
+def test_abstract_rebuild_reads_whole_texts(spark, sf_dir):
+    rows = table_queries.abstract_rebuild_whole(spark, sf_dir).join(tables.table(spark, sf_dir, "documents"), "doc_id")
+    assert rows.where(F.char_length("text") > 300).count() > 0
+    assert rows.where((F.col("lenient") != F.col("text")) | ((F.col("doc_id") % 3 != 1) & (F.col("strict") != F.col("text")))).count() == 0
+
+
 @pytest.mark.parametrize("x, expected", [("https://x.org/W1", "W1"), ("W1", "W1"), ("", None), (None, None)])
 def test_short_id(spark, x, expected):
     assert one(spark, "x string", (x,), texts.short_id(F.col("x"))) == expected
