@@ -1,7 +1,8 @@
 """Licence paragraphs: a trained n-gram classifier, confirmed by comparison with templates.
 
-A paragraph (a line) with one of the cue words is scored by multinomial logistic regression over
-its distinct word 1- to 3-grams, with a class for licences and other text that no family fits.
+A line with one of the cue words, and windows over several lines of a paragraph around each cue
+word, are scored by multinomial logistic regression over their distinct word 1- to 3-grams, with a
+class for licences and other text that no family fits.
 Probabilities are calibrated by a temperature on held-out examples. A family counts as found if
 it is the likeliest, likely enough, and one of its templates is contained in the paragraph to a
 good part. The model is trained once on the driver from the templates below, varied with a fixed
@@ -96,6 +97,10 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text))
 
 
+#: Words on each side of a cue word in a window: no template is longer.
+REACH = max(len(tokens(t)) for ts in TEMPLATES.values() for t in ts)
+
+
 def grams(seq: list[str], least: int = 1) -> set[str]:
     return {" ".join(seq[i : i + n]) for n in range(least, GRAMS + 1) for i in range(len(seq) - n + 1)}
 
@@ -189,13 +194,40 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.where("size(w) > 0").select("doc_id", "text_hash", "at", F.explode(F.array_distinct(F.expr(f"concat({', '.join(each)})"))).alias("gram"))
 
 
-def license_paragraphs(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, at, family, p, contained) for each candidate line: its number from 0,
-    the likeliest class, its probability, and the best share of the family's templates found."""
-    model = model or trained()
-    spark, k = docs.sparkSession, len(model.classes)
-    line = ["doc_id", "text_hash", "at"]
-    found = _candidates(docs, id_col, text_col)
+def _wrapped_candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, at, cue, first, last, gram, broken): the distinct n-grams of word windows over
+    several lines of a paragraph, around each cue word; broken ones lie across a line's end.
+
+    ``at`` is the paragraph's number, the others are places in it. A window reaches as far from
+    the cue word as the longest template, or to a line's start or end that is nearer: so the
+    whole of any template with the cue word in it is in one.
+    """
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    pairs = [c.split(" ") for c in CUES if " " in c]
+    cue = "|".join(re.escape(c).replace("\\ ", "[^a-z0-9]+") for c in CUES)
+    text = F.translate(whole_text(text_col), upper, lower)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.regexp_replace(text, "\r\n?", "\n").alias("text")).where(F.col("text").contains("\n") & F.col("text").rlike(cue))
+    paragraphs = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", r"\n[^\S\n]*(?:\n[^\S\n]*)+")).alias("at", "x")).where(F.col("x").contains("\n") & F.col("x").rlike(cue))
+    words = paragraphs.select("doc_id", "text_hash", "at", F.expr("flatten(transform(split(x, '\\n'), (y, l) -> transform(regexp_extract_all(y, '[a-z0-9]+', 0), w -> struct(w, l))))").alias("p")).where("size(p) > 0")
+    alone = "|".join(c for c in CUES if " " not in c)
+    both = " or ".join(f"(endswith(p[i].w, '{x}') and i + 1 < size(p) and startswith(p[least(i + 1, size(p) - 1)].w, '{y}'))" for x, y in pairs)
+    cues = words.select("doc_id", "text_hash", "at", "p", F.expr(f"filter(sequence(0, size(p) - 1), i -> p[i].w rlike '{alone}' or {both})").alias("cues"))
+    # only the window's words go with each cue word, not the paragraph's
+    around = cues.select("doc_id", "text_hash", "at", F.explode(F.expr(f"transform(cues, c -> struct(c as cue, greatest(c - {REACH}, 0) as low, transform(sequence(greatest(c - {REACH}, 0), least(c + {REACH}, size(p) - 1)), i -> p[i]) as p))")).alias("v")).select("doc_id", "text_hash", "at", "v.*")
+    ends = around.where("p[0].l < p[size(p) - 1].l").select(
+        "*", F.expr("filter(sequence(0, cue - low), i -> i = 0 or p[i].l <> p[greatest(i - 1, 0)].l)").alias("starts"), F.expr("filter(sequence(cue - low, size(p) - 1), i -> i = size(p) - 1 or p[i].l <> p[least(i + 1, size(p) - 1)].l)").alias("stops")
+    )
+    windows = ends.select("doc_id", "text_hash", "at", "cue", "low", "p", F.explode("starts").alias("a"), "stops").select("*", F.explode("stops").alias("b")).where("p[a].l < p[b].l")
+    cut = windows.select("doc_id", "text_hash", "at", "cue", F.expr("low + a").alias("first"), F.expr("low + b").alias("last"), F.expr("slice(p, a + 1, b - a + 1)").alias("p")).dropDuplicates(["doc_id", "text_hash", "at", "cue", "first", "last"])
+    each = [f"transform(filter(sequence(1, size(p)), i -> i <= size(p) - {n - 1}), i -> struct(array_join(transform(slice(p, i, {n}), x -> x.w), ' ') as gram, p[i - 1].l < p[i + {n - 2}].l as broken))" for n in range(1, GRAMS + 1)]
+    grams_of = cut.select("doc_id", "text_hash", "at", "cue", "first", "last", F.explode(F.array_distinct(F.expr(f"concat({', '.join(each)})"))).alias("g")).select("doc_id", "text_hash", "at", "cue", "first", "last", "g.*")
+    return grams_of.groupBy("doc_id", "text_hash", "at", "cue", "first", "last", "gram").agg(F.bool_and("broken").alias("broken"))
+
+
+def _scored(found: DataFrame, line: list[str], model: Model) -> DataFrame:
+    """(*line, family, p, contained, across) of candidates' n-grams: the likeliest class, its
+    probability, the best share of the family's templates found, and of those with a broken n-gram."""
+    spark, k = found.sparkSession, len(model.classes)
     weights = _literal(spark, [{"gram": g, "w": w} for g, w in model.weights.items()], "gram: string, w: array<double>")
     templates = [(f, i, template_grams(t)) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]
     index: dict[str, list] = {}
@@ -205,27 +237,51 @@ def license_paragraphs(docs: DataFrame, model: Model | None = None, id_col: str
     index_rows = _literal(spark, [{"gram": g, "t": t} for g, t in index.items()], "gram: string, t: array<struct<template: int, family: string, size: int>>")
 
     known = found.join(F.broadcast(weights), "gram", "left").join(F.broadcast(index_rows), "gram", "left")
-    sums = known.groupBy(*line).agg(*(F.coalesce(F.sum(F.col("w")[j]), F.lit(0.0)).alias(f"s{j}") for j in range(k)), F.flatten(F.collect_list("t")).alias("t"))
+    sums = known.groupBy(*line).agg(*(F.coalesce(F.sum(F.col("w")[j]), F.lit(0.0)).alias(f"s{j}") for j in range(k)), F.flatten(F.collect_list(F.expr("transform(t, x -> struct(x.template, x.family, x.size, broken))"))).alias("t"))
     z = F.array(*((F.col(f"s{j}") + model.bias[j]) / model.temperature for j in range(k)))
     scored = sums.select(*line, "t", z.alias("z")).withColumn("e", F.expr("transform(z, x -> exp(x - array_max(z)))"))
     likely = scored.select(*line, "t", F.expr("array_position(z, array_max(z)) - 1").cast("int").alias("best"), F.expr("1 / aggregate(e, 0D, (a, x) -> a + x)").alias("p"))
     named = likely.withColumn("family", F.element_at(F.array(*map(F.lit, model.classes)), F.col("best") + 1)).withColumn("own", F.expr("filter(t, x -> x.family = family)"))
-    shares = "transform(array_distinct(transform(own, x -> x.template)), n -> size(filter(own, x -> x.template = n)) / element_at(filter(own, x -> x.template = n), 1).size)"
-    return named.select(*line, "family", F.round("p", 6).alias("p"), F.round(F.coalesce(F.array_max(F.expr(shares)), F.lit(0.0)), 6).alias("contained"))
+    shares = "transform(array_distinct(transform({0}, x -> x.template)), n -> size(filter(own, x -> x.template = n)) / element_at(filter(own, x -> x.template = n), 1).size)"
+    best_share = lambda of: F.round(F.coalesce(F.array_max(F.expr(shares.format(of))), F.lit(0.0)), 6)
+    return named.select(*line, "family", F.round("p", 6).alias("p"), best_share("own").alias("contained"), best_share("filter(own, x -> x.broken)").alias("across"))
+
+
+def license_paragraphs(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, at, family, p, contained) for each candidate line: its number from 0,
+    the likeliest class, its probability, and the best share of the family's templates found."""
+    found = _candidates(docs, id_col, text_col).withColumn("broken", F.lit(False))
+    return _scored(found, ["doc_id", "text_hash", "at"], model or trained()).drop("across")
+
+
+def wrapped_notices(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, at, cue, family, p): a confirmed notice over several lines for each cue word
+    that has one, by the widest of its windows that are confirmed with an n-gram across a line's end."""
+    key = ["doc_id", "text_hash", "at", "cue"]
+    scored = _scored(_wrapped_candidates(docs, id_col, text_col), [*key, "first", "last"], model or trained())
+    sure = scored.where((F.col("family") != UNKNOWN) & (F.col("p") >= LIKELY) & (F.col("across") >= CONTAINED))
+    widest = F.max(F.struct(F.expr("last - first").alias("width"), "across", "p", "family"))
+    return sure.groupBy(*key).agg(widest.alias("x")).select(*key, "x.family", "x.p")
 
 
 def licenses(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_candidates, n_licenses, licenses, p.
 
-    n_candidates counts lines with a cue word, n_licenses those whose family is confirmed;
-    licenses are the families, sorted and comma-joined, p the best probability (0 if none).
+    n_candidates counts lines with a cue word, n_licenses those whose family is confirmed; a
+    family that only notices wrapped over lines confirm counts once in both. licenses are the
+    families, sorted and comma-joined, p the best probability (0 if none).
     Null and empty texts have none. Repeated rows each return a row; rows of one doc_id are told
     apart by their text; other columns are ignored; an empty table gives no rows.
     """
-    lines = license_paragraphs(docs, model, id_col, text_col)
+    model = model or trained()
     sure = (F.col("family") != UNKNOWN) & (F.col("p") >= LIKELY) & (F.col("contained") >= CONTAINED)
-    per = lines.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(
-        F.count("*").alias("n"), F.count_if(sure).alias("k"), F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("family")))), ",").alias("f"), F.max(F.when(sure, F.col("p"))).alias("p")
+    doc = ["doc_id", "text_hash"]
+    lines = license_paragraphs(docs, model, id_col, text_col).select(*doc, F.when(sure, F.col("family")).alias("family"), F.when(sure, F.col("p")).alias("p"), F.lit(1).alias("line"))
+    wrapped = wrapped_notices(docs, model, id_col, text_col).select(*doc, "family", "p", F.lit(0).alias("line"))
+    # by family first, null for lines without one: wrapped notices count where no line has it
+    by_family = lines.union(wrapped).groupBy(*doc, "family").agg(F.greatest(F.sum("line"), F.lit(1)).alias("n"), F.max("p").alias("p"))
+    per = by_family.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("family").isNotNull(), F.col("n")).otherwise(0)).alias("k"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("f"), F.max("p").alias("p")
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"))
     both = rows.join(per, rows.doc_id.eqNullSafe(per.d) & (rows.hash == per.h), "left")

@@ -112,6 +112,20 @@ def test_license_accuracy():
     assert not math.isnan(model.temperature)
 
 
+def test_wrapped_licenses(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    bsd = " * Redistribution and use in source and binary forms, with or\r\n * without modification, are permitted provided that the following\r\n * conditions are met:"
+    lgpl = "This library is free software; you can use it under the terms\nof the GNU Lesser General Public\nLicense as published by the Free Software\nFoundation"
+    domain = "This is free and unencumbered software released into the public\ndomain."
+    narrow = "Permission is\nhereby granted,\nfree of charge,\nto any person\nobtaining a copy\nof this software\nand associated\ndocumentation\nfiles"
+    prose = "It was a long day and the harbour lay still under a grey sky while boats went out\n" * 3
+    texts = [mpl, bsd, lgpl, domain, narrow, prose + mpl + "\n" + prose, "Released under the MIT License.\n" + mpl, prose + "\n" + bsd.replace("\r", "") + "\n\n" + prose, mpl.replace("\n", "\n\n"), prose + "She had a licence\nfor the boat."]
+    got = {r.doc_id: (r.n_licenses, r.licenses) for r in lic.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = ["MPL", "BSD", "LGPL", "public-domain", "MIT", "MPL", "MIT,MPL", "BSD", "", ""]
+    assert [got[i][1] for i in range(len(texts))] == want
+    assert [got[i][0] for i in range(len(texts))] == [len(x.split(",")) if x else 0 for x in want]
+
+
 def test_license_rows(spark, odd_docs, no_docs):
     got = lic.licenses(odd_docs).collect()
     assert len(got) == 9 and {(r.n_candidates, r.n_licenses, r.licenses, r.p) for r in got} == {(0, 0, "", 0.0)}
