@@ -34,6 +34,7 @@ _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Words of letters, at most capitalised, or whole numbers, joined by signs.
 _IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]++|(?<![A-Za-z])[0-9]++|[+/_=-])++")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Characters per token below which a run is taken for random. Random letters and digits give about 1.5.
 LIMIT = 2.1
@@ -47,11 +48,18 @@ def base_secrets(text: str) -> list[Span]:
     return found
 
 
-def known_form(run: str) -> bool:
-    """A digest, a UUID, or an identifier."""
+def known_form(run: str, limit: float = LIMIT, vocabulary: str = VOCABULARY) -> bool:
+    """A digest, a UUID, a run without letters, or an identifier: words and whole numbers, where the
+    words take few tokens each by itself."""
     if len(run) in DIGEST_DIGITS and _DIGEST.fullmatch(run) or _UUID.fullmatch(run):
         return True
-    return not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or bool(_IDENTIFIER.fullmatch(run))
+    words = _WORD.findall(run)
+    if not words:
+        return True
+    if not _IDENTIFIER.fullmatch(run):
+        return False
+    encode = encoder(vocabulary).fast.encode_ordinary
+    return sum(map(len, words)) >= limit * sum(len(encode(w)) for w in words)
 
 
 def random_strings(text: str, base: list[Span], limit: float = LIMIT, vocabulary: str = VOCABULARY) -> list[Span]:
@@ -60,7 +68,7 @@ def random_strings(text: str, base: list[Span], limit: float = LIMIT, vocabulary
         run = m.group().strip("=-_/+")
         a = m.start() + m.group().index(run) if run else m.start()
         span = (a, a + len(run), "random")
-        if len(run) < 20 or known_form(run) or covered.overlaps(span):
+        if len(run) < 20 or known_form(run, limit, vocabulary) or covered.overlaps(span):
             continue
         if len(run) < limit * len(encoder(vocabulary).fast.encode_ordinary(run)):
             found.append(span)

@@ -105,3 +105,15 @@ def test_digests(spark):
     r = sec.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert r.spans == "access:2:18,assign:19:37,hex:39:71" and r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
     assert sec.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == "é [SECRET] [SECRET]' [SECRET]"
+
+
+@pytest.mark.parametrize("run", ["kJhQzXwVbNtRpLmGfDcYsKqZ", "qzxjvkwptbhgmfdcqzrwxkjv", "QZXJVKWPTBHGMFDCQZRWXKJV", "kJhQzX_wVbNtR_pLmGfD-42-cYsKqZ"])
+def test_random_letters_are_found(spark, run):
+    text = f"the key {run} was sent"
+    assert sec.random_strings(text, []) == [(8, 8 + len(run), "random")]
+    assert sec.redact(spark.createDataFrame([(text,)], "text string")).first().text == "the key [SECRET] was sent"
+
+
+@pytest.mark.parametrize("run", ["getUserNameByIdentifier", "some_long_snake_case_name", "MAX_CONNECTION_POOL_SIZE_LIMIT", "internationalization-and-localization", "test_2024_01_02_run_12_of_300", "Donaudampfschifffahrtsgesellschaft", "2024-01-02-12-30-55-1234"])
+def test_identifiers_stay(run):
+    assert sec.random_strings(f"the name {run} was sent", []) == []
