@@ -11,6 +11,7 @@ model is learned from a bounded sample of the labelled documents that are not he
 
 from __future__ import annotations
 
+import json
 import math
 from bisect import bisect_right
 from collections import Counter, defaultdict
@@ -18,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, documents, values
 
 FOLDS = 5
-#: Documents that the model is learned from at most, chosen by a hash of doc_id.
+#: Documents that the model is learned from at most, dealt evenly to languages and chosen by a hash.
 SAMPLE = 6000
 #: Trigrams kept, by count.
 TRIGRAMS = 60_000
@@ -152,11 +153,33 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == 0, F.lit(False))
 
 
+def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """Rows by language: an even share of the sample, what small languages leave going to the others,
+    and one at least."""
+    out, left = {}, sample
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(left // (len(counts) - k), 1))
+        left -= out[lang]
+    return out
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` rows with a language that are not held out (doc_id, text, lang)."""
+    """Learn from at most ``sample`` rows with a language that are not held out (doc_id, text, lang),
+    or one for each language if there are more of those. The rows are dealt evenly to languages."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("hash"), "text", "lang")
     # the order is decided without the texts; only those of the sample move
-    chosen = rows.select("doc_id", "hash").distinct().orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id", "hash").limit(sample)
+    keys = rows.groupBy("doc_id", "hash").agg(F.min("lang").alias("lang"))
+    counts = {r.lang: r["count"] for r in keys.groupBy("lang").count().toLocalIterator()}
+    if not counts:
+        return learn(iter(()))
+    takes = quotas(counts, sample)
+    # a uniform hash leaves few more rows than are taken, so that ranking them is a small step
+    place = F.pmod(F.xxhash64("doc_id", "hash", F.lit(10)), F.lit(1 << 30)) / (1 << 30)
+    bounds = [{"lang": x, "take": n, "below": min(1.0, (n + 6 * math.sqrt(n) + 20) / counts[x])} for x, n in takes.items()]
+    limits = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(bounds)), "array<struct<lang: string, take: int, below: double>>")))
+    few = keys.join(F.broadcast(limits), "lang").withColumn("place", place).where(F.col("place") < F.col("below"))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "hash")))
+    chosen = ranked.where(F.col("rank") <= F.col("take")).select("doc_id", "hash")
     found = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.min(F.struct("lang", "text")).alias("x")).orderBy("doc_id", "hash")
     return learn((r.x.text, r.x.lang) for r in found.toLocalIterator())
 

@@ -82,6 +82,16 @@ def test_held_out_languages(spark, odd_docs, no_docs):
     assert lang.predict(odd_docs, lang.train(no_docs)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    rare = [f"x{k}" for k in range(8)]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % lang.FOLDS][:608]
+    rows = [(i, f"words of {k}", rare[k] if k < 8 else "en") for k, i in enumerate(ids)]
+    model = lang.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=40)
+    assert model.languages == ["en", *rare]
+    assert lang.quotas({"a": 1, "b": 100, "c": 1000}, 61) == {"a": 1, "b": 30, "c": 30}
+    assert lang.quotas({"a": 3, "b": 5}, 100) == {"a": 3, "b": 5} and lang.quotas({"a": 3, "b": 5}, 1) == {"a": 1, "b": 1}
+
+
 def plain_license(model, text):
     seq = lic.tokens(text)
     gs = lic.grams(seq)
