@@ -28,6 +28,8 @@ KINDS = (*BASE, "id", "iban", "name", "address", "birth")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 #: Groups (numbers, words) in one segment at most.
 LONGEST = 8
+#: Characters in one segment of numbers at most.
+WIDEST = 62
 
 #: The patterns of the base kinds. Possessive loops and the checks for a run's
 #: start only keep long runs linear; they accept the same matches.
@@ -77,7 +79,9 @@ def base_spans(text: str) -> list[Span]:
 
 # --- candidate segments -----------------------------------------------------------------
 
-_NUMBERS = re.compile(r"(?<![\w.+/-])[(]?[0-9][0-9() ./-]{5,60}[0-9](?![\w/-])")
+_NUMBERS = re.compile(r"[0-9(][0-9() ./-]{6,}+")
+_FIRST = re.compile(r"(?<![\w.+/-])[(]?[0-9]")
+_AFTER = re.compile(r"[\w/-]")
 _GROUP = re.compile(r"[0-9]+")
 _SPELLED = re.compile(r"[\w.+-]{1,40}(?: at | ?\(at\) ?| ?\[at\] ?)[\w-]{1,40}(?:(?: dot | ?\(dot\) ?| ?\[dot\] ?|\.)[\w-]{1,20}){1,3}")
 _TITLE = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? (?:[A-Z][a-z]+[ -]?){1,4}")
@@ -99,19 +103,33 @@ def mod97(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def number_runs(text: str) -> list[tuple[int, int]]:
+    """Runs (start, end) of numbers of any length, that no word or sign goes on; in linear time."""
+    out = []
+    for m in _NUMBERS.finditer(text):
+        first, end = _FIRST.search(text, m.start(), m.end()), m.end()
+        if not first:
+            continue
+        while end > first.start() and not (text[end - 1].isascii() and text[end - 1].isdigit() and not _AFTER.match(text, end)):
+            end -= 1
+        if end - first.end() >= 6:
+            out.append((first.start(), end))
+    return out
+
+
 def islands(text: str) -> list[list[tuple[int, int, str]]]:
     """Lists of candidate segments (start, end, kind); segments of different lists never overlap."""
     every: list[tuple[int, int, str]] = []
     if _DIGITS.search(text):
-        for m in _NUMBERS.finditer(text):
-            groups = [(m.start() + g.start(), m.start() + g.end()) for g in _GROUP.finditer(m.group())]
+        for start, end in number_runs(text):
+            groups = [g.span() for g in _GROUP.finditer(text, start, end)]
             for i in range(len(groups)):
                 for j in range(i, min(i + LONGEST, len(groups))):
                     a, b = groups[i][0], groups[j][1]
                     n = sum(y - x for x, y in groups[i : j + 1])
                     if a and text[a - 1] == "(" and ")" in text[a:b]:
                         a -= 1
-                    if 6 <= n <= 15:
+                    if 6 <= n <= 15 and b - a <= WIDEST:
                         every += [(a, b, kind) for kind in ("phone", "id", "birth")]
         every += [(m.start(), m.end(), "address") for m in _STREET.finditer(text)]
         every += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text)]

@@ -117,3 +117,18 @@ def test_random_letters_are_found(spark, run):
 @pytest.mark.parametrize("run", ["getUserNameByIdentifier", "some_long_snake_case_name", "MAX_CONNECTION_POOL_SIZE_LIMIT", "internationalization-and-localization", "test_2024_01_02_run_12_of_300", "Donaudampfschifffahrtsgesellschaft", "2024-01-02-12-30-55-1234"])
 def test_identifiers_stay(run):
     assert sec.random_strings(f"the name {run} was sent", []) == []
+
+
+@pytest.mark.parametrize("phones", [[f"020 7946 01{k:02}" for k in range(1, 30)], [f"212.555.01{k:02}" for k in range(1, 30)]])
+def test_no_number_of_a_long_row_is_cut(phones):
+    text = "call " + " ".join(phones) + " today"
+    proposed = {(a, b) for group in pii.islands(text) for a, b, kind in group if kind == "phone"}
+    assert {(text.index(p), text.index(p) + len(p)) for p in phones} <= proposed
+
+
+def test_number_runs_against_a_pattern():
+    plain = re.compile(r"(?<![\w.+/-])[(]?[0-9][0-9() ./-]{5,}[0-9](?![\w/-])")
+    rng = random.Random(4)
+    for _ in range(20_000):
+        text = "".join(rng.choices("0123456789() ./-+aé", [3] * 10 + [1, 1, 5, 1, 1, 1, 0.3, 0.3, 0.3], k=rng.randint(0, 60)))
+        assert pii.number_runs(text) == [m.span() for m in plain.finditer(text)], text
