@@ -356,6 +356,15 @@ def numeric_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", predicates.grounded_numbers(result, F.col("text")).alias("grounded"))
 
 
+@query(f"WITH r AS (SELECT d.doc_id, d.text, coalesce(o.text, '') AS result FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id - d.doc_id % 2) SELECT doc_id, length(trim(text)) >= 200 AND regexp_matches(text, '(?i)\\b(demonstrat|show|observ|achiev|measur|result|reduc|improv)') AND len(list_filter({_NUMS.format('result')}, lambda x: NOT list_contains({_NUMS.format('text')}, x))) = 0 AS grounded FROM r")
+def numeric_grounding_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as results: even documents against themselves, odd ones' texts against the one before."""
+    docs = tables.table(spark, sf_dir, "documents")
+    results = docs.select(F.col("doc_id").alias("other"), F.col("text").alias("result"))
+    both = docs.join(results, F.col("other") == F.col("doc_id") - F.col("doc_id") % 2, "left")
+    return both.select("doc_id", predicates.grounded_numbers(F.col("result"), F.col("text")).alias("grounded"))
+
+
 @query()
 def search_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = tables.text_works(spark, sf_dir)

@@ -92,6 +92,14 @@ def test_numeric_grounding(spark):
     assert not check("1.7 dB", None)
 
 
+def test_numbers_late_in_a_result_are_checked(spark, tmp_path):
+    source = "The device shows a loss of 1.7 dB in all measured bands. " * 5
+    rows = [(2, source + "It weighs 99 g."), (3, source), (4, source), (5, source)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.grounded for r in table_queries.numeric_grounding_whole(spark, str(tmp_path)).collect()}
+    assert got == {2: True, 3: False, 4: True, 5: True}
+
+
 @pytest.mark.parametrize("text, valid", [("Новый метод", True), ("новый метод", False), ("Методmix", False), ("None", False), (None, False), ("слоВо", False), ("Метод.и", False)])
 def test_generated_text(spark, text, valid):
     assert one(spark, "x string", (text,), predicates.valid_generated(F.col("x"))) is valid
