@@ -24,23 +24,36 @@ def reference_features(works: DataFrame, column: str = "referenced_works_ids") -
 
 
 def _by_year(works: DataFrame, column: str) -> Column:
-    """Entries (year, n) of the yearly counts, of repeated years the last."""
+    """Entries (year, n) of the yearly counts, sorted; of repeated years the last."""
     x = F.col(column)
     if not dict(works.dtypes)[column].startswith("array"):
         x = F.from_json(x, _COUNTS, {"mode": "PERMISSIVE"})
-    entries = F.filter(F.coalesce(x, F.array().cast(_COUNTS)), lambda e: e.isNotNull() & e["year"].try_cast("int").isNotNull())
-    plain = F.transform(entries, lambda e: F.struct(e["year"].try_cast("int").alias("year"), F.coalesce(e["cited_by_count"].cast("double"), F.lit(0.0)).alias("n")))
-    later = lambda i, e: F.exists(F.slice(plain, i + F.lit(2), F.greatest(F.size(plain), F.lit(1))), lambda o: o["year"] == e["year"])
-    return F.filter(plain, lambda e, i: ~later(i, e))
+    entry = lambda e, i: F.struct(e["year"].try_cast("int").alias("year"), i.alias("i"), F.coalesce(e["cited_by_count"].cast("double"), F.lit(0.0)).alias("n"))
+    return F.array_sort(F.filter(F.transform(F.coalesce(x, F.array().cast(_COUNTS)), entry), lambda e: e["year"].isNotNull()))
 
 
 def citation_features(works: DataFrame, column: str = "counts_by_year") -> DataFrame:
     """works with citation_velocity (citations up to the work's year) and citation_acceleration
-    (the year's against the one before, as a clipped logarithm). Without a year both are 0."""
+    (the year's against the one before, as a clipped logarithm). Without a year both are 0.
+
+    One pass over each work's sorted entries, no exchange: the sums keep the last entry of a year
+    open until the next year begins, so of repeated years only the last counts."""
     works = works.withColumn("pub_year", as_year(F.col("pub_year")))
     year = F.col("pub_year")
-    entries = _by_year(works, column)
-    total = lambda keep: F.aggregate(F.filter(entries, keep), F.lit(0.0), lambda s, e: s + e["n"])
-    velocity = total(lambda e: e["year"] <= year)
-    rise = clip(log_ratio(total(lambda e: e["year"] == year), total(lambda e: e["year"] == year - 1)))
-    return works.withColumns({"citation_velocity": F.when(year.isNotNull(), velocity).otherwise(0.0), "citation_acceleration": F.when(year.isNotNull(), rise).otherwise(0.0)})
+    zero = F.lit(0.0)
+    start = F.struct(F.lit(None).cast("int").alias("year"), zero.alias("n"), zero.alias("upto"), zero.alias("now"), zero.alias("before"))
+
+    def closed(s: Column, name: str, counts: Column) -> Column:
+        return s[name] + F.when(counts, s["n"]).otherwise(zero)
+
+    def sums(s: Column) -> list[Column]:
+        return [closed(s, "upto", s["year"] <= year).alias("upto"), closed(s, "now", s["year"] == year).alias("now"), closed(s, "before", s["year"] == year - 1).alias("before")]
+
+    def step(s: Column, e: Column) -> Column:
+        same = s["year"] == e["year"]
+        return F.struct(e["year"].alias("year"), e["n"].alias("n"), *(F.when(same, s[k]).otherwise(x).alias(k) for k, x in zip(("upto", "now", "before"), sums(s))))
+
+    total = F.aggregate(_by_year(works, column), start, step, lambda s: F.struct(*sums(s)))
+    found = works.withColumn("__cited", F.when(year.isNotNull(), total))
+    rise = clip(log_ratio(F.col("__cited.now"), F.col("__cited.before")))
+    return found.withColumns({"citation_velocity": F.coalesce("__cited.upto", zero), "citation_acceleration": F.coalesce(rise, zero)}).drop("__cited")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_year
-from .history import yearly_counts
+from .history import history_rows, yearly_counts
+from .ranks import quantiles
 
 #: Fixed values of the emergence label.
 WINDOW, SMOOTHING, QUANTILE, LEAST_FUTURE = 3, 5.0, 0.9, 3
@@ -97,14 +98,15 @@ def population_label(works: DataFrame, epsilon: float = 1e-8) -> DataFrame:
     )
 
 
-def expanding_outliers(rows: DataFrame, value: str, quantile: float = 0.95, name: str = "is_outlier") -> DataFrame:
-    """rows with ``name``: 1 if the value reaches the quantile of all rows of earlier years; the
-    first year gets 0. Thresholds come from counts of distinct values by year, joined by range
-    on the few years, not on rows."""
+def expanding_outliers(rows: DataFrame, value: str, quantile: float = 0.95, name: str = "is_outlier", is_history: Column | None = None) -> DataFrame:
+    """rows with ``name``: 1 if the value reaches the quantile of all rows of history of earlier
+    years; years without any get 0. The quantiles come from counts of distinct values by year,
+    ordered in range partitions; thresholds are joined by year."""
     rows = rows.withColumn("pub_year", as_year(F.col("pub_year")))
-    counts = rows.where(F.col("pub_year").isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy("pub_year", F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    years = rows.where("pub_year is not null").select(F.col("pub_year").alias("y")).distinct()
-    before = counts.join(F.broadcast(years), F.col("pub_year") < F.col("y"))
-    found = before.groupBy("y").agg(F.percentile("v", F.lit(quantile), F.col("n")).alias("threshold"))
-    joined = rows.join(F.broadcast(found), F.col("pub_year") == F.col("y"), "left")
-    return joined.select(*rows.columns, F.coalesce((F.col(value) >= F.col("threshold")).cast("int"), F.lit(0)).alias(name))
+    known = F.col("pub_year").isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & history_rows(is_history)
+    counts = rows.where(known).groupBy(F.col("pub_year").alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    years = rows.where("pub_year is not null").select(F.col("pub_year").alias("w")).distinct()
+    members = years.join(years.select(F.col("w").alias("g")), F.col("g") < F.col("w"))
+    found = quantiles(counts, members, [quantile]).select(F.col("w").alias("__year"), F.col("value").alias("__threshold"))
+    joined = rows.join(F.broadcast(found), F.col("pub_year") == F.col("__year"), "left")
+    return joined.select(*rows.columns, F.coalesce((F.col(value) >= F.col("__threshold")).cast("int"), F.lit(0)).alias(name))

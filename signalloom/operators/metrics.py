@@ -6,26 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import cumulative
+
 #: Thresholds of a table at most.
 POINTS = 1000
 
 
-def cumulative(rows: DataFrame, order: str, sums: list[str]) -> DataFrame:
-    """rows with ``cum_<x>``, the running sum in ascending order, rows of equal order being one.
-
-    Range partitions in order: totals of the partitions before (one row per partition) plus the
-    running sum within."""
-    placed = rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    # the partition of a row must not change between its two uses
-    placed = placed.cache()
-    totals = placed.groupBy("__p").agg(*(F.sum(x).alias(x) for x in sums))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("__p", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"__s_{x}") for x in sums))
-    within = Window.partitionBy("__p").orderBy(order)
-    joined = placed.join(F.broadcast(starts), "__p")
-    return joined.select(*rows.columns, *((F.sum(x).over(within) + F.col(f"__s_{x}")).alias(f"cum_{x}") for x in sums))
-
-
 def score_counts(rows: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """(score, pos, neg) by distinct score; rows without either are left out."""
     valid = rows.where(F.col(y).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
@@ -97,15 +83,16 @@ def confusion(rows: DataFrame, threshold: float, y: str = "y", score: str = "sco
 
 def precision_at_k(rows: DataFrame, group: str, k: int, tie: str, y: str = "y", score: str = "score") -> DataFrame:
     """(group, k, precision_at_k, recall_at_k, positives_in_top_k, group_positives). Only rows
-    that can be among the best k of their group reach its task: ranks within hash parts first."""
+    that can be among the best k of their group reach its task: ranks within hash parts first. A null
+    group is one like any other."""
     parts = F.pmod(F.xxhash64(tie), F.lit(64))
     best = Window.partitionBy(group, "__part").orderBy(F.col(score).desc(), tie)
     some = rows.select(group, y, score, tie, parts.alias("__part")).withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k)
     top = some.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(F.col(score).desc(), tie))).where(F.col("__r") <= k)
     inside = top.groupBy(group).agg(F.count("*").alias("k"), F.sum(y).alias("positives_in_top_k"))
-    totals = rows.groupBy(group).agg(F.sum(y).alias("group_positives"))
+    totals = rows.groupBy(F.col(group).alias("__group")).agg(F.sum(y).alias("group_positives"))
     hits = F.col("positives_in_top_k")
-    return inside.join(totals, group).select(group, "k", (hits / F.col("k")).alias("precision_at_k"), F.try_divide(hits, "group_positives").alias("recall_at_k"), "positives_in_top_k", "group_positives")
+    return inside.join(totals, F.col(group).eqNullSafe(F.col("__group"))).select(group, "k", (hits / F.col("k")).alias("precision_at_k"), F.try_divide(hits, "group_positives").alias("recall_at_k"), "positives_in_top_k", "group_positives")
 
 
 def ranking_groups(rows: DataFrame, group: str, y: str = "y") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import cumulative
+from ..sources.scratch import materialise, quoted
+from .ranks import cumulative, quantiles
 
 
 def validate_corpus(works: DataFrame, last_labelled: int, expected: int | None = None) -> DataFrame:
@@ -23,6 +24,14 @@ def validate_corpus(works: DataFrame, last_labelled: int, expected: int | None =
     return both.withColumn("passed", well if expected is None else well & (F.col("rows") == expected))
 
 
+def corpus_counters(works: DataFrame) -> DataFrame:
+    """(name, value, n): works by pub_year, domain_id and target_emergence, and engineering works
+    by pub_year. One pass: each task counts its rows under every name before the exchange."""
+    named = [(c, F.col(c), F.lit(True)) for c in ("pub_year", "domain_id", "target_emergence")] + [("engineering", F.col("pub_year"), F.coalesce(F.col("is_engineering"), F.lit(False)))]
+    entries = F.array(*(F.struct(F.lit(k).alias("name"), x.cast("string").alias("value"), keep.alias("keep")) for k, x, keep in named))
+    return works.select(F.explode(entries).alias("e")).select("e.*").where("keep").groupBy("name", "value").agg(F.count("*").alias("n"))
+
+
 def value_counts(rows: DataFrame, *columns: str) -> DataFrame:
     """(name, value, n, share) for each column's values."""
     out = None
@@ -41,17 +50,21 @@ def null_profile(rows: DataFrame) -> DataFrame:
 
 def describe(rows: DataFrame, *columns: str) -> DataFrame:
     """(name, n, mean, std, min, median, max, skew, outliers): sample deviation and skewness, and
-    values beyond one and a half quartile ranges. All columns take two passes."""
-    long = rows.select(F.lit(0).alias("__"), *(F.col(c).cast("double") for c in columns)).unpivot(["__"], list(columns), "name", "x").where("x is not null and not isnan(x)").drop("__")
-    n = F.count("x")
-    skew = F.when(n > 2, F.skewness("x") * F.sqrt(n * (n - 1)) / (n - 2))
-    stats = long.groupBy("name").agg(
-        n.alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.percentile("x", F.lit(0.5)).alias("median"), F.max("x").alias("max"),
-        skew.alias("skew"), F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.75)).alias("q3"),
-    )
+    values beyond one and a half quartile ranges; null and NaN don't count. A column without values
+    has n 0. Moments are one pass without an exchange; quartiles come from counts by value."""
+    values = [(c, F.when(~F.isnan(quoted(c).cast("double")), quoted(c).cast("double"))) for c in columns]
+    moments = [F.struct(F.lit(c).alias("name"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("g")) for c, x in values]
+    stats = rows.agg(*(m.alias(f"m{i}") for i, m in enumerate(moments))).select(F.explode(F.array(*(F.col(f"m{i}") for i in range(len(moments))))).alias("m")).select("m.*")
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("g"), x.alias("v")) for c, x in values))).alias("e")).select("e.*").where("v is not null")
+    counts = materialise(long.groupBy("g", "v").agg(F.count("*").alias("n")), "values")
+    members = rows.sparkSession.createDataFrame([(c, c) for c in columns], "w string, g string")
+    cut = quantiles(counts, members, [0.25, 0.5, 0.75]).groupBy("w").agg(*(F.max(F.when(F.col("share") == q, F.col("value"))).alias(k) for k, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    outside = long.join(F.broadcast(stats.select("name", "q1", "q3")), "name").groupBy("name").agg(F.count_if((F.col("x") < F.col("q1") - reach) | (F.col("x") > F.col("q3") + reach)).alias("outliers"))
-    return stats.join(outside, "name").drop("q1", "q3")
+    far = F.sum(F.when((F.col("v") < F.col("q1") - reach) | (F.col("v") > F.col("q3") + reach), F.col("n")).otherwise(0))
+    outside = counts.join(F.broadcast(cut), F.col("g") == F.col("w")).groupBy("w", "median").agg(far.alias("outliers"))
+    skew = F.when(F.col("n") > 2, F.col("g") * F.sqrt(F.col("n") * (F.col("n") - 1)) / (F.col("n") - 2))
+    joined = stats.join(F.broadcast(outside), F.col("name") == F.col("w"), "left")
+    return joined.select("name", "n", "mean", "std", "min", "median", "max", skew.alias("skew"), F.coalesce("outliers", F.lit(0)).alias("outliers"))
 
 
 def tier_breakdown(rows: DataFrame, group: str, flag: str) -> DataFrame:
@@ -77,10 +90,10 @@ def ks_statistic(rows: DataFrame, column: str, y: str) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """rows with the average rank of the column, ties sharing theirs."""
-    counts = rows.groupBy(column).agg(F.count("*").alias("__c"))
-    ranked = cumulative(counts, column, ["__c"]).select(column, (F.col("cum___c") - (F.col("__c") - 1) / 2).alias(name))
-    return rows.join(ranked, column)
+    """rows with the average rank of the column, ties sharing theirs; nulls rank first, as one."""
+    counts = rows.groupBy(F.col(column).alias("__value")).agg(F.count("*").alias("__c"))
+    ranked = cumulative(counts, "__value", ["__c"]).select("__value", (F.col("cum___c") - (F.col("__c") - 1) / 2).alias(name))
+    return rows.join(ranked, F.col(column).eqNullSafe(F.col("__value"))).drop("__value")
 
 
 def spearman_pairs(rows: DataFrame, columns: list[str], above: float = 0.7) -> DataFrame:
@@ -94,10 +107,15 @@ def spearman_pairs(rows: DataFrame, columns: list[str], above: float = 0.7) -> D
 
 def binned_information(rows: DataFrame, column: str, y: str, bins: int = 20) -> DataFrame:
     """One row information: mutual information, in nats, of the column's quantile bins and the
-    class. A documented substitute for the nearest-neighbour estimate."""
-    cuts = rows.select(F.percentile_approx(F.col(column).cast("double"), [i / bins for i in range(1, bins)], 100_000)).first()[0] or []
-    bin_ = sum((F.when(F.col(column) > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    cells = rows.where(F.col(column).isNotNull() & F.col(y).isNotNull()).groupBy(bin_.alias("b"), F.col(y).alias("c")).agg(F.count("*").alias("n"))
+    class. A documented substitute for the nearest-neighbour estimate. A cut is the least value
+    that so many twentieths of the rows reach; rows without value or class are left out."""
+    known = rows.where(F.col(column).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(column).cast("double")))
+    counts = known.groupBy(F.col(column).cast("double").alias("x"), F.col(y).alias("c")).agg(F.count("*").alias("n"))
+    values = cumulative(counts.groupBy("x").agg(F.sum("n").alias("n")), "x", ["n"])
+    total = values.agg(F.max("cum_n").alias("total"))
+    least = [F.min(F.when(F.col("cum_n") * bins >= F.col("total") * i, F.col("x"))).alias(f"c{i}") for i in range(1, bins)]
+    cuts = values.crossJoin(F.broadcast(total)).agg(*least).select(F.array_distinct(F.array(*(f"c{i}" for i in range(1, bins)))).alias("cuts"))
+    cells = counts.crossJoin(F.broadcast(cuts)).groupBy(F.size(F.filter("cuts", lambda c: F.col("x") > c)).alias("b"), "c").agg(F.sum("n").alias("n"))
     total, of_b, of_c = (F.sum("n").over(Window.partitionBy(*k)) for k in ((F.lit(1),), ("b",), ("c",)))
     each = cells.select((F.col("n") / total).alias("p"), (of_b / total).alias("pb"), (of_c / total).alias("pc"))
     return each.agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("pb") * F.col("pc")))).alias("information"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import normal_space
-from .metrics import cumulative
+from ..sources.scratch import ship
+from .ranks import cumulative
 
 
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -111,6 +112,7 @@ def diverse_top(rows: DataFrame, limit: int = 15, threshold: float = 0.78, pool:
         return pd.DataFrame({"doc_id": found["doc_id"].to_numpy(), "confidence": found["confidence"].to_numpy(), "diversity_max_similarity": most, "rank": np.arange(1, len(at) + 1)})
 
     kind = dict(rows.dtypes)["doc_id"]
+    ship(rows.sparkSession)
     return best.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(chosen, f"doc_id {kind}, confidence double, diversity_max_similarity double, rank int")
 
 
