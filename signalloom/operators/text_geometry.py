@@ -2,9 +2,10 @@
 
 Each year sees only earlier years. Vectors are summed by topic and year (one row per pair and
 dimension block), running sums give each pair's past centroid, and the works of a year are
-compared with that year's centroids in batches of one matrix product. The centroids that travel
-are one per topic and year, a number that grows with topics, not works; they are joined by year
-in blocks of bounded size.
+compared with that year's centroids in batches of one matrix product. A year's works are cut
+into parts and its centroids into blocks by hashes, in numbers that follow from their counts, so
+that whatever the year holds, a task's part and block hold a few thousand vectors at most.
+``is_history`` restricts what counts as past (a training set, say); every work gets its features.
 """
 
 from __future__ import annotations
@@ -15,16 +16,21 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_year
+from ..sources.scratch import ship
+from .history import history_rows
 from .labels import expanding_outliers
 
 BUCKETS = 2000
 NORM_GUARD = 1e-12
-#: Centroids compared at once with a batch of works.
-BLOCK_TOPICS = 256
+#: Centroids in a block and works in a part, on average: each vector travels once for every block
+#: or part of the other side, so both are about equal and as large as memory allows.
+BLOCK_TOPICS, PART_WORKS = 2048, 2048
+#: Works of one matrix product.
+BATCH = 256
 
 
 def hashed_vectors(works: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
@@ -58,11 +64,12 @@ def _flushed(sums: dict) -> pd.DataFrame:
     return pd.DataFrame({"topic_id": [k[0] for k in sums], "pub_year": [k[1] for k in sums], "total": [v[0].tolist() for v in sums.values()], "n": [v[1] for v in sums.values()]})
 
 
-def past_centroids(works: DataFrame) -> DataFrame:
-    """(topic_id, pub_year, centroid, norm, n): the mean vector of a topic's works of earlier
-    years, for each year from the topic's second to the corpus' last."""
+def past_centroids(works: DataFrame, is_history: Column | None = None) -> DataFrame:
+    """(topic_id, pub_year, centroid, norm, n): the mean vector of a topic's works of history of
+    earlier years, for each year from the topic's second to the corpus' last."""
     kind = dict(works.dtypes)["topic_id"]
-    valid = works.where("topic_id is not null and pub_year is not null and vector is not null").select("topic_id", "pub_year", "vector")
+    ship(works.sparkSession)
+    valid = works.where(F.expr("topic_id is not null and pub_year is not null and vector is not null") & history_rows(is_history)).select("topic_id", "pub_year", "vector")
     partial = valid.mapInPandas(_partial_sums, f"topic_id {kind}, pub_year int, total array<double>, n long")
     each = partial.select("topic_id", "pub_year", "n", F.posexplode("total").alias("d", "x"))
     summed = each.groupBy("topic_id", "pub_year", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
@@ -76,47 +83,58 @@ def past_centroids(works: DataFrame) -> DataFrame:
 
 
 def _nearest(works: pd.DataFrame, centroids: pd.DataFrame) -> pd.DataFrame:
-    """For works and one block of centroids of a year: the cosine with the own one, and the
-    greatest with any other."""
+    """For a part of a year's works and one block of its centroids: the cosine with the own one,
+    and the greatest with any other."""
     if works.empty or centroids.empty:
-        return pd.DataFrame(columns=["doc_id", "own", "nearest"])
+        return pd.DataFrame({"doc_id": works["doc_id"].iloc[:0], "own": [], "nearest": []})
     unit = np.stack(centroids["centroid"].to_numpy()) / centroids["norm"].to_numpy()[:, None]
-    where = {t: i for i, t in enumerate(centroids["topic_id"])}
-    sims = np.stack(works["vector"].to_numpy()) @ unit.T
-    at = np.array([where.get(t, -1) for t in works["topic_id"]])
-    rows = np.flatnonzero(at >= 0)
-    own = np.full(len(works), np.nan)
-    own[rows] = sims[rows, at[rows]]
-    sims[rows, at[rows]] = -np.inf
-    return pd.DataFrame({"doc_id": works["doc_id"].to_numpy(), "own": own, "nearest": sims.max(axis=1)})
+    place = {t: i for i, t in enumerate(centroids["topic_id"])}
+    at = np.array([place.get(t, -1) for t in works["topic_id"]])
+    vectors = works["vector"].to_numpy()
+    own, nearest = np.full(len(works), np.nan), np.empty(len(works))
+    for i in range(0, len(works), BATCH):
+        sims = np.stack(vectors[i : i + BATCH]) @ unit.T
+        rows = np.flatnonzero(at[i : i + BATCH] >= 0)
+        own[i + rows] = sims[rows, at[i + rows]]
+        sims[rows, at[i + rows]] = -np.inf
+        nearest[i : i + BATCH] = sims.max(axis=1)
+    return pd.DataFrame({"doc_id": works["doc_id"].to_numpy(), "own": own, "nearest": nearest})
 
 
-def text_geometry(works: DataFrame) -> DataFrame:
+def _dealt(counted: Column, size: int) -> Column:
+    """In how many pieces of about that size so many rows are cut."""
+    return F.ceil(counted / F.lit(size)).cast("int")
+
+
+def text_geometry(works: DataFrame, is_history: Column | None = None) -> DataFrame:
     """(doc_id, pub_year, topic_id, novelty_raw, topic_centroid_similarity, cluster_density,
     topic_local_volume, nearest_topic_similarity, cross_topic_gap, is_outlier_cluster).
 
-    works has doc_id, topic_id, pub_year and ``vector`` (array of doubles, of length 1). Works
-    without topic get the nearest centroid only; the first year and works without year keep the
-    defaults: novelty 1, all else 0.
+    works has doc_id, topic_id, pub_year and ``vector`` (array of doubles, of length 1), and what
+    ``is_history`` names. Centroids, volumes and the outlier threshold come from works of history
+    with a topic only. Works without topic get the nearest centroid only; the first year, years in
+    which no work has a topic, and works without year keep the defaults: novelty 1, all else 0.
     """
-    works = works.withColumn("pub_year", as_year(F.col("pub_year"))).select("doc_id", "topic_id", "pub_year", "vector")
+    flagged = works.withColumn("__history", F.coalesce(history_rows(is_history), F.lit(False)))
+    works = flagged.withColumn("pub_year", as_year(F.col("pub_year"))).select("doc_id", "topic_id", "pub_year", "vector", F.col("__history").alias("history"))
     doc, topic = dict(works.dtypes)["doc_id"], dict(works.dtypes)["topic_id"]
-    centroids = past_centroids(works)
-    usable = centroids.where(F.col("norm") > NORM_GUARD)
-    # blocks of centroids and parts of works: a year's works and topics may each be many
-    rank = F.row_number().over(Window.partitionBy("pub_year").orderBy("topic_id")) - 1
-    blocks = usable.select("pub_year", F.floor(rank / BLOCK_TOPICS).cast("int").alias("block"), "topic_id", "centroid", "norm")
-    counts = blocks.groupBy("pub_year").agg((F.max("block") + 1).alias("blocks"), F.count("*").alias("centroids"))
-    parts = 16
-    left = works.join(F.broadcast(counts), "pub_year").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    right = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    centroids = past_centroids(works, F.col("history"))
+    usable = centroids.where(F.col("norm") > NORM_GUARD).select("pub_year", "topic_id", "centroid", "norm")
+    # years are few: how many pieces each side has is a small table
+    topics = usable.groupBy("pub_year").agg(F.count("*").alias("centroids"))
+    sizes = works.where("pub_year is not null").groupBy("pub_year").agg(F.count("vector").alias("works"), F.count("topic_id").alias("placed")).where("placed > 0")
+    pieces = sizes.join(topics, "pub_year", "left").select("pub_year", "centroids", _dealt(F.col("works"), PART_WORKS).alias("parts"), _dealt(F.col("centroids"), BLOCK_TOPICS).alias("blocks"))
+    piece = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = works.where("vector is not null").join(F.broadcast(pieces.where("blocks > 0")), "pub_year").select("pub_year", "doc_id", "topic_id", "vector", piece("doc_id", "parts").alias("part"), every("blocks").alias("block"))
+    right = usable.join(F.broadcast(pieces), "pub_year").select("pub_year", "topic_id", "centroid", "norm", piece("topic_id", "blocks").alias("block"), every("parts").alias("part"))
     keys = ["pub_year", "block", "part"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_nearest, f"doc_id {doc}, own double, nearest double")
     best = near.groupBy("doc_id").agg(F.max("nearest").alias("nearest"), F.max(F.nanvl("own", F.lit(-9.0))).alias("own"))
 
-    rows = works.select("doc_id", "topic_id", "pub_year")
+    rows = works.select("doc_id", "topic_id", "pub_year", "history")
     past = centroids.select("topic_id", "pub_year", "norm", F.col("n").alias("past"))
-    joined = rows.join(past, ["topic_id", "pub_year"], "left").join(F.broadcast(counts.select("pub_year", "centroids")), "pub_year", "left").join(best, "doc_id", "left")
+    joined = rows.join(past, ["topic_id", "pub_year"], "left").join(F.broadcast(pieces.select("pub_year", "centroids", "parts")), "pub_year", "left").join(best, "doc_id", "left")
     bound = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
     has_own = F.coalesce(F.col("own") > -9.0, F.lit(False))
     similarity = F.when(has_own, bound(F.col("own"))).otherwise(0.0)
@@ -132,5 +150,8 @@ def text_geometry(works: DataFrame) -> DataFrame:
         F.coalesce("past", F.lit(0)).cast("double").alias("topic_local_volume"),
         nearest.alias("nearest_topic_similarity"),
         F.when(others, similarity - nearest).otherwise(0.0).alias("cross_topic_gap"),
+        (F.col("history") & F.col("topic_id").isNotNull()).alias("history"),
+        F.col("parts").isNotNull().alias("placed"),
     )
-    return expanding_outliers(found, "novelty_raw", 0.95, "is_outlier_cluster")
+    marked = expanding_outliers(found, "novelty_raw", 0.95, "is_outlier_cluster", F.col("history"))
+    return marked.withColumn("is_outlier_cluster", F.when(F.col("placed"), F.col("is_outlier_cluster")).otherwise(0)).drop("history", "placed")

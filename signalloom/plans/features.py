@@ -15,7 +15,8 @@ META = ("doc_id", "pub_year", "topic_id", "domain_id", "source_id", "source_tier
 
 def build_features(works: DataFrame, is_history: Column | None = None, vectors: DataFrame | None = None, label: bool = True) -> DataFrame:
     """works with the topic, author, graph, source, reference and citation features; with
-    ``vectors`` (doc_id, vector) those of the text; with ``label`` target_emergence.
+    ``vectors`` (doc_id, vector) those of the text; with ``label`` target_emergence. All features,
+    those of the text too, take their past from the rows of ``is_history`` only.
 
     Each step counts the works by key and year and joins those small tables; only the text
     features meet vectors. works is read several times: pass a table, or a persisted frame.
@@ -26,7 +27,8 @@ def build_features(works: DataFrame, is_history: Column | None = None, vectors:
     found = history.topic_domain(works, is_history, found)
     found = history.source_history(works, is_history, found)
     if vectors is not None:
-        geometry = text_geometry.text_geometry(works.select("doc_id", "topic_id", "pub_year").join(vectors, "doc_id")).drop("topic_id", "pub_year")
+        placed = works.select("doc_id", "topic_id", "pub_year", history.history_rows(is_history).alias("__past")).join(vectors, "doc_id")
+        geometry = text_geometry.text_geometry(placed, F.col("__past")).drop("topic_id", "pub_year")
         found = found.join(geometry, "doc_id", "left")
     else:
         found = history.topic_local_volume(works, is_history, found)
