@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .texts import query_terms
+from .texts import fold_terms, query_terms
 
 #: Patterns of review titles and abstracts, in English and Russian.
 REVIEW_TITLE = (
@@ -33,6 +33,7 @@ QUANTUM_METHOD = (
 RESULT_VERB = r"\b(?:demonstrat\w*|show\w*|observ\w*|achiev\w*|measur\w*|result\w*|reduc\w*|improv\w*|показ\w*|получ\w*|измер\w*)\b"
 #: Java's classes and word boundaries are ASCII unless told otherwise.
 _ANY_CASE = "(?iuU)"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _finds(x: Column, pattern: str) -> Column:
@@ -72,11 +73,24 @@ def matches_quantum_sensing(title: Column, abstract: Column, query: str, request
     return _finds(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(abstract, F.lit(""))), QUANTUM_METHOD)
 
 
+def term_hits(text: Column, query: Column) -> Column:
+    """How many of the query's terms are in the text. The text's words are first cut to those that
+    could fold to one of the terms: words, not terms, of a long text meet a plain lookup."""
+    asked = query_terms(query)
+    forms = F.array_distinct(F.flatten(F.transform(asked, lambda t: F.array(t, F.concat(t, F.lit("s")), F.concat(F.left(t, F.length(t) - 1), F.lit("ies"))))))
+    words = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), F.lit("[a-z][a-z0-9]*"), F.lit(0))
+    return F.size(F.array_intersect(asked, fold_terms(F.array_intersect(words, forms))))
+
+
+def enough_terms(hits: Column, query: Column) -> Column:
+    """Whether hits are at least six tenths of the query's terms, and one."""
+    n = F.size(query_terms(query))
+    return (n > 0) & (hits >= F.greatest(F.lit(1), F.ceil(n * 6 / F.lit(10)).cast("int")))
+
+
 def matches_query(text: Column, query: Column) -> Column:
     """At least six tenths of the query's terms, and one, are in the text."""
-    asked = query_terms(query)
-    need = F.greatest(F.lit(1), F.ceil(F.size(asked) * 6 / F.lit(10)).cast("int"))
-    return (F.size(asked) > 0) & (F.size(F.array_intersect(asked, query_terms(text))) >= need)
+    return enough_terms(term_hits(text, query), query)
 
 
 def selects_topic(similarity: Column, frequency: Column, seeds: Column) -> Column:
@@ -92,20 +106,67 @@ def grounded_numbers(result: Column, source: Column) -> Column:
     return enough & (F.size(F.array_except(numbers(result), numbers(source))) == 0)
 
 
-def corrupt_text(x: Column, units: str = r"$^") -> Column:
-    """Empty, broken characters, or Latin and Cyrillic mixed within a word; scientific units may."""
+#: Units of measurement that may mix scripts, and marks of a broken text.
+UNITS = r"(?<![А-Яа-яЁё])(?:[кмнгдпс]?(?:Гц|Вт|В|А|Па|Дж|Тл|Ом|См|С)|[кМ]?эВ)(?![А-Яа-яЁё])"
+BROKEN_CHARACTER = "\ufffd"
+BROKEN_SENTENCE = r"[.!?][а-яё]"
+BROKEN_SCRIPT = r"[А-Яа-яЁё][A-Za-z]|[A-Za-z][А-Яа-яЁё]"
+#: Beginnings of explanations that say nothing about the work.
+GENERIC_SIGNALS = ("На оценку статьи положительно повлияли", "Ключевые факторы для этой статьи не выделены.")
+
+_CYRILLIC, _ANY_LETTER = "[А-Яа-яЁё]", "[A-Za-zА-Яа-яЁё]"
+
+
+def _says_none(x: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(x)) == "none", F.lit(True))
+
+
+def _blank(x: Column) -> Column:
+    return F.coalesce(F.trim(x) == "", F.lit(True))
+
+
+def corrupt_text(x: Column, units: str = UNITS) -> Column:
+    """Empty, with a broken character, a sentence that goes on in lower case without a space,
+    scripts mixed in a word, or a capital inside a word that begins with a small letter."""
     text = F.regexp_replace(F.trim(x), units, "")
-    mixed = text.rlike(r"�|[.!?][а-яё]|[А-Яа-яЁё][A-Za-z]|[A-Za-z][А-Яа-яЁё]") | text.rlike(r"(?U)(?<![А-ЯЁа-яё])[а-яё]+[А-ЯЁ]")
-    return F.coalesce((F.trim(x) == "") | mixed, F.lit(True))
+    small_first = F.filter(F.regexp_extract_all(text, F.lit("[А-ЯЁа-яё]+"), F.lit(0)), lambda w: w.rlike("^[а-яё]"))
+    inner_capital = F.exists(small_first, lambda w: w.rlike("[а-яё][А-ЯЁ]"))
+    return _blank(x) | F.coalesce(text.contains(BROKEN_CHARACTER) | text.rlike(BROKEN_SENTENCE) | text.rlike(BROKEN_SCRIPT) | inner_capital, F.lit(False))
 
 
 def starts_lower_cyrillic(x: Column) -> Column:
-    return F.coalesce(F.regexp_extract(x, r"[A-Za-zА-Яа-яЁё]", 0).rlike("^[а-яё]"), F.lit(False))
+    return F.coalesce(F.regexp_extract(x, _ANY_LETTER, 0).rlike("^[а-яё]"), F.lit(False))
 
 
 def valid_generated(x: Column) -> Column:
     """A text to show: not "None", not corrupt, not beginning in the middle of a sentence."""
-    none = F.coalesce(F.lower(F.trim(x)) == "none", F.lit(True))
-    return ~none & ~corrupt_text(x) & ~starts_lower_cyrillic(x)
+    return ~_says_none(x) & ~corrupt_text(x) & ~starts_lower_cyrillic(x)
+
+
+def valid_description(x: Column, abstract: Column) -> Column:
+    """A text to show for an abstract, or "None" where there is no abstract."""
+    return F.when(_blank(abstract), _says_none(x)).otherwise(valid_generated(x))
+
+
+def valid_title(x: Column, source: Column) -> Column:
+    """A translated title: a text to show, in Cyrillic if the source has Latin letters, and not
+    mostly in Latin words; "None" where there is no source title."""
+    latin, cyrillic = (F.regexp_count(F.coalesce(x, F.lit("")), F.lit(p)) for p in ("[A-Za-z]{2,}", f"{_CYRILLIC}{{2,}}"))
+    translated = ~F.coalesce(source.rlike("[A-Za-z]"), F.lit(False)) | F.coalesce(x.rlike(_CYRILLIC), F.lit(False))
+    return F.when(_blank(source), _says_none(x)).otherwise(valid_generated(x) & translated & ~((latin >= 4) & (latin > cyrillic)))
+
+
+def valid_signal(x: Column) -> Column:
+    """An explanation to show; one of the generic texts is valid but ``generic_signal``."""
+    return valid_generated(x)
+
+
+def generic_signal(x: Column) -> Column:
+    """Whether an explanation begins as the generic ones do."""
+    text = F.trim(x)
+    return F.coalesce(text.startswith(GENERIC_SIGNALS[0]) | text.startswith(GENERIC_SIGNALS[1]), F.lit(False))
 
 
+def fresh(generated_at: Column, days: int = 1) -> Column:
+    """Whether a cached result is at most so many days old."""
+    return F.coalesce(F.current_timestamp() - generated_at.cast("timestamp") <= F.expr(f"interval {int(days)} day"), F.lit(False))

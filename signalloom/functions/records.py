@@ -136,6 +136,51 @@ def search_rows(raw: DataFrame) -> DataFrame:
     )
 
 
+def inference_rows(raw: DataFrame, query: str, source_ids: Column | None = None) -> DataFrame:
+    """Rows of the corpus' schema for works that a search found for a query: all raw works stay,
+    also those without abstract or references; nothing about their future is known."""
+    topic, place = F.col("primary_topic"), F.col("primary_location.source")
+    field = short_id(topic["field"]["id"])
+    named = F.coalesce("authorships", F.array().cast(dict(raw.dtypes)["authorships"]))
+    references = F.transform(F.filter(F.coalesce("referenced_works", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")), short_id)
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    return raw.select(
+        short_id(F.col("id")).alias("doc_id"),
+        F.col("publication_year").alias("pub_year"),
+        F.col("publication_date").alias("pub_date"),
+        "title",
+        lenient_abstract(F.col("abstract_inverted_index")).alias("abstract_text"),
+        F.col("type").alias("work_type"),
+        source_tier(F.col("type"), place["type"]).alias("source_tier"),
+        topic["display_name"].alias("primary_topic"),
+        short_id(topic["id"]).alias("primary_topic_id"),
+        short_id(topic["domain"]["id"]).alias("domain_id"),
+        field.alias("field_id"),
+        author_ids(named).alias("authors_ids"),
+        F.coalesce(affiliations(named), F.array().cast("array<string>")).alias("affiliations"),
+        F.coalesce("cited_by_count", F.lit(0)).alias("citations_at_cutoff"),
+        references.alias("referenced_works_ids"),
+        F.coalesce(F.to_json("counts_by_year"), F.lit("[]")).alias("counts_by_year"),
+        F.to_json(named).alias("authorships_json"),
+        F.coalesce(F.to_json("topics"), F.lit("[]")).alias("topics_json"),
+        (place["id"] if source_ids is None else source_ids).alias("source_id"),
+        "doi",
+        F.col("primary_location.landing_page_url").alias("article_url"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("fetched_at"),
+        F.lit(query).alias("stratum"),
+        F.coalesce(field == "22", F.lit(False)).alias("is_engineering"),
+        commercial_maturity(named).alias("commercial_maturity_index"),
+        affiliation_coverage(named).alias("affiliation_coverage"),
+        (F.size(references) > 0).cast("int").alias("has_ref_data"),
+        *none("int", "target_emergence"),
+        F.lit("inference").alias("target_status"),
+        *none("int", "target_population"),
+        F.lit("inference").alias("split"),
+        *none("bigint", "new_authors_baseline", "new_authors_future"),
+        *none("double", "future_growth_ratio", "new_authors_growth_ratio"),
+    )
+
+
 def article_link(article_url: Column, doi: Column, doc_id: Column) -> Column:
     """The first web address of: the article's page, its DOI, the DOI under doi.org, its entry."""
     web = lambda x: F.when(x.rlike("^https?://"), x)

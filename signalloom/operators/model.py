@@ -8,14 +8,17 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import ship
 from .history import year_shares
 from .metrics import best_threshold
+from .sampling import quota_sample, sample_order
 
 #: Columns that are no features: keys, the label, and what later years or the label's own terms tell.
 NOT_FEATURES = ("doc_id", "pub_year", "target_emergence", "topic_id", "domain_id", "source_id", "split", "growth", "future")
@@ -41,21 +44,90 @@ def numeric_features(rows: DataFrame) -> list[str]:
     return [c for c, t in rows.dtypes if c not in NOT_FEATURES and t in ("double", "float", "int", "bigint", "tinyint", "smallint")]
 
 
-def train(rows: DataFrame, label: str = "target_emergence", categorical: tuple[str, ...] = ("source_tier",), iterations: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42, balanced: bool = False) -> PipelineModel:
-    """A gradient-boosted classifier of the prepared rows; ``balanced`` weighs the classes alike."""
+def emergence_strength(label: str = "target_emergence", growth: str = "topic_publication_growth") -> Column:
+    """What a regression learns: 0, or one and the logarithm of the growth so far."""
+    signal = F.greatest(F.coalesce(F.nanvl(F.col(growth).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    return F.col(label) * (1 + F.log1p(signal))
+
+
+def _assembly(rows: DataFrame, label: str, categorical: tuple[str, ...]) -> list:
     text = [c for c in categorical if c in rows.columns]
     numbers = [c for c in numeric_features(rows) if c not in text and c != label]
+    stages = [StringIndexer(inputCol=c, outputCol=f"__{c}", handleInvalid="keep") for c in text]
+    return [*stages, VectorAssembler(inputCols=numbers + [f"__{c}" for c in text], outputCol="features", handleInvalid="keep")]
+
+
+def train(rows: DataFrame, label: str = "target_emergence", categorical: tuple[str, ...] = ("source_tier",), iterations: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42, balanced: bool = False, mode: str = "binary", validation: Column | None = None, tolerance: float = 0.01, feature_share: str = "all") -> PipelineModel:
+    """Gradient-boosted trees over the prepared rows: a classifier, or with ``mode`` "regression" a
+    regressor of the label as a number (see ``emergence_strength``).
+
+    ``balanced`` weighs the classes alike. ``validation`` marks rows that are not learned from:
+    boosting ends when their loss gets no better by ``tolerance``. ``feature_share`` is the share
+    of features that each split looks at ("0.8")."""
+    if mode not in ("binary", "regression"):
+        raise ValueError("mode must be binary or regression")
+    stages = _assembly(rows, label, categorical)
     rows = rows.withColumn("__y", F.col(label).cast("double"))
-    boost = GBTClassifier(labelCol="__y", featuresCol="features", maxIter=iterations, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed, maxBins=64)
+    kind = GBTClassifier if mode == "binary" else GBTRegressor
+    boost = kind(labelCol="__y", featuresCol="features", maxIter=iterations, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed, maxBins=64, featureSubsetStrategy=feature_share, validationTol=tolerance)
+    if validation is not None:
+        rows = rows.withColumn("__validation", F.coalesce(validation, F.lit(False)))
+        boost = boost.setValidationIndicatorCol("__validation")
     if balanced:
-        mean = rows.agg(F.avg("__y")).first()[0] or 0.5
+        learned = rows if validation is None else rows.where(~F.col("__validation"))
+        mean = learned.agg(F.avg("__y")).first()[0] or 0.5
         rows = rows.withColumn("__w", F.when(F.col("__y") == 1, 0.5 / max(mean, 1e-6)).otherwise(0.5 / max(1 - mean, 1e-6)))
         boost = boost.setWeightCol("__w")
-    stages = [StringIndexer(inputCol=c, outputCol=f"__{c}", handleInvalid="keep") for c in text]
-    stages.append(VectorAssembler(inputCols=numbers + [f"__{c}" for c in text], outputCol="features", handleInvalid="keep"))
     return Pipeline(stages=[*stages, boost]).fit(rows)
 
 
+def training_pairs(rows: DataFrame, group: str, key: str, label: str, most: int, seed: int = 42) -> DataFrame:
+    """(better, worse): feature vectors of a positive and a negative row of one group, at most
+    ``most`` pairs a group. Each class of a group is first cut to ``most`` rows, so a group of any
+    size gives a bounded sample; then each row of the larger one meets one of the other."""
+    sampled = []
+    for side in (1, 0):
+        part = rows.where(F.col(label) == side).select(F.col(group).alias("g"), F.col(key).alias("k"), "features")
+        quotas = part.select("g").distinct().withColumn("quota", F.lit(most).cast("long"))
+        w = Window.partitionBy("g")
+        sampled.append(quota_sample(part, "g", "k", quotas, seed).select("g", "features", (F.row_number().over(w.orderBy(sample_order(F.col("k"), seed), "k")) - 1).alias("i"), F.count("*").over(w).alias("n")))
+    good, bad = (s.select("g", F.col("features").alias(f), F.col("i").alias(f"i_{f}"), F.col("n").alias(f"n_{f}")) for s, f in zip(sampled, ("better", "worse")))
+    sizes = good.groupBy("g").agg(F.max("n_better").alias("p")).join(bad.groupBy("g").agg(F.max("n_worse").alias("q")), "g")
+    slots = sizes.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("p", "q") - 1)).alias("s"), "p", "q")
+    placed = slots.select("g", (F.col("s") % F.col("p")).alias("i_better"), (F.col("s") % F.col("q")).alias("i_worse"), "s")
+    return placed.join(good, ["g", "i_better"]).join(bad, ["g", "i_worse"]).select("g", "s", "better", "worse")
+
+
+def train_ranker(rows: DataFrame, group: str = "pub_year", key: str = "doc_id", label: str = "target_emergence", categorical: tuple[str, ...] = ("source_tier",), most: int = 10_000, seed: int = 42) -> PipelineModel:
+    """A pairwise logistic ranker: the chance that one row of a group ranks above another is the
+    logistic of the difference of their scores. Scores are linear in the features (null as 0).
+    Groups are years; at most ``most`` pairs of each are learned from. ``rank_score`` applies it."""
+    features = Pipeline(stages=_assembly(rows, label, categorical)).fit(rows)
+    known = _finite(features.transform(rows))
+    pairs = training_pairs(known, group, key, label, most, seed)
+    sign = F.when(F.col("s") % 2 == 0, 1.0).otherwise(-1.0)
+    difference = F.zip_with(vector_to_array("better"), vector_to_array("worse"), lambda a, b: (a - b) * sign)
+    learned = pairs.select(array_to_vector(difference).alias("features"), (F.col("s") % 2 == 0).cast("double").alias("__y"))
+    fitted = LogisticRegression(labelCol="__y", featuresCol="features", fitIntercept=False, regParam=1e-3, maxIter=50).fit(learned)
+    return PipelineModel(stages=[*features.stages, fitted])
+
+
+def _finite(rows: DataFrame) -> DataFrame:
+    """rows with NaN features as 0."""
+    return rows.withColumn("features", array_to_vector(F.transform(vector_to_array("features"), lambda x: F.nanvl(x, F.lit(0.0)))))
+
+
+def rank_score(rows: DataFrame, model: PipelineModel) -> DataFrame:
+    """rows with ``rank_score``: of a ranker the score that orders a group, of a regressor its prediction."""
+    last = model.stages[-1]
+    if not isinstance(last, LogisticRegressionModel):
+        return model.transform(rows).withColumn("rank_score", F.col("prediction")).select(*rows.columns, "rank_score")
+    weights = F.array(*(F.lit(float(w)) for w in last.coefficients))
+    found = _finite(PipelineModel(stages=model.stages[:-1]).transform(rows))
+    dot = F.aggregate(F.zip_with(vector_to_array("features"), weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return found.withColumn("rank_score", dot).select(*rows.columns, "rank_score")
+
+
 def score(rows: DataFrame, model: PipelineModel, threshold: float = 0.5) -> DataFrame:
     """rows with probability, predicted (1 from the threshold), model_confidence (0 to 100) and model_threshold."""
     found = model.transform(rows).withColumn("p", vector_to_array("probability")[1])
@@ -125,6 +197,7 @@ def shapley(leaves: list[tuple[float, list]], x: np.ndarray) -> np.ndarray:
 def contributions(model: PipelineModel, features: Column) -> Column:
     """Each row's list of (feature, value, contribution) from its feature vector."""
     leaves, names = ensemble(model.stages[-1]), model.stages[-2].getInputCols()
+    ship(SparkSession.active())
 
     @F.pandas_udf("array<struct<feature: string, value: double, shap: double>>")
     def found(vectors: pd.Series) -> pd.Series:

@@ -5,16 +5,18 @@ from __future__ import annotations
 import json
 import os
 import sqlite3
+import threading
 import time
 from collections.abc import Callable
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import has_quality, matches_query
 from ..functions.texts import query_variants, title_and_abstract
-from ..operators.sampling import sample_order
+from ..operators.sampling import allocate, quota_sample, seeded_subsample
+from .scratch import materialise
 
 
 class SearchProvider(Protocol):
@@ -56,43 +58,47 @@ class TableSearch:
         found = self.works.where(F.col("pub_year").isin(*years) & matches_query(text, F.lit(query)))
         if require_references and "referenced_works_ids" in self.works.columns:
             found = found.where(has_quality(F.col("abstract_text"), F.col("referenced_works_ids")))
-        quotas = per_year_quotas(limit, years)
-        limit_of = F.element_at(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv)), F.col("pub_year").cast("int"))
-        w = Window.partitionBy("pub_year").orderBy(sample_order(F.col("doc_id"), self.seed), "doc_id")
-        return found.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= limit_of).drop("__r")
+        shares = allocate(spark_years(self.works, years).withColumn("one", F.lit(1)), limit, "year", "one")
+        return quota_sample(found, "pub_year", "doc_id", shares.select(F.col("year").alias("pub_year"), "quota"), self.seed)
 
     def by_topic(self, topic_id: Any, limit: int, years: list[int]) -> tuple[DataFrame, int]:
+        """Up to ``limit`` works of a topic, and how many there are."""
         found = self.works.where((F.col("topic_id") == topic_id) & F.col("pub_year").isin(*years))
-        return found.orderBy(sample_order(F.col("doc_id"), self.seed), "doc_id").limit(limit), found.count()
+        return seeded_subsample(found, "doc_id", limit, self.seed), found.count()
 
     def count_by_year(self, topic_id: Any) -> DataFrame:
         return self.works.where(F.col("topic_id") == topic_id).groupBy("pub_year").count()
 
 
-def per_year_quotas(limit: int, years: list[int]) -> dict[int, int]:
-    """The limit in equal parts, one more for the first years of the remainder."""
-    part, more = divmod(limit, len(years))
-    return {y: part + (i < more) for i, y in enumerate(years)}
+def spark_years(works: DataFrame, years: list[int]) -> DataFrame:
+    return works.sparkSession.createDataFrame([(y,) for y in years], "year int")
 
 
-def recover_seeds(query: str, years: list[int], provider: SearchProvider, limit: int = 300, enough: int = 10, most: int = 100, budget: TimeBudget | None = None) -> list:
-    """Ids of works that match the whole query, found by it and by its beginnings, with and
-    without the reference filter, until there are enough."""
-    found: dict = {}
-    tries = [(query, False)] + [(v, r) for v in query_variants(query) for r in (True, False)]
-    for variant, references in tries:
+def searches(spark: SparkSession, query: str) -> list[tuple[str, bool]]:
+    """What is asked for a query, in order: itself, then its beginnings, each first of works with
+    references and then of all. A handful of rows."""
+    widened = spark.range(1).select(F.posexplode(query_variants(F.lit(query))).alias("at", "asked"))
+    rows = widened.select("at", "asked", F.explode(F.array(F.lit(True), F.lit(False))).alias("references"))
+    return [(query, False), *((r.asked, r.references) for r in rows.orderBy("at", F.desc("references")).collect())]
+
+
+def recover_seeds(query: str, years: list[int], provider: SearchProvider, spark: SparkSession, limit: int = 300, enough: int = 10, most: int = 100, budget: TimeBudget | None = None) -> DataFrame:
+    """(doc_id, attempt): up to ``most`` works that match the whole query, each by the first of the
+    ``searches`` that finds it. Searches end when ``enough`` works are found or the budget is used
+    up. What is found is written once per search, never collected."""
+    whole = matches_query(title_and_abstract(F.col("title"), F.col("abstract_text")), F.lit(query))
+    found = None
+    for attempt, (asked, references) in enumerate(searches(spark, query)):
         if budget and budget.expired():
             budget.stop()
             break
-        rows = provider.search(variant, limit, years, references)
-        text = title_and_abstract(F.col("title"), F.col("abstract_text"))
-        for r in rows.where(matches_query(text, F.lit(query))).orderBy("doc_id").select("doc_id").limit(limit).collect():
-            found.setdefault(r.doc_id)
-            if len(found) >= most:
-                return list(found)
-        if len(found) >= enough:
+        hits = provider.search(asked, limit, years, references).where(whole).select("doc_id", F.lit(attempt).alias("attempt"))
+        found = materialise((hits if found is None else found.unionByName(hits)).groupBy("doc_id").agg(F.min("attempt").alias("attempt")), "seeds")
+        if found.count() >= enough:
             break
-    return list(found)
+    if found is None:
+        return spark.createDataFrame([], "doc_id string, attempt int")
+    return found.orderBy("attempt", "doc_id").limit(most)
 
 
 def read_through(keys: DataFrame, cache: DataFrame, key: str, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -107,32 +113,79 @@ def sqlite_table(spark: SparkSession, path: str, query: str, schema: str) -> Dat
         return spark.createDataFrame(db.execute(query).fetchall(), schema)
 
 
-def configuration(path: str, key_name: str = "API_KEY") -> dict:
-    """A JSON configuration, with an API key from the environment."""
+def environment(path: str | None) -> dict[str, str]:
+    """NAME=value lines of a file, if there is one, under what the process' environment has."""
+    found: dict[str, str] = {}
+    if path and os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            lines = [x.strip().removeprefix("export ").partition("=") for x in f if "=" in x and not x.lstrip().startswith("#")]
+        found = {k.strip(): v.strip().strip("\"'") for k, _, v in lines}
+    return found | dict(os.environ)
+
+
+def configuration(path: str, key_name: str = "API_KEY", env_file: str | None = None) -> dict:
+    """A JSON configuration, with an API key from the environment or a file of it."""
     with open(path, encoding="utf-8") as f:
-        return json.load(f) | {"api_key": os.environ.get(key_name, "")}
+        return json.load(f) | {"api_key": environment(env_file).get(key_name, "")}
 
 
-class RateLimitedClient:
-    """A driver-side client: at most ``rate`` calls a second, retries with growing waits, and a
-    stop at the daily quota. ``call(url, params)`` does the request."""
+class Answer(Protocol):
+    """What a call returns: the status, the headers and the decoded body."""
 
-    def __init__(self, call: Callable[[str, dict], dict], rate: float = 5, retries: int = 5, quota: int | None = None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> None:
-        self.call, self.gap, self.retries, self.quota, self.sleep, self.clock = call, 1 / rate, retries, quota, sleep, clock
-        self.next, self.used = 0.0, 0
+    status: int
+    headers: dict
+    body: dict
+
+
+class Paused(RuntimeError):
+    """Nothing more can be asked now; what was collected stays, and a later run resumes."""
+
+
+class RateLimitedClient:
+    """A driver-side client for several threads: at most ``rate`` calls a second together.
+
+    ``call(url, params)`` does the request. Network errors and statuses from 500 are tried again
+    after growing waits. It pauses at its own ``quota`` of calls, when the service says that no
+    more than ``reserve`` calls are left, and when the service refuses (401, 403, 429); any other
+    status but 200 is an error."""
+
+    def __init__(self, call: Callable[[str, dict], Answer], rate: float = 5, retries: int = 6, quota: int | None = None, reserve: int = 10, remaining_header: str = "X-RateLimit-Remaining", sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> None:
+        self.call, self.gap, self.retries, self.quota, self.reserve, self.sleep, self.clock = call, 1 / rate, retries, quota, reserve, sleep, clock
+        self.header = remaining_header.lower()
+        self.next, self.used, self.left = 0.0, 0, float("inf")
+        self.lock = threading.Lock()
+
+    def _turn(self) -> None:
+        """Wait for the next free moment of all threads."""
+        with self.lock:
+            if self.left <= self.reserve or (self.quota is not None and self.used >= self.quota):
+                raise Paused("the allowance is used up")
+            now = self.clock()
+            at, self.used = max(now, self.next), self.used + 1
+            self.next = at + self.gap
+        if at > now:
+            self.sleep(at - now)
+
+    def _note(self, headers: dict) -> None:
+        said = next((v for k, v in headers.items() if k.lower() == self.header), None)
+        if said is not None:
+            with self.lock:
+                self.left = min(self.left, float(said))
 
     def get(self, url: str, **params: Any) -> dict:
-        if self.quota is not None and self.used >= self.quota:
-            raise RuntimeError("the quota is used up; resume later")
         for attempt in range(self.retries):
-            wait = self.next - self.clock()
-            if wait > 0:
-                self.sleep(wait)
-            self.next, self.used = self.clock() + self.gap, self.used + 1
+            if attempt:
+                self.sleep(min(2 ** (attempt - 1), 30))
+            self._turn()
             try:
-                return self.call(url, params)
-            except (OSError, ValueError):
-                if attempt + 1 == self.retries:
-                    raise
-                self.sleep(2**attempt)
-        raise RuntimeError("no attempt was allowed")
+                answer = self.call(url, params)
+            except OSError:
+                continue
+            self._note(answer.headers)
+            if answer.status in (401, 403, 429):
+                raise Paused(f"the service refused: {answer.status}")
+            if answer.status == 200:
+                return answer.body
+            if answer.status < 500:
+                raise RuntimeError(f"{url}: status {answer.status}")
+        raise Paused("the service can't be reached")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import cumulative
+from .scratch import quoted
+
 VERSION = "1"
 
 
@@ -15,6 +18,27 @@ def write_corpus(rows: DataFrame, path: str, rows_per_file: int = 0) -> None:
     (out.option("maxRecordsPerFile", rows_per_file) if rows_per_file else out).parquet(path)
 
 
+def write_shards(rows: DataFrame, folder: str, rows_per_file: int, order: str, whole_only: bool = True) -> int:
+    """rows in files part-00000.parquet, part-00001.parquet, ... of exactly ``rows_per_file`` rows
+    each, in ascending order; returns how many. With ``whole_only`` rows of a last, short file are
+    held back for a later run. A file appears under its name only when it is whole."""
+    placed = cumulative(rows.withColumn("__one", F.lit(1)), order, ["__one"])
+    spark, total = rows.sparkSession, rows.count()
+    files = total // rows_per_file if whole_only else -(-total // rows_per_file)
+    # rows of equal order keep it by the rest of the row
+    at = F.row_number().over(Window.partitionBy("cum___one").orderBy(F.xxhash64(*(quoted(c) for c in rows.columns))))
+    numbered = placed.withColumn("__at", F.col("cum___one") - at).withColumn("__shard", F.floor(F.col("__at") / rows_per_file).cast("int")).where(F.col("__shard") < files)
+    staged = f"{folder.rstrip('/')}/_staged"
+    numbered.drop("__one", "cum___one", "__at").repartition(max(files, 1), "__shard").write.mode("overwrite").option("compression", "zstd").partitionBy("__shard").parquet(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k in range(files):
+        [part] = [f.getPath() for f in fs.listStatus(path(f"{staged}/__shard={k}")) if f.getPath().getName().startswith("part-")]
+        fs.rename(part, path(f"{folder.rstrip('/')}/part-{k:05d}.parquet"))
+    fs.delete(path(staged), True)
+    return files
+
+
 def export(rows: DataFrame, path: str, training_end_year: int) -> DataFrame:
     """The full corpus, ``inference`` (later years) and ``training`` (labelled), and a manifest
     (name, rows) that is returned and written."""
@@ -53,6 +77,19 @@ def write_versioned(rows: DataFrame, path: str, version: str = VERSION) -> None:
     rows.withColumns({"version": F.lit(version), "generated_at": F.current_timestamp()}).write.mode("overwrite").json(path)
 
 
+def newer(spark: SparkSession, path: str, *than: str) -> bool:
+    """Whether a file or folder exists and is no older than the others that exist."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+
+    def modified(name: str) -> int | None:
+        p = hadoop(name)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        return fs.getFileStatus(p).getModificationTime() if fs.exists(p) else None
+
+    at = modified(path)
+    return at is not None and all(t is None or t <= at for t in map(modified, than))
+
+
 def cache_is_ready(cached: DataFrame, corpus: DataFrame, columns: list[str], versions: dict[str, str], most: int = 15) -> bool:
     """Whether a cached result has the columns, few enough rows, current versions, and ids that
     are all in the corpus."""

@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def probe(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """Rows and column types of a Parquet table; the count reads footers only."""
+    found = spark.read.parquet(path)
+    return found.count(), dict(found.dtypes)
+
+
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One work per order; its lines are its authors, references and citations."""
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc_id")
