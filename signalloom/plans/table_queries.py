@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates, records, texts
 from ..operators import evidence, metrics, model, quality, sampling, selection, text_geometry
-from ..sources import providers, tables
+from ..sources import providers, scratch, tables
+from . import works_queries
 from .features import build_features
 from .works_queries import rounded
 
@@ -57,6 +58,16 @@ def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.null_profile(rows.select("doc_id", "lang", "quality", "toxic"))
 
 
+@query("""
+WITH r AS (SELECT doc_id, 2017 + doc_id % 7 AS pub_year, lang AS domain_id, doc_id % 3 = 0 AS is_engineering, toxic AS target_emergence FROM documents LEFT JOIN labels USING (doc_id))
+SELECT 'pub_year' AS name, pub_year::VARCHAR AS value, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 'domain_id', domain_id, count(*) FROM r GROUP BY ALL
+UNION ALL SELECT 'target_emergence', target_emergence::VARCHAR, count(*) FROM r GROUP BY ALL UNION ALL SELECT 'engineering', pub_year::VARCHAR, count(*) FROM r WHERE is_engineering GROUP BY ALL
+""")
+def corpus_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.table(spark, sf_dir, "documents").join(tables.table(spark, sf_dir, "labels"), "doc_id", "left")
+    return quality.corpus_counters(docs.select("doc_id", (2017 + F.col("doc_id") % 7).alias("pub_year"), F.col("lang").alias("domain_id"), (F.col("doc_id") % 3 == 0).alias("is_engineering"), F.col("toxic").alias("target_emergence")))
+
+
 @query("SELECT name, value, n, round(n / (SELECT count(*) FROM documents), 6) AS share FROM (SELECT 'lang' AS name, lang AS value, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY ALL)")
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.value_counts(tables.table(spark, sf_dir, "documents"), "lang", "source"), "share")
@@ -115,7 +126,15 @@ def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.spearman_pairs(tables.table(spark, sf_dir, "lineitem"), list(_NUMBERS), 0.0), "rho")
 
 
-@query()
+@query("""
+WITH r AS (SELECT l_quantity AS x, cast(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem),
+k AS (SELECT x, sum(count(*)) OVER (ORDER BY x) AS upto, sum(count(*)) OVER () AS total FROM r GROUP BY x),
+cuts AS (SELECT DISTINCT min(x) FILTER (upto * 20 >= total * i) AS c FROM k, range(1, 20) AS t(i) GROUP BY i),
+b AS (SELECT y, (SELECT count(*) FROM cuts WHERE x > c) AS b FROM r),
+n AS (SELECT b, y, count(*) AS n FROM b GROUP BY ALL),
+p AS (SELECT n / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS pb, sum(n) OVER (PARTITION BY y) / sum(n) OVER () AS pc FROM n)
+SELECT round(sum(p * ln(p / (pb * pc))), 6) AS information FROM p
+""")
 def binned_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_returnflag") == "R").cast("int").alias("y"))
     return rounded(quality.binned_information(rows, "l_quantity", "y"), "information")
@@ -266,8 +285,8 @@ _REQUEST = "the onsen entions and therings of attion"
 @query(f"WITH q AS (SELECT {_TERMS.format(f"'{_REQUEST}'", _STOP)} AS a), d AS (SELECT doc_id, {_TERMS.format('text', _STOP)} AS t FROM documents) SELECT doc_id, len(list_intersect(t, a)) >= greatest(1, ceil(len(a) * 6 / 10)) AS matches, len(list_intersect(t, a)) AS hits FROM d, q")
 def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.lit(_REQUEST)
-    hits = F.size(F.array_intersect(texts.query_terms(asked), texts.query_terms(F.col("text")))).cast("long")
-    return tables.table(spark, sf_dir, "documents").select("doc_id", predicates.matches_query(F.col("text"), asked).alias("matches"), hits.alias("hits"))
+    found = tables.table(spark, sf_dir, "documents").select("doc_id", predicates.term_hits(F.col("text"), asked).cast("long").alias("hits"))
+    return found.select("doc_id", predicates.enough_terms(F.col("hits"), asked).alias("matches"), "hits")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT (SELECT greatest(1, cast(floor(count(*) * 0.85) AS BIGINT)) FROM orders)")
@@ -292,23 +311,10 @@ def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- texts ----------------------------------------------------------------------------------
 
 
-@query("""
-WITH w AS (SELECT doc_id, string_split(text[1:300], ' ') AS t, doc_id % 3 AS k FROM documents)
-SELECT doc_id, array_to_string(t, ' ') AS lenient, CASE WHEN k <> 1 THEN array_to_string(t, ' ') END AS strict FROM w
-""")
-def abstract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverted indexes of texts' beginnings, as its SQL has them, some with a gap, and the texts rebuilt from them."""
-    return _rebuilt(spark, sf_dir, F.substring("text", 1, 300))
-
-
 @query("SELECT doc_id, text AS lenient, CASE WHEN doc_id % 3 <> 1 THEN text END AS strict FROM documents")
-def abstract_rebuild_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of the whole texts."""
-    return _rebuilt(spark, sf_dir, F.col("text"))
-
-
-def _rebuilt(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
-    docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.split(text, " ").alias("t"), F.when(F.col("doc_id") % 3 == 1, 2).otherwise(0).alias("gap"))
+def abstract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverted indexes of whole texts, some with a gap, and the texts rebuilt from them."""
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("t"), F.when(F.col("doc_id") % 3 == 1, 2).otherwise(0).alias("gap"))
     indexed = docs.select("doc_id", texts.inverted_index(F.col("t"), F.col("gap")).alias("index"))
     return indexed.select("doc_id", texts.lenient_abstract(F.col("index")).alias("lenient"), texts.strict_abstract(F.col("index")).alias("strict"))
 
@@ -349,15 +355,8 @@ def topical_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NUMS = "list_distinct(regexp_extract_all(replace({0}, ',', '.'), '[0-9]+(?:\\.[0-9]+)?'))"
 
 
-@query(f"WITH r AS (SELECT doc_id, text, text[1:40] || CASE WHEN doc_id % 2 = 0 THEN ' 12345' ELSE '' END AS result FROM documents) SELECT doc_id, length(trim(text)) >= 200 AND regexp_matches(text, '(?i)\\b(demonstrat|show|observ|achiev|measur|result|reduc|improv)') AND len(list_filter({_NUMS.format('result')}, lambda x: NOT list_contains({_NUMS.format('text')}, x))) = 0 AS grounded FROM r")
-def numeric_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.table(spark, sf_dir, "documents")
-    result = F.concat(F.substring("text", 1, 40), F.when(F.col("doc_id") % 2 == 0, " 12345").otherwise(""))
-    return docs.select("doc_id", predicates.grounded_numbers(result, F.col("text")).alias("grounded"))
-
-
 @query(f"WITH r AS (SELECT d.doc_id, d.text, coalesce(o.text, '') AS result FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id - d.doc_id % 2) SELECT doc_id, length(trim(text)) >= 200 AND regexp_matches(text, '(?i)\\b(demonstrat|show|observ|achiev|measur|result|reduc|improv)') AND len(list_filter({_NUMS.format('result')}, lambda x: NOT list_contains({_NUMS.format('text')}, x))) = 0 AS grounded FROM r")
-def numeric_grounding_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def numeric_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as results: even documents against themselves, odd ones' texts against the one before."""
     docs = tables.table(spark, sf_dir, "documents")
     results = docs.select(F.col("doc_id").alias("other"), F.col("text").alias("result"))
@@ -365,10 +364,28 @@ def numeric_grounding_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", predicates.grounded_numbers(F.col("result"), F.col("text")).alias("grounded"))
 
 
-@query()
+_GENERAL = ", ".join(f"'{w}'" for w in texts.GENERIC_TERMS)
+_EVIDENCE = "list_transform(list_filter(regexp_extract_all({0}, '[A-Za-z][A-Za-z0-9]+'), lambda w: (length(w) > 2 OR upper(w) IN ('AI', 'VR', 'ML')) AND lower(w) NOT IN (" + _GENERAL + ")), lambda w: lower(w))"
+
+
+#: The order of a list's first occurrences; list_distinct keeps none.
+_IN_ORDER = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents),
+e AS (SELECT doc_id, coalesce({_EVIDENCE.format('title')}, []) AS every, coalesce({_EVIDENCE.format(r"regexp_extract(title, '(?i)\b(?:with emphasis on|for|towards?|in)\s+(.+)$', 1)")}, []) AS focus FROM w),
+t AS (SELECT doc_id, {_IN_ORDER.format('every')} AS terms, focus FROM e),
+p AS (SELECT doc_id, terms, list_filter(terms, lambda x: list_contains(focus, x)) AS inside, list_filter(terms, lambda x: NOT list_contains(focus, x)) AS outside FROM t)
+SELECT doc_id, array_to_string(CASE WHEN len(inside) > 0 THEN list_concat(inside[1:2], outside[1:1]) ELSE terms[1:3] END, ' ') AS phrase FROM p
+""")
 def search_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    works = tables.text_works(spark, sf_dir)
-    return works.select("doc_id", texts.search_phrase(F.col("title")).alias("phrase"), texts.thematic_queries(F.col("title"), F.col("abstract_text")).alias("thematic"))
+    return tables.text_works(spark, sf_dir).select("doc_id", texts.search_phrase(F.col("title")).alias("phrase"))
+
+
+@query()
+def thematic_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts.with_thematic_query(tables.text_works(spark, sf_dir), "title", "abstract_text").select("doc_id", "thematic")
 
 
 @query("""
@@ -379,10 +396,17 @@ def evidence_year_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.yearly_counts(tables.text_works(spark, sf_dir), (2023, 2022, 2021, 2030))
 
 
-@query()
+_KEYWORDS = "that was"
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, cast(2017 + doc_id % 7 AS INTEGER) AS pub_year, {_TERMS.format("coalesce(string_split(text, chr(10))[1], '') || ' ' || coalesce(text, '')", _STOP)} AS t, {_TERMS.format(f"'{_KEYWORDS}'", _STOP)} AS a FROM documents),
+r AS (SELECT doc_id, pub_year, row_number() OVER (PARTITION BY pub_year ORDER BY md5(concat(doc_id, ':42')), doc_id) AS k FROM w WHERE pub_year IN (2018, 2019, 2020) AND len(list_intersect(t, a)) >= greatest(1, ceil(len(a) * 6 / 10)))
+SELECT doc_id, pub_year FROM r WHERE k <= 20
+""")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An even share of each year of the works that match a request."""
-    return providers.TableSearch(tables.text_works(spark, sf_dir)).search("that was", 60, [2018, 2019, 2020], False).select("doc_id", "pub_year")
+    return providers.TableSearch(tables.text_works(spark, sf_dir)).search(_KEYWORDS, 60, [2018, 2019, 2020], False).select("doc_id", "pub_year")
 
 
 # --- vectors --------------------------------------------------------------------------------
@@ -399,32 +423,63 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scored.orderBy(F.col("similarity").desc(), "doc_id").limit(25), "similarity")
 
 
-@query(f"""
+def _geometry_sql(past: str) -> str:
+    """Centroids, volumes and the outlier threshold from the works that ``past`` names."""
+    return f"""
 WITH {tables.VECTORS_SQL},
 d AS (SELECT doc_id, pub_year, topic_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM vectors),
 y AS (SELECT DISTINCT pub_year AS y FROM vectors),
-c AS (SELECT topic_id AS t, y, i, sum(x) / count(DISTINCT doc_id) AS m FROM d JOIN y ON pub_year < y GROUP BY ALL),
-k AS (SELECT t, y, sqrt(sum(m * m)) AS norm FROM c GROUP BY ALL),
+c AS (SELECT topic_id AS t, y, i, sum(x) / count(DISTINCT doc_id) AS m, count(DISTINCT doc_id) AS works FROM d JOIN y ON pub_year < y WHERE {past} GROUP BY ALL),
+k AS (SELECT t, y, sqrt(sum(m * m)) AS norm, max(works) AS works FROM c GROUP BY ALL),
 n AS (SELECT y, count(*) AS topics FROM k WHERE norm > 1e-12 GROUP BY y),
-s AS (SELECT doc_id, topic_id, pub_year, c.t, sum(x * m) / max(norm) AS sim, max(norm) AS norm FROM d JOIN c ON pub_year = c.y AND d.i = c.i JOIN k ON c.t = k.t AND c.y = k.y GROUP BY ALL),
-g AS (SELECT doc_id, max(sim) FILTER (t = topic_id) AS own, max(norm) FILTER (t = topic_id) AS density, max(sim) FILTER (t <> topic_id) AS nearest FROM s GROUP BY doc_id)
-SELECT v.doc_id, round(1 - coalesce(own, 0), 6) AS novelty_raw, round(coalesce(density, 0), 6) AS cluster_density, round(CASE WHEN topics >= 2 THEN coalesce(nearest, 0) ELSE 0 END, 6) AS nearest_topic_similarity,
-  round(CASE WHEN topics >= 2 THEN coalesce(own, 0) - coalesce(nearest, 0) ELSE 0 END, 6) AS cross_topic_gap
-FROM vectors v LEFT JOIN g USING (doc_id) LEFT JOIN n ON v.pub_year = n.y
-""")
+s AS (SELECT doc_id, topic_id, pub_year, c.t, sum(x * m) / max(norm) AS sim, max(norm) AS norm, max(k.works) AS works FROM d JOIN c ON pub_year = c.y AND d.i = c.i JOIN k ON c.t = k.t AND c.y = k.y GROUP BY ALL),
+g AS (SELECT doc_id, max(sim) FILTER (t = topic_id) AS own, max(norm) FILTER (t = topic_id) AS density, max(sim) FILTER (t <> topic_id) AS nearest, max(works) FILTER (t = topic_id) AS volume FROM s GROUP BY doc_id),
+v AS (SELECT doc_id, pub_year, 1 - coalesce(own, 0) AS novelty, coalesce(own, 0) AS own, coalesce(density, 0) AS density, CASE WHEN topics >= 2 THEN coalesce(nearest, 0) ELSE 0 END AS nearest, coalesce(topics >= 2, false) AS others, coalesce(volume, 0) AS volume
+  FROM vectors LEFT JOIN g USING (doc_id) LEFT JOIN n ON pub_year = n.y),
+q AS (SELECT y, quantile_cont(novelty, 0.95) AS threshold FROM v JOIN y ON pub_year < y WHERE {past} GROUP BY y)
+SELECT doc_id, round(novelty, 6) AS novelty_raw, round(own, 6) AS topic_centroid_similarity, round(density, 6) AS cluster_density, cast(volume AS DOUBLE) AS topic_local_volume,
+  round(nearest, 6) AS nearest_topic_similarity, round(CASE WHEN others THEN own - nearest ELSE 0 END, 6) AS cross_topic_gap, coalesce(cast(novelty >= threshold AS INTEGER), 0) AS is_outlier_cluster
+FROM v LEFT JOIN q ON pub_year = y
+"""
+
+
+def _geometry(spark: SparkSession, sf_dir: str, past: Column | None) -> DataFrame:
+    names = ("novelty_raw", "topic_centroid_similarity", "cluster_density", "nearest_topic_similarity", "cross_topic_gap")
+    return rounded(text_geometry.text_geometry(tables.vectors(spark, sf_dir), past).drop("pub_year", "topic_id"), *names)
+
+
+@query(_geometry_sql("true"))
 def vector_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("novelty_raw", "cluster_density", "nearest_topic_similarity", "cross_topic_gap")
-    return rounded(text_geometry.text_geometry(tables.vectors(spark, sf_dir)).select("doc_id", *names), *names)
+    return _geometry(spark, sf_dir, None)
+
+
+@query(_geometry_sql("doc_id % 5 <> 0"))
+def split_aware_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History from four fifths of the works; all works get features."""
+    return _geometry(spark, sf_dir, F.col("doc_id") % 5 != 0)
 
 
 @query()
 def text_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = tables.text_works(spark, sf_dir).withColumn("text", texts.title_and_abstract(F.col("title"), F.col("abstract_text")))
-    found = text_geometry.text_geometry(text_geometry.hashed_vectors(works, buckets=256))
+    found = text_geometry.text_geometry(text_geometry.hashed_vectors(works))
     return rounded(found, "novelty_raw", "topic_centroid_similarity", "cluster_density", "nearest_topic_similarity", "cross_topic_gap")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {tables.VECTORS_SQL},
+p AS (SELECT doc_id, 100.0 - doc_id % 97 AS confidence, vector, row_number() OVER (ORDER BY 100.0 - doc_id % 97 DESC, doc_id) AS k FROM vectors QUALIFY k <= 240),
+s AS (SELECT a.k, any_value(a.doc_id) AS doc_id, any_value(a.confidence) AS confidence, list(list_inner_product(a.vector, b.vector) ORDER BY b.k) AS sims FROM p a, p b GROUP BY a.k),
+step AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS chosen, []::DOUBLE[] AS most
+  UNION ALL
+  SELECT s.k, CASE WHEN takes THEN list_append(chosen, s.k) ELSE chosen END, CASE WHEN takes THEN list_append(most, sim) ELSE most END
+  FROM (SELECT step.*, s.k AS next, coalesce(list_max(list_transform(chosen, lambda c: s.sims[c])), 0) AS sim, len(chosen) < 15 AND coalesce(list_max(list_transform(chosen, lambda c: s.sims[c])), 0) <= 0.78 AS takes FROM step JOIN s ON s.k = step.k + 1) t JOIN s ON s.k = t.next
+),
+last AS (SELECT * FROM step ORDER BY k DESC LIMIT 1),
+e AS (SELECT unnest(chosen) AS k, unnest(most) AS sim, unnest(range(1, len(chosen) + 1)) AS rank FROM last)
+SELECT doc_id, cast(confidence AS DOUBLE) AS confidence, round(sim, 6) AS diversity_max_similarity, cast(rank AS INTEGER) AS rank FROM e JOIN s USING (k)
+""")
 def diverse_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.vectors(spark, sf_dir).select("doc_id", (100.0 - F.col("doc_id") % 97).alias("confidence"), F.concat(F.lit("work "), F.col("doc_id").cast("string")).alias("text"), "vector")
     return selection.diverse_top(rows)
@@ -433,15 +488,37 @@ def diverse_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- model ----------------------------------------------------------------------------------
 
 
-@query()
+def _works_sql(name: str, *columns: str) -> str:
+    return f"(SELECT doc_id, {', '.join(columns)} FROM ({works_queries.ORACLE_SQL[name]}))"
+
+
+_FEATURE_PARTS = {
+    "reference_features": ("reference_count", "has_reference_list"),
+    "citation_features": ("citation_velocity", "citation_acceleration"),
+    "topic_dynamics": ("topic_historical_volume", "topic_publication_growth", "topic_growth_acceleration", "topic_age_years"),
+    "author_dynamics": ("author_growth_rate", "author_growth_acceleration", "historical_author_count"),
+    "topic_domain_ppmi": ("ppmi_domain_score", "topic_domain_rarity", "domain_history_count", "topic_domain_age_years"),
+    "source_history": ("source_history_count", "source_novelty", "topic_source_diversity"),
+    "topic_local_volume": ("topic_local_volume",),
+    "emergence_label": ("target_emergence",),
+}
+_ROUNDED = ("commercial_maturity_index", "citation_acceleration", "topic_publication_growth", "topic_growth_acceleration", "author_growth_rate", "author_growth_acceleration", "ppmi_domain_score", "topic_domain_rarity", "source_novelty")
+
+
+@query(
+    f"WITH {tables.WORKS_SQL} SELECT works.* EXCLUDE (authors_ids, referenced_works_ids) REPLACE (round(commercial_maturity_index, 6) AS commercial_maturity_index), "
+    + ", ".join(c for columns in _FEATURE_PARTS.values() for c in columns)
+    + " FROM works "
+    + " ".join(f"JOIN {_works_sql(name, *columns)} USING (doc_id)" for name, columns in _FEATURE_PARTS.items())
+)
 def work_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_features(tables.works(spark, sf_dir).persist())
+    return rounded(build_features(scratch.materialise(tables.works(spark, sf_dir), "works")), *_ROUNDED)
 
 
 @query()
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained on the years to 1996, scored on 1997, with the greatest contributions."""
-    rows = model.model_input(build_features(tables.works(spark, sf_dir).persist())).persist()
+    rows = scratch.materialise(model.model_input(build_features(scratch.materialise(tables.works(spark, sf_dir), "works"))), "features")
     split = sampling.temporal_split(F.col("pub_year"), 1996, 1997, 1998)
     fitted = model.train(rows.where(split == "train"), iterations=5, depth=3)
     scored = model.score(rows.where(split == "valid"), fitted, 0.3)

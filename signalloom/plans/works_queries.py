@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import citations, history, labels, sampling
@@ -113,15 +113,30 @@ def author_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(history.author_dynamics(works).drop("authors_ids"), "author_growth_rate", "author_growth_acceleration")
 
 
+#: History is four fifths of the works; all works get features.
+def _past_rows() -> Column:
+    return F.col("doc_id") % 5 != 0
+
+
+@query(
+    f"WITH {tables.WORKS_SQL}, {_AUTHORS.replace('FROM works) WHERE', 'FROM works WHERE doc_id % 5 <> 0) WHERE')}, h AS (SELECT *, {_lags('n')} FROM ta) "
+    f"SELECT doc_id, pub_year, topic_id, round({_CLIP.format(_G1)}, 6) AS author_growth_rate, round({_CLIP.format(f'{_G1} - {_G2}')}, 6) AS author_growth_acceleration, cast(x1 AS DOUBLE) AS historical_author_count FROM works JOIN h USING (topic_id, pub_year)"
+)
+def split_aware_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = tables.works(spark, sf_dir).select("doc_id", "pub_year", "topic_id", "authors_ids")
+    return rounded(history.author_dynamics(works, _past_rows()).drop("authors_ids"), "author_growth_rate", "author_growth_acceleration")
+
+
 @query(f"WITH {tables.WORKS_SQL}, {_AUTHORS} SELECT topic_id, pub_year, n AS authors FROM ta")
 def author_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.author_counts(tables.works(spark, sf_dir).select("doc_id", "pub_year", "topic_id", "authors_ids"))
 
 
-@query(f"""
+def _domain_sql(n: str, first: str) -> str:
+    return f"""
 WITH {tables.TOPIC_WORKS_SQL},
-tdy AS (SELECT topic_id, domain_id, pub_year, count(*) AS n FROM works WHERE topic_id IS NOT NULL AND domain_id IS NOT NULL AND pub_year IS NOT NULL GROUP BY ALL),
-pair AS (SELECT *, {_PAST.format(v='n', keys='topic_id, domain_id')} AS xy, min(pub_year) OVER (PARTITION BY topic_id, domain_id) AS first FROM tdy),
+tdy AS (SELECT topic_id, domain_id, pub_year, {n} AS n FROM works WHERE topic_id IS NOT NULL AND domain_id IS NOT NULL AND pub_year IS NOT NULL GROUP BY ALL),
+pair AS (SELECT *, {_PAST.format(v='n', keys='topic_id, domain_id')} AS xy, {first} OVER (PARTITION BY topic_id, domain_id) AS first FROM tdy),
 tp AS (SELECT topic_id, pub_year, {_PAST.format(v='n', keys='topic_id')} AS x FROM (SELECT topic_id, pub_year, sum(n) AS n FROM tdy GROUP BY ALL)),
 dp AS (SELECT domain_id, pub_year, {_PAST.format(v='n', keys='domain_id')} AS y FROM (SELECT domain_id, pub_year, sum(n) AS n FROM tdy GROUP BY ALL)),
 al AS (SELECT pub_year, coalesce(sum(n) OVER (ORDER BY pub_year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM (SELECT pub_year, sum(n) AS n FROM tdy GROUP BY ALL))
@@ -130,27 +145,45 @@ SELECT doc_id, pub_year, topic_id, domain_id,
   round(1 / ln(xy + 2.0), 6) AS topic_domain_rarity, cast(y AS DOUBLE) AS domain_history_count,
   cast(CASE WHEN xy > 0 THEN greatest(0, pub_year - first) ELSE 0 END AS DOUBLE) AS topic_domain_age_years
 FROM works JOIN pair USING (topic_id, domain_id, pub_year) JOIN tp USING (topic_id, pub_year) JOIN dp USING (domain_id, pub_year) JOIN al USING (pub_year)
-""")
+"""
+
+
+@query(_domain_sql("count(*)", "min(pub_year)"))
 def topic_domain_ppmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(history.topic_domain(tables.topic_works(spark, sf_dir)).drop("source_tier"), "ppmi_domain_score", "topic_domain_rarity")
 
 
-@query(f"""
+@query(_domain_sql("count(*) FILTER (doc_id % 5 <> 0)", "min(CASE WHEN n > 0 THEN pub_year END)"))
+def split_aware_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(history.topic_domain(tables.topic_works(spark, sf_dir), _past_rows()).drop("source_tier"), "ppmi_domain_score", "topic_domain_rarity")
+
+
+def _source_sql(n: str) -> str:
+    return f"""
 WITH {tables.WORKS_SQL},
-ts AS (SELECT topic_id, source_id, pub_year, count(*) AS n FROM works WHERE topic_id IS NOT NULL AND source_id IS NOT NULL AND pub_year IS NOT NULL GROUP BY ALL),
+ts AS (SELECT topic_id, source_id, pub_year, {n} AS n FROM works WHERE topic_id IS NOT NULL AND source_id IS NOT NULL AND pub_year IS NOT NULL GROUP BY ALL),
 p AS (SELECT *, {_PAST.format(v='n', keys='topic_id, source_id')} AS c FROM ts),
-f AS (SELECT topic_id, pub_year, count(*) AS k FROM (SELECT topic_id, source_id, min(pub_year) AS pub_year FROM ts GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT topic_id, pub_year, count(*) AS k FROM (SELECT topic_id, source_id, min(pub_year) AS pub_year FROM ts WHERE n > 0 GROUP BY ALL) GROUP BY ALL),
 s AS (SELECT topic_id, pub_year, {_PAST.format(v='k', keys='topic_id')} AS d FROM (SELECT DISTINCT topic_id, pub_year FROM ts) LEFT JOIN f USING (topic_id, pub_year))
 SELECT doc_id, works.topic_id, works.source_id, works.pub_year, cast(coalesce(c, 0) AS DOUBLE) AS source_history_count,
   round(CASE WHEN c IS NULL THEN 0.0 ELSE 1 / ln(c + 2.0) END, 6) AS source_novelty, cast(CASE WHEN c IS NULL THEN 0 ELSE d END AS DOUBLE) AS topic_source_diversity
 FROM works LEFT JOIN p ON works.topic_id = p.topic_id AND works.source_id = p.source_id AND works.pub_year = p.pub_year
 LEFT JOIN s ON works.topic_id = s.topic_id AND works.pub_year = s.pub_year
-""")
+"""
+
+
+@query(_source_sql("count(*)"))
 def source_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = tables.works(spark, sf_dir).select("doc_id", "topic_id", "source_id", "pub_year")
     return rounded(history.source_history(works), "source_novelty")
 
 
+@query(_source_sql("count(*) FILTER (doc_id % 5 <> 0)"))
+def split_aware_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = tables.works(spark, sf_dir).select("doc_id", "topic_id", "source_id", "pub_year")
+    return rounded(history.source_history(works, _past_rows()), "source_novelty")
+
+
 @query(f"WITH {tables.WORKS_SQL} SELECT doc_id, cast(len(referenced_works_ids) AS DOUBLE) AS reference_count, cast(len(referenced_works_ids) > 0 AS INTEGER) AS has_reference_list FROM works")
 def reference_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.reference_features(tables.works(spark, sf_dir).select("doc_id", "referenced_works_ids")).drop("referenced_works_ids")
