@@ -1,3 +1,5 @@
+import re
+
 import random
 
 import pytest
@@ -31,7 +33,7 @@ def test_inverted_index_of_a_long_text(spark):
 
 
 def test_abstract_rebuild_reads_whole_texts(spark, sf_dir):
-    rows = table_queries.abstract_rebuild_whole(spark, sf_dir).join(tables.table(spark, sf_dir, "documents"), "doc_id")
+    rows = table_queries.abstract_rebuild(spark, sf_dir).join(tables.table(spark, sf_dir, "documents"), "doc_id")
     assert rows.where(F.char_length("text") > 300).count() > 0
     assert rows.where((F.col("lenient") != F.col("text")) | ((F.col("doc_id") % 3 != 1) & (F.col("strict") != F.col("text")))).count() == 0
 
@@ -96,7 +98,7 @@ def test_numbers_late_in_a_result_are_checked(spark, tmp_path):
     source = "The device shows a loss of 1.7 dB in all measured bands. " * 5
     rows = [(2, source + "It weighs 99 g."), (3, source), (4, source), (5, source)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.grounded for r in table_queries.numeric_grounding_whole(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.grounded for r in table_queries.numeric_grounding(spark, str(tmp_path)).collect()}
     assert got == {2: True, 3: False, 4: True, 5: True}
 
 
@@ -110,16 +112,59 @@ def test_search_phrase(spark, title, expected):
     assert one(spark, "x string", (title,), texts.search_phrase(F.col("x"))) == expected
 
 
-def test_thematic_query():
-    assert texts.thematic_query("Port Scan Detection in IoT Networks", "A port scan of IoT devices. Port scan attacks.") == '"Port Scan" AND IoT'
-    assert texts.thematic_query("Hard carbon for sodium storage", "hard carbon anodes hard carbon") == '"Hard carbon" AND sodium'
-    assert texts.thematic_query("On the", "nothing") is None
-    assert texts.thematic_query(None, None) is None
+@pytest.mark.parametrize("title, abstract, expected", [
+    ("Port Scan Detection in IoT Networks", "A port scan of IoT devices. Port scan attacks.", '"Port Scan" AND IoT'),
+    ("Hard carbon for sodium storage", "hard carbon anodes hard carbon", '"Hard carbon" AND sodium'),
+    ("Sodium storage", "x y", '"sodium ion"'),
+    ("Zinc Air cells", "ZA cells", '"Zinc Air"'),
+    ("Deep learning: networks for tumor imaging", "tumor networks learning imaging", '"tumor imaging"'),
+    ("Running buildings", "the building runs while run", None),
+    ("On the", "nothing", None),
+    (None, None, None),
+])
+def test_thematic_query(spark, title, abstract, expected):
+    rows = spark.createDataFrame([(title, abstract)], "thematic_parts string, a string")
+    got = texts.with_thematic_query(rows, "thematic_parts", "a")
+    assert got.columns == ["thematic_parts", "a", "thematic"] and got.first().thematic == expected
+
+
+@pytest.mark.parametrize("text", ["Running buildings Processes sees gases bring processing", "3cats é-dogs hopping adding Singing", None])
+def test_word_stems(spark, text):
+    def plain(w):
+        if len(w) > 6 and w.endswith("ing"):
+            return w[:-4] if w[-4] == w[-5] else w[:-3]
+        return w[:-1] if len(w) > 4 and w.endswith("s") else w
+
+    words = [w.lower() for w in re.findall("[A-Za-z][A-Za-z0-9]*", text or "")]
+    assert one(spark, "x string", (text,), texts.word_stems(F.col("x"))) == [plain(w) for w in words]
+
+
+def test_query_variants(spark):
+    check = lambda q: one(spark, "x string", (q,), texts.query_variants(F.col("x")))
+    assert check("a b  c d") == ["a b c", "a b", "a"] and check("a") == [] and check("") == []
+
+
+def test_titles_and_signals(spark):
+    check = lambda f, *x: one(spark, "x string, y string", x, f(F.col("x"), F.col("y")))
+    assert check(predicates.valid_title, "Новый метод", "A new method") and not check(predicates.valid_title, "A new method", "A new method")
+    assert not check(predicates.valid_title, "Alpha beta gamma delta метод", "x") and check(predicates.valid_title, "None", " ")
+    assert check(predicates.valid_description, "None", None) and not check(predicates.valid_description, "None", "text") and not check(predicates.valid_description, None, "text")
+    assert one(spark, "x string", ("Ключевые факторы для этой статьи не выделены. И",), predicates.generic_signal(F.col("x"))) is True
+    assert one(spark, "x string", ("```json\n{}\n```",), texts.without_fence(F.col("x"))) == "{}"
+    assert one(spark, "x string", ("A b. C d! E",), texts.first_sentences(F.col("x"), 2)) == "A b. C d!"
+
+
+def test_fresh(spark):
+    df = spark.sql("select current_timestamp() - interval 23 hours as a, current_timestamp() - interval 25 hours as b, cast(null as timestamp) as c")
+    assert tuple(df.select(*(predicates.fresh(F.col(c)) for c in "abc")).first()) == (True, False, False)
+
 
+def test_cache_keys(spark):
+    import hashlib
 
-def test_query_variants():
-    assert texts.query_variants("a b c d") == ["a b c", "a b", "a"]
-    assert texts.query_variants("a") == []
+    got = one(spark, "x string, y string", ("q", None), F.struct(texts.cache_key(F.col("x"), F.col("y")).alias("k"), texts.cache_name(F.col("x"), F.lit("a/b c")).alias("n")))
+    assert got.k == hashlib.sha256(b'["q",null]').hexdigest()
+    assert got.n == hashlib.sha256(b"q").hexdigest()[:16] + "_a_b_c.json"
 
 
 def test_authorships(spark):

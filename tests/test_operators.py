@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalloom.operators import citations, evidence, history, labels, metrics, model, quality, sampling, selection, text_geometry
+from signalloom.functions import texts
+from signalloom.operators import citations, evidence, history, labels, metrics, model, quality, ranks, sampling, selection, text_geometry
 from signalloom.plans.features import build_features, score_and_select
 from signalloom.sources import providers, sinks, tables
 from signalloom.streaming import counts as stream
@@ -118,19 +119,84 @@ def test_text_geometry_without_topic(spark):
 
 
 def test_allocation(spark):
-    quota = sampling.allocate_counts(1_000_000, {str(y): 1 for y in range(2010, 2027)})
+    df = spark.createDataFrame([(str(y), 1) for y in range(2010, 2027)], "key string, weight long")
+    quota = {r.key: r.quota for r in sampling.allocate(df, 1_000_000).collect()}
     assert sum(quota.values()) == 1_000_000 and set(quota.values()) == {58823, 58824}
-    df = spark.createDataFrame([(k, 1) for k in quota], "key string, weight long")
-    assert {r.key: r.quota for r in sampling.allocate(df, 1_000_000).collect()} == quota
-    with pytest.raises(ValueError):
-        sampling.allocate_counts(1, {"a": 0})
 
 
-def test_stratum_plan():
-    plan = sampling.stratum_plan({2020: {"1": 100, "2": 100, "3": 100, "4": 100}}, {2020: 10}, 40)
-    assert [p[:2] for p in plan] == [("2020-1", 10), ("2020-2", 10), ("2020-3-engineering", 3), ("2020-3-other", 7), ("2020-4", 10)]
-    with pytest.raises(ValueError):
-        sampling.stratum_plan({2020: {"1": 1, "2": 100, "3": 100, "4": 100}}, {2020: 10}, 300)
+def test_strata(spark):
+    def planned(works, total):
+        rows = [(2020, d, n, 10 if d == "3" else 0) for d, n in works.items()]
+        return sampling.strata(spark.createDataFrame(rows, "year int, domain string, works long, engineering long"), total).orderBy("stratum").collect()
+
+    plan = planned({"1": 100, "2": 100, "3": 100, "4": 100}, 40)
+    assert [(p.stratum, p.quota, p.population) for p in plan] == [("2020-1", 10, 100), ("2020-2", 10, 100), ("2020-3-engineering", 3, 10), ("2020-3-other", 7, 90), ("2020-4", 10, 100)]
+    assert all(p.enough for p in plan)
+    assert [p.enough for p in planned({"1": 1, "3": 20}, 300)] == [False, False, False]
+
+
+def test_repeated_keys_fill_a_quota(spark):
+    rows = spark.range(200_000).select((F.col("id") % 3).alias("k"), F.lit("s").alias("a.b"), F.col("id").alias("row"), F.lit(1).alias("rank"))
+    got = sampling.quota_sample(rows, "a.b", "k", spark.createDataFrame([("s", 500)], "`a.b` string, quota long"))
+    assert got.columns == rows.columns and got.count() == 500 and got.select("k").distinct().count() == 1
+    copies = rows.select("k", F.lit("s").alias("s"))
+    assert sampling.quota_sample(copies, "s", "k", spark.createDataFrame([("s", 150_001)], "s string, quota long")).count() == 150_001
+    assert sampling.seeded_subsample(rows, "k", 77).count() == 77 and sampling.seeded_subsample(rows.limit(5), "k", 77).count() == 5
+    assert sampling.seeded_subsample(rows.limit(0), "k", 7).count() == 0
+
+
+def test_null_targets_keep_their_rows(spark):
+    rows = spark.range(100).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("id"), F.when(F.col("id") % 5 != 0, F.col("id") % 2).alias("y"))
+    got = sampling.exact_stratified_split(rows, "y", "id", {"a": 0.5, "b": 0.5})
+    assert got.count() == 100
+    assert {(r.y, r.split): r["count"] for r in got.groupBy("y", "split").count().collect()} == {(k, s): n for k, n in ((None, 10), (0, 20), (1, 20)) for s in "ab"}
+
+
+def test_sample_is_the_least_by_hash(spark):
+    import hashlib
+
+    rows = spark.range(5000).select(F.col("id"), F.lit(0).alias("s"))
+    got = {r.id for r in sampling.quota_sample(rows, "s", "id", spark.createDataFrame([(0, 123)], "s int, quota long")).collect()}
+    assert got == set(sorted(range(5000), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())[:123])
+
+
+def test_quantiles_and_sums(spark):
+    rng = np.random.default_rng(1)
+    data = [(g, float(v)) for g in "ab" for v in rng.integers(0, 40, 301)]
+    counts = spark.createDataFrame(data, "g string, v double").groupBy("g", "v").count().withColumnRenamed("count", "n").repartition(3)
+    members = spark.createDataFrame([("a", "a"), ("both", "a"), ("both", "b")], "w string, g string")
+    got = {(r.w, r.share): r.value for r in ranks.quantiles(counts, members, [0.0, 0.3, 0.95, 1.0]).collect()}
+    for w, groups in (("a", "a"), ("both", "ab")):
+        values = [v for g, v in data if g in groups]
+        assert {q: got[w, q] for q in (0.0, 0.3, 0.95, 1.0)} == pytest.approx({q: float(np.quantile(values, q)) for q in (0.0, 0.3, 0.95, 1.0)})
+    assert ranks.quantiles(counts.limit(0), members, [0.5]).count() == 0
+    odd = spark.createDataFrame([(1, 2, 3), (1, 5, 4), (2, 7, 5)], "at int, part int, `a.b` int")
+    assert sorted(map(tuple, ranks.cumulative(odd, "at", ["a.b"]).collect())) == [(1, 2, 3, 7), (1, 5, 4, 7), (2, 7, 5, 12)]
+
+
+def test_describe_keeps_empty_columns(spark):
+    r = {x.name: x for x in quality.describe(spark.createDataFrame([(1.0, None), (float("nan"), None), (4.0, None)], "a double, b double"), "a", "b").collect()}
+    assert (r["a"].n, r["a"].median, r["a"].outliers) == (2, 2.5, 0) and (r["b"].n, r["b"].median, r["b"].outliers) == (0, None, 0)
+
+
+def test_text_features_take_history_only(spark):
+    works = tables.topic_works(spark, "/root/testdata/sf0.001").withColumns({"source_id": F.lit(1), "authors_ids": F.array(F.lit(1)), "referenced_works_ids": F.array(F.lit(1)), "counts_by_year": F.lit("[]"), "commercial_maturity_index": F.lit(0.0)})
+    vectors = works.select("doc_id", F.array(F.lit(0.6), F.lit(0.8)).alias("vector"))
+    found = build_features(works, F.lit(False), vectors, label=False)
+    names = ("topic_centroid_similarity", "cluster_density", "topic_local_volume", "nearest_topic_similarity", "cross_topic_gap", "is_outlier_cluster", "topic_historical_volume")
+    r = found.agg(F.min("novelty_raw").alias("novelty"), *(F.sum(F.abs(c)).alias(c) for c in names)).first()
+    assert r.novelty == 1.0 and [r[c] for c in names] == [0.0] * len(names)
+    assert build_features(works, None, vectors, label=False).agg(F.min("novelty_raw")).first()[0] < 0.1
+
+
+def test_geometry_in_pieces(spark, monkeypatch):
+    """Many parts and blocks give what one gives."""
+    works = tables.vectors(spark, "/root/testdata/sf0.001")
+    key = lambda df: sorted((r.doc_id, *(round(x, 9) for x in r[3:])) for r in df.collect())
+    whole = key(text_geometry.text_geometry(works))
+    monkeypatch.setattr(text_geometry, "BLOCK_TOPICS", 2)
+    monkeypatch.setattr(text_geometry, "PART_WORKS", 7)
+    assert key(text_geometry.text_geometry(works)) == whole
 
 
 def test_quota_sample_is_exact(spark):
@@ -214,11 +280,20 @@ def test_validate(spark):
     assert (r.passed, r.duplicate_doc_ids, r.null_abstract_text, r.invalid_future_targets) == (False, 1, 1, 1)
 
 
-def test_chart():
-    assert evidence.axis_ticks(7) == [0, 2, 4, 6, 8] and evidence.axis_ticks(13) == [0, 5, 10, 15]
-    points = evidence.timeline([{"year": 2023, "count": 13}, {"year": 2022, "count": 0}])["points"]
-    assert [p["year"] for p in points] == [2022, 2023] and points[1]["y"] == 52
-    assert evidence.timeline([])["line"] == ""
+def test_chart(spark):
+    def drawn(*counts):
+        rows = spark.createDataFrame([(2020 + i, n) for i, n in enumerate(counts)], "year int, count int")
+        return evidence.chart(rows, 70, 592, 35, 165).orderBy("year").collect()
+
+    assert drawn(7)[0].ticks == [0, 2, 4, 6, 8] and drawn(13)[0].ticks == [0, 5, 10, 15]
+    assert [(p.x, p.y) for p in drawn(0, 13)] == [(70, 165), (592, 52)]
+    assert drawn(0)[0].ticks == [0, 1] and drawn(None)[0].y == 165 and drawn(41)[0].step == 20 and drawn() == []
+
+
+def test_per_year(spark):
+    works = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("glucose sensors").alias("title"), F.when(F.col("id") != 3, "x").alias("abstract_text"), (2020 + F.col("id") % 3).cast("int").alias("pub_year"), (F.col("id") % 2).alias("topic_id"))
+    got = evidence.per_year(works, "glucose sensor", 0, (2020, 2021), 8)
+    assert {(r.pub_year, r.total, r.exhaustive): r["count"] for r in got.groupBy("pub_year", "total", "exhaustive").count().collect()} == {(2020, 9, False): 8, (2021, 8, True): 8}
 
 
 def test_evidence(spark):
@@ -256,24 +331,150 @@ def test_shares(spark):
 
 def test_recovery(spark):
     works = spark.createDataFrame([("W1", "Glucose monitoring", "implant sensor", 2020, ["r"]), ("W2", "Optics", "implant of lenses", 2020, ["r"])], "doc_id string, title string, abstract_text string, pub_year int, referenced_works_ids array<string>")
-    assert providers.recover_seeds("implant glucose sensor", [2020], providers.TableSearch(works)) == ["W1"]
+    search = providers.TableSearch(works)
+    assert [tuple(r) for r in providers.recover_seeds("implant glucose sensor", [2020], search, spark).collect()] == [("W1", 0)]
     budget = providers.TimeBudget(0)
-    assert providers.recover_seeds("implant glucose sensor", [2020], providers.TableSearch(works), budget=budget) == [] and budget.partial
-    assert providers.per_year_quotas(10, [1, 2, 3]) == {1: 4, 2: 3, 3: 3}
+    assert providers.recover_seeds("implant glucose sensor", [2020], search, spark, budget=budget).count() == 0 and budget.partial
+    assert providers.searches(spark, "a b c") == [("a b c", False), ("a b", True), ("a b", False), ("a", True), ("a", False)]
+    found, total = search.by_topic(None, 1, [2020]) if "topic_id" in works.columns else providers.TableSearch(works.withColumn("topic_id", F.lit(5))).by_topic(5, 1, [2020])
+    assert found.count() == 1 and total == 2
+    assert [tuple(r) for r in providers.TableSearch(works.withColumn("topic_id", F.lit(5))).count_by_year(5).collect()] == [(2020, 2)]
+
 
+class Reply:
+    def __init__(self, status=200, left=None):
+        self.status, self.headers, self.body = status, {} if left is None else {"x-ratelimit-remaining": str(left)}, {"status": status}
 
-def test_client():
-    waits, fails = [], [OSError(), OSError()]
+
+def client(*replies, **options):
+    waits, left = [], list(replies)
 
     def call(url, params):
-        if fails:
-            raise fails.pop()
-        return {"url": url}
+        answer = left.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    return providers.RateLimitedClient(call, sleep=waits.append, clock=lambda: 0.0, **options), waits
+
+
+def test_client_tries_again():
+    c, waits = client(OSError(), Reply(503), Reply(), rate=10, quota=3)
+    assert c.get("u") == {"status": 200} and 1 in waits and 2 in waits
+    with pytest.raises(providers.Paused):
+        c.get("u")
+
+
+@pytest.mark.parametrize("status", [401, 403, 429])
+def test_client_pauses_when_refused(status):
+    c, _ = client(Reply(status))
+    with pytest.raises(providers.Paused):
+        c.get("u")
+    assert c.used == 1
+
 
-    client = providers.RateLimitedClient(call, rate=10, quota=3, sleep=waits.append, clock=lambda: 0.0)
-    assert client.get("u") == {"url": "u"} and 1 in waits and 2 in waits
+def test_client_minds_what_is_left():
+    c, _ = client(Reply(left=10), Reply())
+    c.get("u")
+    with pytest.raises(providers.Paused):
+        c.get("u")
     with pytest.raises(RuntimeError):
-        client.get("u")
+        client(Reply(404))[0].get("u")
+
+
+def test_configuration(tmp_path, monkeypatch):
+    (tmp_path / "c.json").write_text('{"a": 1}')
+    (tmp_path / ".env").write_text("# keys\nexport OTHER_KEY='k'\n")
+    monkeypatch.delenv("OTHER_KEY", raising=False)
+    assert providers.configuration(str(tmp_path / "c.json"), "OTHER_KEY", str(tmp_path / ".env")) == {"a": 1, "api_key": "k"}
+    assert providers.configuration(str(tmp_path / "c.json"), "OTHER_KEY")["api_key"] == ""
+
+
+def test_small_sources(spark, tmp_path):
+    import sqlite3
+
+    with sqlite3.connect(tmp_path / "db") as db:
+        db.execute("create table t (a int, b text)")
+        db.execute("insert into t values (1, 'x')")
+    assert [tuple(r) for r in providers.sqlite_table(spark, str(tmp_path / "db"), "select a, b from t", "a int, b string").collect()] == [(1, "x")]
+    keys, cache = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "old"), (3, "other")], "k int, v string")
+    got = providers.read_through(keys, cache, "k", lambda missing: missing.withColumn("v", F.lit("new")))
+    assert sorted(map(tuple, got.collect())) == [(1, "old"), (2, "new")]
+    assert tables.probe(spark, "/root/testdata/sf0.001/region.parquet") == (5, {"r_regionkey": "int", "r_name": "string"})
+    assert texts.safe_name("  A b/C! ") == "a_b_c" and texts.safe_name("!!") == "query"
+
+
+def test_rankers(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, 2018 + i % 3, float(a), float(b), int(a > 0.7)) for i, (a, b) in enumerate(rng.random((600, 2)))]
+    rows = model.model_input(spark.createDataFrame(data, "doc_id int, pub_year int, a double, b double, target_emergence int"))
+    known, later = rows.where("pub_year < 2020"), rows.where("pub_year = 2020")
+    ranker = model.train_ranker(known, most=60)
+    positives = later.where("target_emergence = 1").count()
+    for found in (ranker, model.train(known.withColumn("strength", F.col("target_emergence") * 2.0), "strength", iterations=4, depth=3, mode="regression")):
+        best = model.rank_score(later, found).orderBy(F.desc("rank_score")).limit(positives)
+        assert best.agg(F.avg("target_emergence")).first()[0] > 0.9
+    pairs = model.training_pairs(model._finite(model.Pipeline(stages=model._assembly(known, "target_emergence", ())).fit(known).transform(known)), "pub_year", "doc_id", "target_emergence", 60)
+    assert {r["count"] for r in pairs.groupBy("g").count().collect()} == {60}
+    with pytest.raises(ValueError):
+        model.train(known, mode="other")
+
+
+def test_early_stop_and_weights(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, 2020, float(a), int(rng.random() < 0.1), i % 4 == 0) for i, a in enumerate(rng.random(400))]
+    rows = model.model_input(spark.createDataFrame(data, "doc_id int, pub_year int, a double, target_emergence int, held boolean"))
+    stopped = model.train(rows.drop("held").withColumn("v", F.col("doc_id") % 4), iterations=20, depth=3, validation=F.col("doc_id") % 4 == 0, tolerance=0.05)
+    assert len(stopped.stages[-1].trees) < 20
+    plain, even = (model.train(rows.drop("held"), iterations=2, depth=2, balanced=b) for b in (False, True))
+    mean = lambda m: model.score(rows.drop("held"), m).agg(F.avg("probability")).first()[0]
+    assert mean(even) > mean(plain) + 0.1
+
+
+def test_shap_report(spark):
+    rows = spark.createDataFrame([([("a", 1.0, 0.5), ("b", 1.0, -2.0)],), ([("a", 1.0, -1.5), ("b", 1.0, 0.0)],)], "shap_values array<struct<feature: string, value: double, shap: double>>")
+    assert {r.feature: r.mean_abs_shap for r in model.shap_report(rows).collect()} == {"a": 1.0, "b": 1.0}
+
+
+def test_shards(spark, tmp_path):
+    rows = spark.range(25).select(F.col("id"), F.lit("x").alias("v")).repartition(5)
+    assert sinks.write_shards(rows, str(tmp_path / "s"), 10, "id") == 2
+    assert sorted(p.name for p in (tmp_path / "s").glob("part-*")) == ["part-00000.parquet", "part-00001.parquet"]
+    assert {r.id for r in spark.read.parquet(str(tmp_path / "s" / "part-00001.parquet")).collect()} == set(range(10, 20))
+    assert sinks.write_shards(rows, str(tmp_path / "t"), 10, "id", whole_only=False) == 3
+
+
+def test_reports_and_age(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "n int, s string")
+    for kind in ("csv", "json"):
+        sinks.write_report(rows, str(tmp_path / kind), kind)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()[0].s == "a" and spark.read.json(str(tmp_path / "json")).first().n == 1
+    import os
+
+    os.utime(tmp_path / "csv", (1, 1))
+    assert sinks.newer(spark, str(tmp_path / "json"), str(tmp_path / "csv"), str(tmp_path / "nothing"))
+    assert not sinks.newer(spark, str(tmp_path / "csv"), str(tmp_path / "json")) and not sinks.newer(spark, str(tmp_path / "nothing"))
+    known = spark.createDataFrame([(1, "old", 0)], "k int, v string, o int")
+    arrived = spark.createDataFrame([(1, "new", 1), (2, "b", 2), (2, "a", 1)], known.schema)
+    assert sorted(tuple(r)[:2] for r in sinks.insert_new(known, arrived, "k", "o").collect()) == [(1, "old"), (2, "a")]
+
+
+def test_workers_find_the_package(tmp_path):
+    """Python stages run from another working folder."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as e
+assert e.queries()["diverse_top15"](spark, "/root/testdata/sf0.001").count() > 0
+assert e.queries()["vector_geometry"](spark, "/root/testdata/sf0.001").count() > 0
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=300)
 
 
 def test_sinks(spark, tmp_path):
