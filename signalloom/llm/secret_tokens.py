@@ -2,7 +2,8 @@
 
 A byte-pair vocabulary writes words in few tokens and random strings in many. A long unbroken
 run of key characters whose characters per token fall below a limit is taken for a secret,
-unless it is a digest of a known length, a UUID, or an identifier made of words and numbers.
+unless it is a digest of a known length, a UUID, or an identifier made of words and numbers:
+words by the same test, each by itself.
 """
 
 from __future__ import annotations
@@ -26,14 +27,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs of at least 32: the same as all runs with the shorter ones dropped.
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
-#: Runs that the token test looks at.
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Characters of a run that the token test looks at, at least, and of one that has the form of words
+#: and numbers: below, invented words and names take as many tokens as random strings.
+LEAST, LEAST_WORDS = 16, 20
+_SIGNS = "!#$%&*@^~+/_=-"
+_RUN = re.compile(r"(?<![A-Za-z0-9!#$%&*@^~+/_=-])[A-Za-z0-9!#$%&*@^~+/_=-]{16,}")
 #: Hex digits of common digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGEST_DIGITS = (32, 40, 56, 64, 96, 128)
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Words of letters, at most capitalised, or whole numbers, joined by signs.
-_IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]++|(?<![A-Za-z])[0-9]++|[+/_=-])++")
+_IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]++|(?<![A-Za-z])[0-9]++|[!#$%&*@^~+/_=-])++")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Characters per token below which a run is taken for random. Random letters and digits give about 1.5.
@@ -58,6 +62,8 @@ def known_form(run: str, limit: float = LIMIT, vocabulary: str = VOCABULARY) ->
         return True
     if not _IDENTIFIER.fullmatch(run):
         return False
+    if len(run) < LEAST_WORDS:
+        return True
     encode = encoder(vocabulary).fast.encode_ordinary
     return sum(map(len, words)) >= limit * sum(len(encode(w)) for w in words)
 
@@ -65,10 +71,10 @@ def known_form(run: str, limit: float = LIMIT, vocabulary: str = VOCABULARY) ->
 def random_strings(text: str, base: list[Span], limit: float = LIMIT, vocabulary: str = VOCABULARY) -> list[Span]:
     covered, found = Covered(base), []
     for m in _RUN.finditer(text):
-        run = m.group().strip("=-_/+")
+        run = m.group().strip(_SIGNS)
         a = m.start() + m.group().index(run) if run else m.start()
         span = (a, a + len(run), "random")
-        if len(run) < 20 or known_form(run, limit, vocabulary) or covered.overlaps(span):
+        if len(run) < LEAST or known_form(run, limit, vocabulary) or covered.overlaps(span):
             continue
         if len(run) < limit * len(encoder(vocabulary).fast.encode_ordinary(run)):
             found.append(span)

@@ -79,6 +79,28 @@ def test_random_strings():
         assert find(f"see {text} here")[1] == [], text
 
 
+SHAPES = {"letters": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "mixed": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
+SHAPES |= {"base64": SHAPES["mixed"] + "+/", "signs": SHAPES["mixed"] + "!#$%&*@^~"}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("length", [20, 24, 40])
+def test_recall_by_shape(shape, length):
+    rng = random.Random(length)
+    hits = 0
+    for _ in range(100):
+        text = f"the key {''.join(rng.choices(SHAPES[shape], k=length))} was sent"
+        base = sec.base_secrets(text)
+        hits += sum(b - a for a, b, _ in base + sec.random_strings(text, base)) >= 0.8 * length
+    assert hits >= 90
+
+
+def test_no_alarm_in_plain_texts(spark):
+    """The tables hold only secrets of the base kinds: every other run of theirs is a word, a name or an address."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert sum(len(sec.random_strings(t, sec.base_secrets(t))) for t in texts) == 0
+
+
 def test_masking():
     assert masked("abcdef", [(1, 3, "x"), (2, 4, "y")], str.upper) == "aXef"
     assert masked("abc", [], str.upper) == "abc"
