@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, values
+from .common import arrow_map, documents, materialise, values
 
 FOLDS = 5
 #: Documents that the model is learned from at most, dealt evenly to languages and chosen by a hash.
@@ -68,6 +68,7 @@ class Model:
         self.known: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.languages)))
         self.sizes = np.zeros(1024, np.int64)
+        self.judged = np.zeros(1024, np.int64)
 
     def learn(self, tokens: set[str]) -> None:
         """Score new tokens, all at once: log likelihoods by language, 0 for the best and bounded
@@ -81,6 +82,7 @@ class Model:
         while first + n > len(self.sizes):
             self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
             self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+            self.judged = np.concatenate((self.judged, np.zeros_like(self.judged)))
         self.known.update((t, first + i) for i, (t, _) in enumerate(fresh))
         self.sizes[first : first + n] = [len(w) for _, w in fresh]
         scored = [(first + i, w, own) for i, (_, w) in enumerate(fresh) if w and (own := self.scripts.get(script(w[0]))) and any(own)]
@@ -92,8 +94,14 @@ class Model:
         starts = np.cumsum([0] + [len(w) for _, w, _ in scored[:-1]])
         s = np.add.reduceat(self.logs[flat], starts, axis=0)
         s = np.where([own for _, _, own in scored], s, -np.inf)
+        self.judged[[k for k, _, _ in scored]] = [len(w) for _, w, _ in scored]
         self.scores[[k for k, _, _ in scored]] = np.maximum(s - s.max(axis=1, keepdims=True), -WORD_LIMIT)
 
+    def letters_of(self, tokens: list[str]) -> tuple[int, np.ndarray]:
+        """The letters of all tokens, and of each those that speak for some language."""
+        at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        return int(self.sizes[at].sum()), self.judged[at]
+
     def path(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The language by number and the letters of each of the tokens, which were learned before."""
         at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
@@ -125,28 +133,72 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     return np.array(out[::-1], np.int64)
 
 
+def word_letters(token: str) -> tuple[str, str] | None:
+    """The letters of a token and the script of the first; None without letters."""
+    word = letters(token)
+    return (word, script(word[0])) if word else None
+
+
+#: The weight of a word's trigrams, in whole parts, so that sums don't depend on their order.
+UNIT = 1_000_000
+
+
+def word_weight(n: int) -> int:
+    """A word counts by the logarithm of its number: a copied page should not speak for its language."""
+    return round(UNIT * (1 + math.log(n)))
+
+
+def assembled(languages: list[str], trigram_rows: list[tuple[str, list[int]]], script_rows: list[tuple[str, str, int]]) -> Model:
+    """A model from the kept trigrams' weights by language, and letters by language and script."""
+    table = np.array([w for _, w in trigram_rows] + [[0] * len(languages)], float).reshape(-1, len(languages)) / UNIT + 0.5
+    written: dict[str, np.ndarray] = {}
+    for lang, kind, n in script_rows:
+        written.setdefault(kind, np.zeros(len(languages)))[languages.index(lang)] += n
+    total = sum(written.values(), np.zeros(len(languages)))
+    scripts = {s: [bool(x) for x in w >= SCRIPT_SHARE * np.maximum(total, 1)] for s, w in written.items()}
+    return Model(languages, scripts, {t: i for i, (t, _) in enumerate(trigram_rows)}, np.log(table / table.sum(axis=0)))
+
+
 def learn(pairs: Iterator[tuple[str, str]]) -> Model:
-    """A model from (text, language) pairs."""
+    """A model from (text, language) pairs: what ``train`` does in the tasks, for a few texts."""
     words: dict[str, Counter] = defaultdict(Counter)
     for text, lang in pairs:
         words[lang].update(text.lower().split())
     languages = sorted(words)
     if not languages:
         return Model([], {}, {}, np.zeros((1, 0)))
-    counts: dict[str, np.ndarray] = {}
-    written: dict[str, np.ndarray] = {}
+    weights: dict[str, list[int]] = {}
+    script_rows = []
     for j, lang in enumerate(languages):
         for token, n in words[lang].items():
-            if word := letters(token):
-                written.setdefault(script(word[0]), np.zeros(len(languages)))[j] += n * len(word)
-                weight = 1 + math.log(n)  # a copied page should not speak for its language
-                for t in trigrams(word):
-                    counts.setdefault(t, np.zeros(len(languages)))[j] += weight
-    top = sorted(counts, key=lambda t: (-counts[t].sum(), t))[:TRIGRAMS]
-    table = np.array([counts[t] for t in top] + [np.zeros(len(languages))]).reshape(-1, len(languages)) + 0.5
-    total = sum(written.values(), np.zeros(len(languages)))
-    scripts = {s: [bool(x) for x in w >= SCRIPT_SHARE * np.maximum(total, 1)] for s, w in written.items()}
-    return Model(languages, scripts, {t: i for i, t in enumerate(top)}, np.log(table / table.sum(axis=0)))
+            if found := word_letters(token):
+                script_rows.append((lang, found[1], n * len(found[0])))
+                for t in trigrams(found[0]):
+                    weights.setdefault(t, [0] * len(languages))[j] += word_weight(n)
+    top = sorted(weights, key=lambda t: (-sum(weights[t]), t.encode()))[:TRIGRAMS]
+    return assembled(languages, [(t, weights[t]) for t in top], script_rows)
+
+
+def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each language's texts have each token; summed within a batch."""
+    for batch in batches:
+        counts: Counter = Counter()
+        for text, lang in zip(values(batch.column("text")), batch.column("lang").to_pylist()):
+            counts.update((lang, t) for t in text.lower().split())
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "token", "n"])
+
+
+def _trigram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, kind, what, n): weights of trigrams and letters of scripts; summed within a batch."""
+    for batch in batches:
+        sums: Counter = Counter()
+        for lang, token, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "token", "n"))):
+            if found := word_letters(token):
+                sums[lang, "script", found[1]] += n * len(found[0])
+                for t in trigrams(found[0]):
+                    sums[lang, "trigram", t] += word_weight(n)
+        columns = [pa.array([k[i] for k in sums], pa.string()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(sums.values()), pa.int64())], names=["lang", "kind", "what", "n"])
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -165,13 +217,15 @@ def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` rows with a language that are not held out (doc_id, text, lang),
-    or one for each language if there are more of those. The rows are dealt evenly to languages."""
+    or one for each language if there are more of those. The rows are dealt evenly to languages.
+    The driver gets the weights of the kept trigrams, never texts. Rows without doc_id, text or
+    lang are left out; of rows equal in id and text one counts; an empty table teaches nothing."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("hash"), "text", "lang")
     # the order is decided without the texts; only those of the sample move
     keys = rows.groupBy("doc_id", "hash").agg(F.min("lang").alias("lang"))
     counts = {r.lang: r["count"] for r in keys.groupBy("lang").count().toLocalIterator()}
     if not counts:
-        return learn(iter(()))
+        return Model([], {}, {}, np.zeros((1, 0)))
     takes = quotas(counts, sample)
     # a uniform hash leaves few more rows than are taken, so that ranking them is a small step
     place = F.pmod(F.xxhash64("doc_id", "hash", F.lit(10)), F.lit(1 << 30)) / (1 << 30)
@@ -180,12 +234,18 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     few = keys.join(F.broadcast(limits), "lang").withColumn("place", place).where(F.col("place") < F.col("below"))
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "hash")))
     chosen = ranked.where(F.col("rank") <= F.col("take")).select("doc_id", "hash")
-    found = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.min(F.struct("lang", "text")).alias("x")).orderBy("doc_id", "hash")
-    return learn((r.x.text, r.x.lang) for r in found.toLocalIterator())
+    found = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.min(F.struct("lang", "text")).alias("x")).select("x.lang", "x.text")
+    tokens = arrow_map(found, _token_batches, "lang string, token string, n long").groupBy("lang", "token").agg(F.sum("n").alias("n"))
+    parts = materialise(arrow_map(tokens, _trigram_batches, "lang string, kind string, what string, n long").groupBy("lang", "kind", "what").agg(F.sum("n").alias("n")), "trigrams")
+    languages = sorted(takes)
+    weight = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"w{j}") for j, x in enumerate(languages)]
+    top = parts.where("kind = 'trigram'").groupBy(F.col("what")).agg(F.sum("n").alias("n"), *weight).orderBy(F.desc("n"), "what").limit(TRIGRAMS).collect()
+    scripts = parts.where("kind = 'script'").collect()
+    return assembled(languages, [(r.what, [r[f"w{j}"] for j in range(len(languages))]) for r in top], [(r.lang, r.what, r.n) for r in scripts])
 
 
 def summaries(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
-    """(language of most letters, their share) of each text."""
+    """(language of most letters that speak for some language, their share of all letters) of each text."""
     lists = [(t or "").lower().split() for t in texts]
     if model.languages:
         model.learn(set().union(*lists))
@@ -194,10 +254,13 @@ def summaries(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
         if not tokens or not model.languages:
             out.append(("und", 0.0))
             continue
-        labels, sizes = model.path(tokens)
-        by = np.bincount(labels, weights=sizes, minlength=len(model.languages))
+        total, judged = model.letters_of(tokens)
+        if not total:
+            out.append(("und", 0.0))
+            continue
+        by = np.bincount(model.path(tokens)[0], weights=judged, minlength=len(model.languages))
         k = int(by.argmax())
-        out.append((model.languages[k], round(float(by[k] / by.sum()), 6)) if by[k] else ("und", 0.0))
+        out.append((model.languages[k], round(float(by[k] / total), 6)))
     return out
 
 
@@ -215,8 +278,10 @@ def _predict_batches(model: Model):
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
-    lang_pred is the language of most letters, score their share. Null text, text without a
-    letter, and any text if nothing was learned give ``und`` and 0. Repeated rows each return a
+    lang_pred is the language of most letters, score their share of all letters; letters of a
+    script that no learned language is written in speak for none, so a text of them alone gets
+    the first language with score 0. Null text, text without a letter, and any text if nothing
+    was learned give ``und`` and 0. Repeated rows each return a
     row; a null doc_id stays null and is not held out; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
@@ -254,7 +319,9 @@ def _span_batches(model: Model):
 
 
 def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans array of (start, end, lang)) for each row; none where there is no word with a letter."""
+    """(doc_id, spans array of (start, end, lang)) for each row; none where there is no word with a
+    letter, so none for null and empty texts. Repeated rows each return a row, a null doc_id stays
+    null, other columns are ignored, an empty table gives no rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return arrow_map(rows, _span_batches(model), "doc_id long, spans array<struct<start: int, end: int, lang: string>>")
 

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -23,6 +24,62 @@ def test_ratio():
     assert tox.ratio(0, 10, 5, 10) == 0 and tox.ratio(10, 10, 0, 100) > tox.ratio(5, 10, 0, 100) > tox.ratio(5, 10, 20, 100) > 0
 
 
+def plain_severity(model, text):
+    """The cumulative-link formulas, word by word."""
+    seq = re.sub("[\\x00-/:-`{-\x7f]", " ", text.lower()).encode().split()
+    counts = {}
+    for w in seq:
+        for f in [w] + [w[:n] + b"*" for n in tox.PREFIXES if len(w) > n]:
+            if f in model.known:
+                counts[f] = counts.get(f, 0) + 1
+    s = sum(model.weights[model.known[f]] * math.log(1 + tox.RATE * n / len(seq)) for f, n in counts.items())
+    return [1 / (1 + math.exp(min(t - s, 500))) for t in model.thresholds]
+
+
+def dosed(rng, stems, dose, n=120):
+    """A text of invented words, of which a share ``dose`` begin with one of the stems."""
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    return " ".join(rng.choice(stems) + word()[:3] if rng.random() < dose else word() for _ in range(n))
+
+
+def test_severity_follows_the_dose(spark):
+    """Toxic words share beginnings; texts of new words with them are ordered by how many they have."""
+    rng, stems = random.Random(8), ["zorvex", "quimbo", "wyrkul", "xantop"]
+    rows = [(i, dosed(rng, stems, 0.0 if i % 3 else rng.choice((0.03, 0.1, 0.3)))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = tox.train(docs, spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int"))
+    doses = (0.0, 0.02, 0.08, 0.2, 0.5)
+    new = [(10_000 * k + j, dosed(rng, stems, d)) for k, d in enumerate(doses) for j in range(60)]
+    seen = {w for _, t in rows for w in t.split()}
+    assert sum(w not in seen for _, t in new for w in t.split() if w[:6] in stems) > 300
+    got = {r.doc_id: r for r in tox.severity(spark.createDataFrame(new, "doc_id long, text string"), model).collect()}
+    means = [np.mean([got[10_000 * k + j].severity for j in range(60)]) for k in range(len(doses))]
+    assert means == sorted(means) and means[0] < 0.2 and means[-1] > 2.2 and means[2] - means[1] > 0.3 and means[3] - means[2] > 0.3
+    for i, t in new[::17]:
+        above = plain_severity(model, t)
+        assert got[i].severity == pytest.approx(sum(above), abs=2e-6) and got[i].grade == sum(p >= 0.5 for p in above) and got[i].p_toxic == pytest.approx(above[0], abs=2e-6)
+
+
+def test_copies_share_a_weight(spark):
+    rows = [(i, "one two three four five six" if i < 6 else f"text number {i} of many words here {i * 7}") for i in range(12)]
+    marks = spark.createDataFrame([(i, 0, int(i < 6)) for i in range(12)], "doc_id long, quality int, toxic int")
+    sample, counts = tox.training_rows(spark.createDataFrame(rows, "doc_id long, text string"), marks)
+    got = {r.doc_id: r.weight for r in sample.collect()}
+    assert len(got) == 12 and all(got[i] == tox.UNIT // 6 for i in range(6)) and all(got[i] == tox.UNIT for i in range(6, 12)) and counts == {0: 6, 1: 6}
+
+
+def test_evidence_against_loops(spark):
+    rng = random.Random(5)
+    rows = [(i, dosed(rng, ["badword"], 0.2 if i % 2 else 0.0, 40)) for i in range(60)]
+    sample, _ = tox.training_rows(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 0, i % 2) for i in range(60)], "doc_id long, quality int, toxic int"))
+    sets = {i: {f for w in set(tox.words(t.encode())) for f in tox.of_word(w)} for i, t in rows}
+    counts = {f: (sum(f in sets[i] for i in range(1, 60, 2)), sum(f in sets[i] for i in range(0, 60, 2))) for f in set().union(*sets.values())}
+    want = {f for f, (a, b) in counts.items() if a >= tox.LEAST_TEXTS and tox.ratio(a, 30, b, 30) >= tox.EVIDENCE}
+    found, cells = tox.feature_evidence(sample)
+    assert {f for f, _ in found} == want and want and cells.sum() == 60
+    assert all((n[1] + n[3], n[0] + n[2]) == counts[f] for f, n in found)
+
+
 def test_held_out_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -64,11 +121,19 @@ def test_viterbi_against_all_paths():
 def test_scripts_and_spans():
     model = lang.learn([("the cat sat on the mat and the hat", "en"), ("кот сидел на ковре", "ru"), ("le chat et la souris dans les bois", "fr")])
     assert lang.summaries(model, ["мат и дом", None, "", "123 ...", "the mat"]) == [("ru", 1.0), ("und", 0.0), ("und", 0.0), ("und", 0.0), ("en", 1.0)]
+    assert lang.summaries(model, ["漢字 仮名", "the mat 漢字漢字"]) == [("en", 0.0), ("en", 0.6)]
     text = "the cat sat on the mat and  the hat\nкот сидел на ковре"
     assert [(text[a:b], k) for a, b, k in lang.text_spans(model, text)] == [("the cat sat on the mat and  the hat", "en"), ("кот сидел на ковре", "ru")]
     assert lang.text_spans(model, None) == [] and lang.summaries(lang.learn([]), ["word"]) == [("und", 0.0)]
 
 
+def test_training_in_tasks_is_the_plain_one(spark):
+    rows = [(i, t, k) for i, (t, k) in enumerate([("the cat, the hat é", "en"), ("кот Сидел 12", "ru"), ("le chat et la", "fr"), ("the end of it", "en"), (None, "de"), ("x", None)])]
+    df = spark.createDataFrame([(i, t, k) for i, t, k in rows for i in [next(j for j in range(1000 * i, 1000 * i + 99) if zlib.crc32(str(j).encode()) % lang.FOLDS)]], "doc_id long, text string, lang string")
+    a, b = lang.train(df), lang.learn((t, k) for _, t, k in rows if t and k)
+    assert a.languages == b.languages and a.scripts == b.scripts and a.rows == b.rows and np.allclose(a.logs, b.logs)
+
+
 def test_held_out_languages(spark, odd_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = lang.train(docs, 2000)
