@@ -1,13 +1,14 @@
-"""Licence paragraphs: a trained n-gram classifier, confirmed by comparison with templates.
-
-A line with one of the cue words, and windows over several lines of a paragraph around each cue
-word, are scored by multinomial logistic regression over their distinct word 1- to 3-grams, with a
-class for licences and other text that no family fits.
-Probabilities are calibrated by a temperature on held-out examples. A family counts as found if
-it is the likeliest, likely enough, and one of its templates is contained in the paragraph to a
-good part. The model is trained once on the driver from the templates below, varied with a fixed
-seed; on the data everything is DataFrame functions: the weights and the templates' n-grams are
-small literal tables, joined by broadcast.
+"""Licence notices in paragraphs: a trained n-gram classifier, confirmed by comparison with templates.
+
+A paragraph is a block between blank lines; line ends and comment marks within it count as any
+other sign between words, so how a notice is wrapped, indented or commented makes no difference.
+Its words around cue words make segments, which are scored by logistic regressions over their
+distinct word 1- to 3-grams: one for each licence family, as a paragraph may name several, and
+one for text that no family fits. Probabilities are calibrated by a temperature on held-out
+examples. A family is found if it is likely enough, likelier than unknown, and one of its templates is there to a
+good part, by the n-grams that are in no other family's templates. The model is trained once on
+the driver from the templates below, varied with a fixed seed; on the data everything is DataFrame
+functions: the weights and the templates' n-grams are small literal tables, joined by broadcast.
 """
 
 from __future__ import annotations
@@ -24,50 +25,118 @@ from pyspark.sql import functions as F
 from .common import documents, whole_text
 
 UNKNOWN = "unknown"
-#: Least probability of a family, and least share of a template's 3-grams in the paragraph.
-LIKELY, CONTAINED = 0.5, 0.5
+#: Least probability of a family, and least share of the n-grams of a template that are its family's own.
+LIKELY, CONTAINED = 0.5, 0.6
 GRAMS = 3
+#: Words on each side of a cue word that belong to its segment.
+REACH = 40
 
-#: A paragraph without any of these, in lower case, is no candidate.
-CUES = ("licen", "copyright", "warrant", "permission", "public domain", "redistribut", "creative commons", "rights reserved", "gpl", "cc by", "cc0", "spdx")
+#: Words that open a segment, in lower case: a word that has one of the first in it,
+#: or two words in a row. Every template has some, none further than ``REACH`` from the next.
+CUES = ("licen", "copyright", "warrant", "permission", "redistribut", "gpl", "spdx", "proprietary", "unauthori", "cc0")
+PAIRS = (("public", "domain"), ("creative", "commons"), ("rights", "reserved"), ("cc", "by"))
 
-#: Notices by licence family.
+#: Notices and names by licence family.
 TEMPLATES = {
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
+        "Licensed under MIT",
+        "License MIT",
+        "the MIT license",
         "This project is licensed under the terms of the MIT license.",
-        "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ),
     "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
+        "the Apache License, Version 2.0",
+        "the Apache 2.0 license",
+        "Licensed under Apache 2.0",
+        "License Apache 2.0",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-        "SPDX-License-Identifier: Apache-2.0",
-        "This software is released under the Apache 2.0 license.",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     ),
     "GPL": (
+        "the GNU General Public License",
+        "the GPL v3",
+        "the GPLv2",
+        "the GPLv3",
+        "GNU GPL version 2",
+        "GNU GPL v3",
+        "License GPL",
+        "under the GPL",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "Released under the GNU General Public License version 2 or later.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-        "Distributed under the GPL v3.",
+        "See the GNU General Public License for more details.",
+    ),
+    "LGPL": (
+        "the GNU Lesser General Public License",
+        "GNU Library General Public License",
+        "the LGPL",
+        "GNU LGPL version",
+        "License LGPL",
+        "Licensed under the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    ),
+    "AGPL": (
+        "the GNU Affero General Public License",
+        "the AGPL",
+        "GNU AGPL version",
+        "License AGPL",
+        "Licensed under the GNU Affero General Public License.",
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation version 3",
     ),
-    "LGPL": ("Licensed under the GNU Lesser General Public License.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-only"),
-    "AGPL": ("Licensed under the GNU Affero General Public License.", "under the terms of the GNU Affero General Public License version 3", "SPDX-License-Identifier: AGPL-3.0-only"),
     "BSD": (
-        "Licensed under the BSD 3-Clause License.",
+        "the BSD license",
+        "BSD 3-Clause License",
+        "BSD 2-Clause License",
+        "3-clause BSD license",
+        "License BSD",
+        "a BSD-style license",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Released under the BSD license.",
-        "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation",
+    ),
+    "MPL": ("the Mozilla Public License", "the MPL 2.0 license", "License MPL", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."),
+    "ISC": ("the ISC License", "License ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "provided that the above copyright notice and this permission notice appear in all copies"),
+    "CC-BY": (
+        "CC BY 4.0", "CC BY 3.0", "the CC BY license", "Creative Commons Attribution 4.0", "Creative Commons Attribution 3.0", "the Creative Commons Attribution License",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ),
-    "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License.", "SPDX-License-Identifier: ISC"),
-    "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Available under the Creative Commons Attribution License."),
-    "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."),
-    "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0 for non-commercial use."),
-    "public-domain": ("This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related rights to this work.", "This work is dedicated to the public domain under CC0 1.0 Universal."),
-    "proprietary": ("All rights reserved.", "Copyright 2024 Example Inc. All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited without permission.", "This software is proprietary and confidential; redistribution is prohibited."),
+    "CC-BY-SA": ("CC BY-SA", "Creative Commons Attribution-ShareAlike", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."),
+    "CC-BY-NC": ("CC BY-NC", "Creative Commons Attribution-NonCommercial", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0 for non-commercial use."),
+    "public-domain": (
+        "This is free and unencumbered software released into the public domain.",
+        "the author has waived all copyright and related rights to this work",
+        "dedicated to the public domain",
+        "released into the public domain",
+        "CC0 1.0 Universal",
+        "the Unlicense",
+    ),
+    "proprietary": (
+        "All rights reserved.",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited",
+        "This software is proprietary and confidential",
+        "confidential and proprietary",
+    ),
+}
+
+#: SPDX identifiers by family; those of families that are not told apart here are unknown.
+SPDX = {
+    "MIT": ("MIT", "MIT-0"),
+    "Apache-2.0": ("Apache-2.0",),
+    "GPL": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0", "GPL-3.0"),
+    "LGPL": ("LGPL-2.0-only", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "AGPL": ("AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "BSD": ("BSD-2-Clause", "BSD-3-Clause", "0BSD"),
+    "MPL": ("MPL-1.1", "MPL-2.0"),
+    "ISC": ("ISC",),
+    "CC-BY": ("CC-BY-3.0", "CC-BY-4.0"),
+    "CC-BY-SA": ("CC-BY-SA-3.0", "CC-BY-SA-4.0"),
+    "CC-BY-NC": ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"),
+    "public-domain": ("CC0-1.0", "Unlicense"),
+    UNKNOWN: ("EPL-1.0", "EPL-2.0", "EUPL-1.1", "EUPL-1.2", "Zlib", "BSL-1.0", "Artistic-2.0", "CDDL-1.0", "OFL-1.1", "MS-PL", "PostgreSQL", "NCSA", "Python-2.0", "Vim"),
 }
 
 #: Texts with cue words that name no family.
@@ -88,6 +157,20 @@ OTHER_TEXTS = (
     "A licensed plumber must install the boiler.",
     "No permission is required to enter the public domain walk.",
     "The license fee is due in April and covers all public broadcasters.",
+    "Licensed under the Eclipse Public License 2.0.",
+    "made available under the terms of the Eclipse Public License which accompanies this distribution",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This file is available under the zlib license.",
+    "under the terms of the Common Development and Distribution License, version 1.0",
+    "the Artistic License 2.0",
+    "This font is licensed under the SIL Open Font License, Version 1.1.",
+    "the Microsoft Public License",
+    "the Open Software License version 3.0",
+    "the University of Illinois open source license",
+    "All her rights were reserved by the court.",
+    "The general public license office is on the second floor.",
+    "The apache tribe asked for permission to cross the land.",
 )
 
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -97,44 +180,61 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text))
 
 
-#: Words on each side of a cue word in a window: no template is longer.
-REACH = max(len(tokens(t)) for ts in TEMPLATES.values() for t in ts)
-
-
 def grams(seq: list[str], least: int = 1) -> set[str]:
     return {" ".join(seq[i : i + n]) for n in range(least, GRAMS + 1) for i in range(len(seq) - n + 1)}
 
 
+def notices(family: str) -> list[str]:
+    """A family's templates, SPDX lines included."""
+    return [*TEMPLATES.get(family, ()), *(f"SPDX-License-Identifier: {x}" for x in SPDX.get(family, ()))]
+
+
 def template_grams(text: str) -> set[str]:
     """The 3-grams of a template, or the whole of a shorter one."""
     seq = tokens(text)
     return grams(seq, GRAMS) if len(seq) >= GRAMS else {" ".join(seq)}
 
 
-def examples(seed: int, copies: int) -> list[tuple[list[str], str]]:
-    """Token lists with their family: templates whole, cut, thinned and set in other words."""
+@lru_cache(maxsize=1)
+def own_grams() -> tuple[tuple[str, frozenset[str]], ...]:
+    """(family, n-grams) of each template: those that are in no other family's and in no unknown
+    text. A template without any confirms nothing."""
+    every = {f: set().union(*(grams(tokens(t)) for t in notices(f))) for f in TEMPLATES}
+    every[UNKNOWN] = set().union(*(grams(tokens(t)) for t in (*OTHER_TEXTS, *notices(UNKNOWN))))
+    out = []
+    for family in TEMPLATES:
+        others = set().union(*(gs for f, gs in every.items() if f != family))
+        out += [(family, frozenset(own)) for t in notices(family) if (own := template_grams(t) - others)]
+    return tuple(out)
+
+
+def examples(seed: int, copies: int) -> list[tuple[list[str], frozenset[str]]]:
+    """Token lists with their families: templates whole, cut, thinned, joined, and set in other words."""
     rng = random.Random(seed)
     noise = [w for t in OTHER_TEXTS for w in tokens(t)] + ["".join(rng.choices("aeiounrtshl", k=rng.randint(2, 9))) for _ in range(200)]
+    around = lambda: rng.choices(noise, k=rng.choice((0, 0, rng.randint(1, 12), rng.randint(1, 2 * REACH))))
 
     def varied(seq: list[str]) -> list[str]:
-        kept = [w for w in seq if rng.random() > 0.06] or seq
-        return rng.choices(noise, k=rng.randint(0, 12)) + kept + rng.choices(noise, k=rng.randint(0, 12))
+        kept = [w for w in seq if rng.random() > 0.05] if len(seq) > 6 else seq
+        return around() + kept + around()
 
+    every = [(f, tokens(t)) for f in TEMPLATES for t in notices(f)]
     out = []
-    for family, texts in TEMPLATES.items():
-        for text in texts:
-            seq = tokens(text)
-            out += [(seq, family)] + [(varied(seq), family) for _ in range(copies)]
-    for text in OTHER_TEXTS:
+    for family, seq in every:
+        out += [(seq, frozenset({family}))] + [(varied(seq), frozenset({family})) for _ in range(copies)]
+    for _ in range(40 * copies):  # two notices in one segment
+        (f, x), (g, y) = rng.sample(every, 2)
+        out.append((varied(x) + varied(y), frozenset({f, g})))
+    for text in (*OTHER_TEXTS, *notices(UNKNOWN)):
         seq = tokens(text)
-        out += [(seq, UNKNOWN)] + [(varied(seq), UNKNOWN) for _ in range(3 * copies)]
+        out += [(seq, frozenset())] + [(varied(seq), frozenset()) for _ in range(2 * copies)]
     for _ in range(40 * copies):  # single words of notices, in no order
-        words = tokens(rng.choice(rng.choice(list(TEMPLATES.values()))))
-        out.append((rng.sample(words, min(len(words), rng.randint(1, 3))) + rng.choices(noise, k=rng.randint(3, 20)), UNKNOWN))
+        words = rng.choice(every)[1]
+        out.append((rng.sample(words, min(len(words), rng.randint(1, 3))) + rng.choices(noise, k=rng.randint(3, 40)), frozenset()))
     return out
 
 
-def _matrix(data: list[tuple[list[str], str]], vocabulary: dict[str, int]) -> np.ndarray:
+def _matrix(data: list, vocabulary: dict[str, int]) -> np.ndarray:
     x = np.zeros((len(data), len(vocabulary) + 1), np.float32)
     x[:, -1] = 1
     for i, (seq, _) in enumerate(data):
@@ -142,9 +242,12 @@ def _matrix(data: list[tuple[list[str], str]], vocabulary: dict[str, int]) -> np
     return x
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def _targets(data: list, classes: list[str]) -> np.ndarray:
+    return np.array([[(c in fs) if c != UNKNOWN else not fs for c in classes] for _, fs in data], np.float32)
+
+
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
 class Model:
@@ -155,25 +258,24 @@ class Model:
 
 
 @lru_cache(maxsize=1)
-def trained(rounds: int = 120, rate: float = 1.0, l2: float = 1e-3) -> Model:
+def trained(rounds: int = 1000, rate: float = 2.0, l2: float = 1e-4) -> Model:
     """Fit by gradient descent with momentum, then the temperature on other examples."""
-    data = examples(3, 6)
+    data = examples(3, 5)
     counts: dict[str, int] = {}
-    for seq, family in data:
-        if family != UNKNOWN or len(seq) < 25:
-            for g in grams(seq):
-                counts[g] = counts.get(g, 0) + 1
-    vocabulary = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n >= 4))}
+    for seq, _ in data:
+        for g in grams(seq):
+            counts[g] = counts.get(g, 0) + 1
+    known = set().union(*(grams(tokens(t)) for f in (*TEMPLATES, UNKNOWN) for t in notices(f)), *(grams(tokens(t)) for t in OTHER_TEXTS))
+    vocabulary = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n >= 4 and g in known))}
     classes = [*TEMPLATES, UNKNOWN]
-    y = np.eye(len(classes), dtype=np.float32)[[classes.index(f) for _, f in data]]
-    x = _matrix(data, vocabulary)
+    y, x = _targets(data, classes), _matrix(data, vocabulary)
     w, speed = np.zeros((x.shape[1], len(classes)), np.float32), 0
     for _ in range(rounds):
-        speed = 0.9 * speed - rate * (x.T @ (_softmax(x @ w) - y) / len(x) + l2 * w)
+        speed = 0.9 * speed - rate * (x.T @ (_logistic(x @ w) - y) / len(x) + l2 * w)
         w += speed
     held = examples(4, 1)
-    z, truth = _matrix(held, vocabulary) @ w, np.array([classes.index(f) for _, f in held])
-    loss = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), truth], 1e-9)).mean() for t in (0.2, 0.3, 0.5, 0.7, 1.0, 1.4, 2.0)}
+    z, truth = _matrix(held, vocabulary) @ w, _targets(held, classes)
+    loss = {t: -np.log(np.maximum(np.where(truth == 1, _logistic(z / t), 1 - _logistic(z / t)), 1e-9)).mean() for t in (0.2, 0.3, 0.5, 0.7, 1.0, 1.4, 2.0)}
     table = {g: [round(float(v), 4) for v in w[i]] for g, i in vocabulary.items()}
     return Model(classes, table, [round(float(v), 4) for v in w[-1]], min(loss, key=loss.get))
 
@@ -183,106 +285,69 @@ def _literal(spark: SparkSession, rows: list, kind: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
 
 
-def _candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, at, gram): the distinct n-grams of lines with a cue word, each line once."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    cue = "|".join(re.escape(c) for c in CUES)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.translate(whole_text(text_col), upper, lower).alias("text")).where(F.col("text").rlike(cue))
-    lines = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(cue)).dropDuplicates(["doc_id", "text_hash", "at"])
-    words = lines.select("doc_id", "text_hash", "at", F.regexp_extract_all("line", F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
-    each = [f"transform(filter(sequence(1, size(w)), i -> i <= size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' '))" for n in range(1, GRAMS + 1)]
-    return words.where("size(w) > 0").select("doc_id", "text_hash", "at", F.explode(F.array_distinct(F.expr(f"concat({', '.join(each)})"))).alias("gram"))
-
-
-def _wrapped_candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, at, cue, first, last, gram, broken): the distinct n-grams of word windows over
-    several lines of a paragraph, around each cue word; broken ones lie across a line's end.
-
-    ``at`` is the paragraph's number, the others are places in it. A window reaches as far from
-    the cue word as the longest template, or to a line's start or end that is nearer: so the
-    whole of any template with the cue word in it is in one.
-    """
+def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, at, first, words): the words within ``REACH`` of cue words in paragraphs
+    that have some; ``at`` is the paragraph's number, ``first`` the place of the first word in it.
+    Segments that would overlap are one. Each text of a doc_id once."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    pairs = [c.split(" ") for c in CUES if " " in c]
-    cue = "|".join(re.escape(c).replace("\\ ", "[^a-z0-9]+") for c in CUES)
-    text = F.translate(whole_text(text_col), upper, lower)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.regexp_replace(text, "\r\n?", "\n").alias("text")).where(F.col("text").contains("\n") & F.col("text").rlike(cue))
-    paragraphs = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", r"\n[^\S\n]*(?:\n[^\S\n]*)+")).alias("at", "x")).where(F.col("x").contains("\n") & F.col("x").rlike(cue))
-    words = paragraphs.select("doc_id", "text_hash", "at", F.expr("flatten(transform(split(x, '\\n'), (y, l) -> transform(regexp_extract_all(y, '[a-z0-9]+', 0), w -> struct(w, l))))").alias("p")).where("size(p) > 0")
-    alone = "|".join(c for c in CUES if " " not in c)
-    both = " or ".join(f"(endswith(p[i].w, '{x}') and i + 1 < size(p) and startswith(p[least(i + 1, size(p) - 1)].w, '{y}'))" for x, y in pairs)
-    cues = words.select("doc_id", "text_hash", "at", "p", F.expr(f"filter(sequence(0, size(p) - 1), i -> p[i].w rlike '{alone}' or {both})").alias("cues"))
-    # only the window's words go with each cue word, not the paragraph's
-    around = cues.select("doc_id", "text_hash", "at", F.explode(F.expr(f"transform(cues, c -> struct(c as cue, greatest(c - {REACH}, 0) as low, transform(sequence(greatest(c - {REACH}, 0), least(c + {REACH}, size(p) - 1)), i -> p[i]) as p))")).alias("v")).select("doc_id", "text_hash", "at", "v.*")
-    ends = around.where("p[0].l < p[size(p) - 1].l").select(
-        "*", F.expr("filter(sequence(0, cue - low), i -> i = 0 or p[i].l <> p[greatest(i - 1, 0)].l)").alias("starts"), F.expr("filter(sequence(cue - low, size(p) - 1), i -> i = size(p) - 1 or p[i].l <> p[least(i + 1, size(p) - 1)].l)").alias("stops")
-    )
-    windows = ends.select("doc_id", "text_hash", "at", "cue", "low", "p", F.explode("starts").alias("a"), "stops").select("*", F.explode("stops").alias("b")).where("p[a].l < p[b].l")
-    cut = windows.select("doc_id", "text_hash", "at", "cue", F.expr("low + a").alias("first"), F.expr("low + b").alias("last"), F.expr("slice(p, a + 1, b - a + 1)").alias("p")).dropDuplicates(["doc_id", "text_hash", "at", "cue", "first", "last"])
-    each = [f"transform(filter(sequence(1, size(p)), i -> i <= size(p) - {n - 1}), i -> struct(array_join(transform(slice(p, i, {n}), x -> x.w), ' ') as gram, p[i - 1].l < p[i + {n - 2}].l as broken))" for n in range(1, GRAMS + 1)]
-    grams_of = cut.select("doc_id", "text_hash", "at", "cue", "first", "last", F.explode(F.array_distinct(F.expr(f"concat({', '.join(each)})"))).alias("g")).select("doc_id", "text_hash", "at", "cue", "first", "last", "g.*")
-    return grams_of.groupBy("doc_id", "text_hash", "at", "cue", "first", "last", "gram").agg(F.bool_and("broken").alias("broken"))
-
-
-def _scored(found: DataFrame, line: list[str], model: Model) -> DataFrame:
-    """(*line, family, p, contained, across) of candidates' n-grams: the likeliest class, its
-    probability, the best share of the family's templates found, and of those with a broken n-gram."""
-    spark, k = found.sparkSession, len(model.classes)
-    weights = _literal(spark, [{"gram": g, "w": w} for g, w in model.weights.items()], "gram: string, w: array<double>")
-    templates = [(f, i, template_grams(t)) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]
-    index: dict[str, list] = {}
-    for n, (f, _, gs) in enumerate(templates):
-        for g in gs:
-            index.setdefault(g, []).append({"template": n, "family": f, "size": len(gs)})
-    index_rows = _literal(spark, [{"gram": g, "t": t} for g, t in index.items()], "gram: string, t: array<struct<template: int, family: string, size: int>>")
-
-    known = found.join(F.broadcast(weights), "gram", "left").join(F.broadcast(index_rows), "gram", "left")
-    sums = known.groupBy(*line).agg(*(F.coalesce(F.sum(F.col("w")[j]), F.lit(0.0)).alias(f"s{j}") for j in range(k)), F.flatten(F.collect_list(F.expr("transform(t, x -> struct(x.template, x.family, x.size, broken))"))).alias("t"))
-    z = F.array(*((F.col(f"s{j}") + model.bias[j]) / model.temperature for j in range(k)))
-    scored = sums.select(*line, "t", z.alias("z")).withColumn("e", F.expr("transform(z, x -> exp(x - array_max(z)))"))
-    likely = scored.select(*line, "t", F.expr("array_position(z, array_max(z)) - 1").cast("int").alias("best"), F.expr("1 / aggregate(e, 0D, (a, x) -> a + x)").alias("p"))
-    named = likely.withColumn("family", F.element_at(F.array(*map(F.lit, model.classes)), F.col("best") + 1)).withColumn("own", F.expr("filter(t, x -> x.family = family)"))
-    shares = "transform(array_distinct(transform({0}, x -> x.template)), n -> size(filter(own, x -> x.template = n)) / element_at(filter(own, x -> x.template = n), 1).size)"
-    best_share = lambda of: F.round(F.coalesce(F.array_max(F.expr(shares.format(of))), F.lit(0.0)), 6)
-    return named.select(*line, "family", F.round("p", 6).alias("p"), best_share("own").alias("contained"), best_share("filter(own, x -> x.broken)").alias("across"))
+    cue = "|".join([*CUES, *(f"{x}[^a-z0-9]+{y}" for x, y in PAIRS)])
+    text = F.regexp_replace(F.translate(whole_text(text_col), upper, lower), "\r\n?", "\n")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), text.alias("text")).where(F.col("text").rlike(cue))
+    # a blank line may hold a comment's marks only
+    blank = r"\n(?:[^\S\n]|[/*#;%!>-])*\n"
+    paragraphs = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", blank)).alias("at", "x")).where(F.col("x").rlike(cue))
+    words = paragraphs.select("doc_id", "text_hash", "at", F.regexp_extract_all("x", F.lit("[a-z0-9]+"), F.lit(0)).alias("w")).where("size(w) > 0")
+    pairs = " or ".join(f"(w[i] = '{x}' and get(w, i + 1) = '{y}')" for x, y in PAIRS)
+    cues = words.select("*", F.expr(f"filter(sequence(0, size(w) - 1), i -> w[i] rlike '{'|'.join(CUES)}' or coalesce({pairs}, false))").alias("c")).where("size(c) > 0")
+    far = 2 * REACH
+    ends = cues.select("*", F.expr(f"filter(c, (x, i) -> i = 0 or x - c[greatest(i - 1, 0)] > {far})").alias("a"), F.expr(f"filter(c, (x, i) -> i = size(c) - 1 or get(c, i + 1) - x > {far})").alias("b"))
+    spans = ends.select("doc_id", "text_hash", "at", "w", F.explode(F.arrays_zip("a", "b")).alias("s"))
+    placed = spans.select("doc_id", "text_hash", "at", F.expr(f"greatest(s.a - {REACH}, 0)").alias("first"), F.expr(f"slice(w, greatest(s.a - {REACH}, 0) + 1, s.b + {REACH} + 1 - greatest(s.a - {REACH}, 0))").alias("words"))
+    return placed.dropDuplicates(["doc_id", "text_hash", "at", "first"])
 
 
 def license_paragraphs(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, at, family, p, contained) for each candidate line: its number from 0,
-    the likeliest class, its probability, and the best share of the family's templates found."""
-    found = _candidates(docs, id_col, text_col).withColumn("broken", F.lit(False))
-    return _scored(found, ["doc_id", "text_hash", "at"], model or trained()).drop("across")
-
-
-def wrapped_notices(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, at, cue, family, p): a confirmed notice over several lines for each cue word
-    that has one, by the widest of its windows that are confirmed with an n-gram across a line's end."""
-    key = ["doc_id", "text_hash", "at", "cue"]
-    scored = _scored(_wrapped_candidates(docs, id_col, text_col), [*key, "first", "last"], model or trained())
-    sure = scored.where((F.col("family") != UNKNOWN) & (F.col("p") >= LIKELY) & (F.col("across") >= CONTAINED))
-    widest = F.max(F.struct(F.expr("last - first").alias("width"), "across", "p", "family"))
-    return sure.groupBy(*key).agg(widest.alias("x")).select(*key, "x.family", "x.p")
+    """(doc_id, text_hash, at, first, unknown, found) for each segment: the probability that no
+    family fits, and the families found as (family, p, contained)."""
+    model = model or trained()
+    cut, key = segments(docs, id_col, text_col), ["doc_id", "text_hash", "at", "first"]
+    each = [f"transform(filter(sequence(1, size(words)), i -> i <= size(words) - {n - 1}), i -> array_join(slice(words, i, {n}), ' '))" for n in range(1, GRAMS + 1)]
+    spark, k = cut.sparkSession, len(model.classes)
+    templates = own_grams()
+    index: dict[str, list[int]] = {}
+    for n, (_, own) in enumerate(templates):
+        for g in own:
+            index.setdefault(g, []).append(n)
+    rows = [{"gram": g, "w": model.weights.get(g), "t": index.get(g)} for g in sorted(model.weights.keys() | index.keys())]
+    table = _literal(spark, rows, "gram: string, w: array<double>, t: array<int>")
+
+    # segments none of whose n-grams is known keep a row
+    known = cut.select(*key, F.explode(F.array_distinct(F.expr(f"concat({', '.join(each)})"))).alias("gram")).join(F.broadcast(table), "gram", "left")
+    sums = known.groupBy(*key).agg(*(F.coalesce(F.sum(F.col("w")[j]), F.lit(0.0)).alias(f"s{j}") for j in range(k)), F.flatten(F.collect_list("t")).alias("t"))
+    chance = lambda j: 1 / (1 + F.exp(-(F.col(f"s{j}") + model.bias[j]) / model.temperature))
+
+    def contained(family: str) -> F.Column:
+        shares = [F.expr(f"size(filter(t, x -> x = {n}))") / len(own) for n, (f, own) in enumerate(templates) if f == family]
+        return F.greatest(*shares) if len(shares) > 1 else shares[0]
+
+    entries = [F.struct(F.lit(c).alias("family"), F.round(chance(j), 6).alias("p"), F.round(contained(c), 6).alias("contained")) for j, c in enumerate(model.classes) if c != UNKNOWN]
+    scored = sums.select(*key, F.round(chance(model.classes.index(UNKNOWN)), 6).alias("unknown"), F.array(*entries).alias("e"))
+    sure = F.filter("e", lambda x: (x["p"] >= LIKELY) & (x["p"] >= F.col("unknown")) & (x["contained"] >= CONTAINED))
+    return scored.select(*key, "unknown", sure.alias("found"))
 
 
 def licenses(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_candidates, n_licenses, licenses, p.
 
-    n_candidates counts lines with a cue word, n_licenses those whose family is confirmed; a
-    family that only notices wrapped over lines confirm counts once in both. licenses are the
-    families, sorted and comma-joined, p the best probability (0 if none).
+    n_candidates counts segments with a cue word, n_licenses the families found in them.
+    licenses are the families, sorted and comma-joined, p the best probability (0 if none).
     Null and empty texts have none. Repeated rows each return a row; rows of one doc_id are told
     apart by their text; other columns are ignored; an empty table gives no rows.
     """
-    model = model or trained()
-    sure = (F.col("family") != UNKNOWN) & (F.col("p") >= LIKELY) & (F.col("contained") >= CONTAINED)
-    doc = ["doc_id", "text_hash"]
-    lines = license_paragraphs(docs, model, id_col, text_col).select(*doc, F.when(sure, F.col("family")).alias("family"), F.when(sure, F.col("p")).alias("p"), F.lit(1).alias("line"))
-    wrapped = wrapped_notices(docs, model, id_col, text_col).select(*doc, "family", "p", F.lit(0).alias("line"))
-    # by family first, null for lines without one: wrapped notices count where no line has it
-    by_family = lines.union(wrapped).groupBy(*doc, "family").agg(F.greatest(F.sum("line"), F.lit(1)).alias("n"), F.max("p").alias("p"))
-    per = by_family.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("family").isNotNull(), F.col("n")).otherwise(0)).alias("k"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("f"), F.max("p").alias("p")
-    )
+    scored = license_paragraphs(docs, model, id_col, text_col)
+    names = F.array_distinct(F.flatten(F.collect_list(F.transform("found", lambda x: x["family"]))))
+    best = F.max(F.array_max(F.transform("found", lambda x: x["p"])))
+    per = scored.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.count("*").alias("n"), F.sum(F.size("found")).alias("k"), F.array_join(F.array_sort(names), ",").alias("f"), best.alias("p"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"))
     both = rows.join(per, rows.doc_id.eqNullSafe(per.d) & (rows.hash == per.h), "left")
     return both.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_candidates"), F.coalesce("k", F.lit(0)).alias("n_licenses"), F.coalesce("f", F.lit("")).alias("licenses"), F.coalesce("p", F.lit(0.0)).alias("p"))
