@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..sources.scratch import materialise, packed, quoted, shared_dir, ship
 
-#: Used in local mode only, where spark.checkpoint.dir is unset.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/signalloom"
+__all__ = ["arrow_map", "benchmark", "documents", "free_name", "labels", "materialise", "packed", "quoted", "shared_dir", "ship", "utf8", "values", "whole_text"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,48 +25,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where it is unset a folder is chosen in local mode only: on a cluster a machine's own
-    folder would hide what one executor wrote from the others.
-    """
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return LOCAL_CHECKPOINTS
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone at exit; a left scratch table is harmless
-        pass
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: it cuts the lineage, so a lost
-    executor costs a re-read and not a re-computation. Dropped when the process ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers that the local JVM starts find this package, wherever the driver's
-    working folder is. On a cluster install the package or pass it by --py-files."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if ROOT not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
-
-
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)

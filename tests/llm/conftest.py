@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -19,8 +20,10 @@ def odd_docs(spark):
         (7, "x" * 30_000, None, "b", 30_000),
     ]
     df = spark.createDataFrame(rows, DOCS)
-    for name in ("shard", "slot", "fp", "text_hash", "hash", "gram", "term", "part", "order", "toxic"):
-        df = df.selectExpr("*", f"'{name}' AS {name}")
+    names = ("shard", "slot", "fp", "text_hash", "hash", "gram", "term", "part", "order", "toxic", "row", "id", "none", "key", "cell", "p", "pos", "first", "root", "a.b", "a`b", "sketch", "fold", "weight", "place")
+    names += ("__p", "__key", "__order", "__at", "__pos", "__shard", "__cell", "__rank", "__start", "__bounds", "__id", "__none", "__hash", "__bad_id", "__bad_hash")
+    for name in names:
+        df = df.withColumn(name, F.lit(name)) if "." not in name and "`" not in name else df.select("*", F.lit(name).alias(name))
     return df
 
 
