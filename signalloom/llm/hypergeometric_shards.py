@@ -13,20 +13,24 @@ All that touches rows is DataFrame functions; the driver holds counts per partit
 
 from __future__ import annotations
 
-import json
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, free_name, whole_text
+from .common import documents, free_name, materialise, packed, quoted, whole_text
 
 SHARDS = 24
 SEED = 20_240_229
 #: Rows of a shard that are permuted together in one task.
 CELL_ROWS = 100_000
+#: Rows up to which the library's sampler is exact; larger draws use ``hypergeometric``.
+LIBRARY_ROWS = 1_000_000_000
+#: Partitions whose bounds are sent to the cluster at once.
+MATRIX_SLICE = 20_000
 #: Matrix entries up to which the matrix is broadcast; above it is joined by partition.
 BROADCAST_ENTRIES = 4_000_000
 
@@ -49,22 +53,49 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
     return low + int(np.searchsorted(mass, rng.random() * mass[-1], side="right"))
 
 
+def column_draw(rng: np.random.Generator, left: list[int], n: int) -> list[int]:
+    """How n draws without replacement from columns of these sizes fall on them."""
+    if sum(left) < LIBRARY_ROWS:
+        return rng.multivariate_hypergeometric(left, n, method="marginals").tolist()
+    drawn, rest = [], sum(left)
+    for c in left:
+        x = hypergeometric(rng, c, rest - c, n)
+        rest, n = rest - c, n - x
+        drawn.append(x)
+    return drawn
+
+
 def communication_matrix(rows: list[int], columns: list[int], seed: int) -> list[list[int]]:
-    """A random matrix of counts with these sums, as if sum(rows) rows were shuffled uniformly."""
+    """A random matrix of counts with these sums, as if sum(rows) rows were shuffled uniformly.
+
+    Ranges of rows are halved: what falls on the first half is drawn as a whole, and each half is
+    drawn from its own part. So only the few upper draws are of large numbers."""
     if sum(rows) != sum(columns):
         raise ValueError("row and column sums differ")
-    rng, left, out = np.random.default_rng(seed), list(columns), []
-    for n in rows:
-        drawn, rest = [], sum(left)
-        for s, c in enumerate(left):
-            x = hypergeometric(rng, c, rest - c, n)
-            rest, n = rest - c, n - x
-            left[s] -= x
-            drawn.append(x)
-        out.append(drawn)
+    rng, out = np.random.default_rng(seed), []
+    todo = [(0, len(rows), list(columns))] if rows else []
+    upto = np.concatenate(([0], np.cumsum(np.array(rows, dtype=object)))) if rows else [0]
+    while todo:
+        a, b, left = todo.pop()
+        if b - a == 1:
+            out.append(left)
+            continue
+        mid = (a + b) // 2
+        first = column_draw(rng, left, int(upto[mid] - upto[a]))
+        todo += [(mid, b, [x - y for x, y in zip(left, first)]), (a, mid, first)]
     return out
 
 
+def written_matrix(spark: SparkSession, parts: list[int], matrix: list[list[int]]) -> DataFrame:
+    """(p, bounds): each partition's running sums over the shards, as a written table: a plan that
+    reads it stays small however many partitions there are."""
+    kind, slices = "p int, bounds array<long>", []
+    for i in range(0, max(len(parts), 1), MATRIX_SLICE):
+        rows = [(p, np.cumsum(x).tolist()) for p, x in zip(parts[i : i + MATRIX_SLICE], matrix[i : i + MATRIX_SLICE])]
+        slices.append(materialise(spark.createDataFrame(rows, kind), "matrix"))
+    return reduce(DataFrame.union, slices)
+
+
 def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
@@ -74,10 +105,11 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED,
 
     Shard sizes differ by at most one and every assignment is equally likely. ``rows`` must be a
     scan, or a table written before: its partitions are read twice and must be the same both
-    times; a row outside the counted ones stops the job. Within a partition the order comes from
-    the row's content, so a task that is run again deals alike; equal rows stand for each other.
-    Nulls, empty and long texts take part as any value. Where rows has a column named shard or
-    slot, the new one gets a trailing underscore. An empty table gives an empty result.
+    times; rows beyond those counted, or fewer than counted, stop the job. Within a partition the
+    order comes from the row's content, so a task that is run again deals alike; equal rows stand
+    for each other. Nulls, empty and long texts take part as any value, and columns may have any
+    name: rows travel as one struct. Where rows has a column named shard or slot, the new one gets
+    a trailing underscore. An empty table gives an empty result.
     """
     spark = rows.sparkSession
     if shards < 1:
@@ -90,32 +122,29 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED,
     cells = max(1, total / shards / cell_rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) / shards)
     bits = min(30, math.ceil(math.log2(cells)))
 
-    bounds = [[p, *np.cumsum(x).tolist()] for p, x in zip(parts, matrix)]
-    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(bounds)), "array<array<long>>")).alias("x")).select(F.expr("x[0]").alias("__p"), F.expr(f"slice(x, 2, {shards})").alias("__bounds"))
-    dealt = F.expr("size(filter(__bounds, b -> b <= __pos))")
-    key = F.xxhash64(F.lit(seed + 1), "__p", "__pos")
+    table = written_matrix(spark, parts, matrix)
+    dealt = F.expr("size(filter(bounds, b -> b <= pos))")
+    key = F.xxhash64(F.lit(seed + 1), "p", "pos")
     cell = F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
 
-    hashable = [F.col(f"`{f.name}`") for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]
-    placed = rows.withColumn("__order", F.xxhash64(F.lit(seed), *hashable)).sortWithinPartitions("__order").withColumn("__at", F.monotonically_increasing_id())
-    placed = placed.withColumn("__p", F.shiftright("__at", 33)).withColumn("__pos", F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__order", "__at")
+    hashable = [quoted(f.name) for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]
+    placed = packed(rows, order=F.xxhash64(F.lit(seed), *hashable)).sortWithinPartitions("order").withColumn("at", F.monotonically_increasing_id())
+    placed = placed.select("row", F.shiftright("at", 33).cast("int").alias("p"), F.col("at").bitwiseAND((1 << 33) - 1).alias("pos"))
     small = len(parts) * (shards + 1) <= BROADCAST_ENTRIES
-    placed = placed.join(F.broadcast(table) if small else table, "__p", "left").withColumn("__shard", F.coalesce(dealt, F.lit(shards)))
-    outside = F.raise_error(F.lit("the input's partitions changed between the count and the exchange; write the input as a table first"))
-    placed = placed.withColumn("__shard", F.when(F.col("__shard") < shards, F.col("__shard")).otherwise(outside.cast("int"))).withColumn("__key", key).withColumn("__cell", cell)
+    changed = F.raise_error(F.lit("the input's partitions changed between the count and the exchange; write the input as a table first"))
+    placed = placed.join(F.broadcast(table) if small else table, "p", "left").withColumn("to", F.coalesce(dealt, F.lit(shards)))
+    placed = placed.withColumn("shard", F.when(F.col("to") < shards, F.col("to")).otherwise(changed.cast("int"))).select("row", "shard", cell.alias("cell"), key.alias("key"), "p", "pos")
 
     # which shard and cell a position gets is known without the rows
-    positions = table.repartition("__p").select("__p", "__bounds", F.explode(F.expr(f"sequence(0L, __bounds[{shards - 1}] - 1)")).alias("__pos")).select(dealt.alias("__shard"), cell.alias("__cell"))
-    before = Window.partitionBy("__shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = positions.groupBy("__shard", "__cell").count().select("__shard", "__cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-
-    within = Window.partitionBy("__shard", "__cell").orderBy("__key", "__p", "__pos")
-    shard, slot = free_name(rows, "shard"), free_name(rows, "slot")
-    return (
-        placed.withColumn("__rank", F.row_number().over(within))
-        .join(starts, ["__shard", "__cell"])
-        .select(*(F.col(f"`{c}`") for c in rows.columns), F.col("__shard").cast("int").alias(shard), (F.col("__start") + F.col("__rank") - 1).cast("long").alias(slot))
-    )
+    positions = table.repartition("p").select("p", "bounds", F.explode(F.expr(f"sequence(0L, bounds[{shards - 1}] - 1)")).alias("pos")).select(dealt.alias("shard"), cell.alias("cell"))
+    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = positions.groupBy("shard", "cell").agg(F.count("*").alias("expected")).select("shard", "cell", "expected", F.coalesce(F.sum("expected").over(before), F.lit(0)).alias("start"))
+
+    group = Window.partitionBy("shard", "cell")
+    ranked = placed.withColumn("rank", F.row_number().over(group.orderBy("key", "p", "pos"))).withColumn("here", F.count("*").over(group))
+    slot = F.when(F.col("here") == F.col("expected"), F.col("start") + F.col("rank") - 1).otherwise(changed.cast("long"))
+    names = free_name(rows, "shard"), free_name(rows, "slot")
+    return ranked.join(starts, ["shard", "cell"]).select("row.*", F.col("shard").cast("int").alias(names[0]), slot.cast("long").alias(names[1]))
 
 
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

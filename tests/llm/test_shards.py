@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from signalloom.llm import hypergeometric_shards as h
+from signalloom.llm import common, hypergeometric_shards as h
 
 
 def test_hypergeometric_law():
@@ -47,10 +47,38 @@ def test_shuffle_is_uniform(spark):
     assert abs(np.corrcoef(got[:, 0], got[:, 2])[0, 1]) < 0.06
 
 
+def test_matrix_law():
+    """Every cell follows the hypergeometric law of its row and column, below and above the library's bound."""
+    for scale, bound in ((1, h.LIBRARY_ROWS), (1, 10)):
+        h_bound, h.LIBRARY_ROWS = h.LIBRARY_ROWS, bound
+        try:
+            draws = np.array([h.communication_matrix([30, 20, 0, 50], [40, 35, 25], s) for s in range(1500)])
+        finally:
+            h.LIBRARY_ROWS = h_bound
+        for i, n in enumerate((30, 20, 0, 50)):
+            for j, c in enumerate((40, 35, 25)):
+                want = np.random.default_rng(1).hypergeometric(c, 100 - c, n, 100_000) if n else np.zeros(2)
+                assert abs(draws[:, i, j].mean() - want.mean()) < 0.25 and abs(draws[:, i, j].std() - want.std()) < 0.2
+    many = h.communication_matrix([1000] * 3000, h.shard_sizes(3_000_000, 24), 3)
+    assert np.array(many).sum(axis=0).tolist() == [125_000] * 24
+
+
+def test_changed_partitions_stop_the_job(spark, monkeypatch):
+    rows = spark.range(0, 1000, 1, 4)
+    for other in (spark.range(0, 990, 1, 4), spark.range(0, 1010, 1, 4)):
+        with monkeypatch.context() as m:
+            m.setattr(h, "packed", lambda _, **also: common.packed(other, **also))
+            with pytest.raises(Exception, match="partitions changed"):
+                h.shuffle_into_shards(rows, 3).collect()
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = h.shuffle_into_shards(odd_docs, 3)
     assert got.count() == 9 and {"shard", "slot", "shard_", "slot_"} <= set(got.columns)
     assert h.shuffle_into_shards(no_docs, 3).count() == 0
+    clashing = odd_docs.where("doc_id <> 5").drop("shard", "slot")
+    same = h.shuffle_into_shards(clashing, 3).drop("shard", "slot")
+    assert same.columns == clashing.columns and sorted(map(str, same.collect())) == sorted(map(str, clashing.collect()))
     with pytest.raises(ValueError):
         h.shuffle_into_shards(no_docs, 0)
 
