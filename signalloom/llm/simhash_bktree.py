@@ -2,8 +2,9 @@
 
 Two 64-bit fingerprints within three differing bits agree in at least two of five blocks of
 bits, so a shard is the set of fingerprints that agree in one pair of blocks: ten shards hold
-each fingerprint, and every link lies inside at least one. Shards follow their key through one
-exchange; each is indexed by a BK-tree whose children are keyed by their Hamming distance to
+each fingerprint, and every link lies inside at least one. The same holds for three of six blocks,
+four of seven and so on; the more fingerprints there are, the more blocks are taken, so that
+shards stay small by longer keys. Shards follow their key through one exchange; each is indexed by a BK-tree whose children are keyed by their Hamming distance to
 the parent, and a search follows only edges within the radius. Shards above ``TREE_NODES`` are
 cut into trees of bounded size and every pair of parts meets in one block, so neither a tree
 nor a task grows with a shard. A block returns a spanning star for each of its linked groups,
@@ -21,15 +22,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, materialise, utf8
+from .common import arrow_map, documents, materialise, packed, quoted, utf8
 from .components import components
 
 WORDS = 3
 RADIUS = 3
 SEED = 42
 TREE_NODES = 2048
-#: Blocks of bits: (first bit, bits).
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Fingerprints in a shard, on average, above which longer keys are taken.
+SHARD_NODES = 64
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 15
@@ -165,12 +166,24 @@ def _link_batches(radius: int):
     return links
 
 
+def shard_masks(n: int, radius: int) -> list[int]:
+    """The bits of each shard key for n fingerprints: 64 bits are cut into blocks, and within the
+    radius all but ``radius`` of them agree. Two more blocks than the radius at least, and one
+    more until a key leaves a shard about ``SHARD_NODES`` of n uniform fingerprints."""
+    blocks = radius + 2
+    while blocks < radius + 6 and n >> (64 * (blocks - radius) // blocks) > SHARD_NODES:
+        blocks += 1
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    return [sum(chosen) for chosen in combinations(parts, blocks - radius)]
+
+
 def links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that span every group linked within
-    the radius, which may be at most 3 for the blocks used."""
-    if not 0 <= radius <= len(BLOCKS) - 2:
-        raise ValueError(f"radius must be from 0 to {len(BLOCKS) - 2}")
-    masks = [sum(((1 << n) - 1) << first for first, n in pair) for pair in combinations(BLOCKS, 2)]
+    the radius. The wider it is, the more shards hold each fingerprint; 8 is the most allowed."""
+    if not 0 <= radius <= 8:
+        raise ValueError("radius must be from 0 to 8")
+    masks = shard_masks(fps.count(), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     bands = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("band", "key"))
     sizes = bands.groupBy("band", "key").count().where("count > 1")
@@ -186,7 +199,8 @@ def links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) ->
 
 def linked_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root) for the distinct fingerprints that have a partner; others are left out."""
-    return components(links(fps.select("fp").distinct(), radius)).select(F.col("node").alias("fp"), "root")
+    distinct = materialise(fps.select("fp").distinct(), "distinct")
+    return components(links(distinct, radius)).select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -222,15 +236,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.min("first").alias("first"))
         .select(*_key(F.col("first.doc_id"), F.col("first.text_hash")))
     )
-    # the join and the removal of equal rows share their keys, so the texts are exchanged once
-    names, key = docs.columns, ["__id", "__none", "__hash"]
-    left = docs.select("*", *_key(F.col(id_col).cast("long"), F.xxhash64(text_col))).join(kept, key, "left_semi")
-    return left.groupBy(*key).agg(*(F.first(c).alias(c) for c in names)).select(*names)
+    # the join and the removal of equal rows share their keys, so the texts are exchanged once; rows
+    # travel as one struct, so their columns may have any name
+    key = ["id", "none", "hash"]
+    left = packed(docs, x=F.struct(*_key(quoted(id_col).cast("long"), F.xxhash64(quoted(text_col))))).select("row", "x.*").join(kept, key, "left_semi")
+    return left.groupBy(*key).agg(F.first("row").alias("row")).select("row.*")
 
 
 def _key(doc_id: Column, text_hash: Column) -> list[Column]:
     """A row's identity, without nulls."""
-    return [F.coalesce(doc_id, F.lit(0)).alias("__id"), doc_id.isNull().alias("__none"), text_hash.alias("__hash")]
+    return [F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), text_hash.alias("hash")]
 
 
 def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

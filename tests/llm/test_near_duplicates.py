@@ -70,6 +70,30 @@ def test_links_against_all_pairs(spark):
         assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+def test_masks():
+    for n, radius in ((1000, 3), (10**8, 3), (10**11, 3), (10**6, 6)):
+        masks = s.shard_masks(n, radius)
+        rng = random.Random(n)
+        for _ in range(300):
+            x = rng.getrandbits(64)
+            y = x ^ sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(x & m == y & m for m in masks)
+        assert n / 2 ** min(m.bit_count() for m in masks) <= 2 * s.SHARD_NODES
+    assert len(s.shard_masks(1000, 3)) == 10
+
+
+def test_wider_radius(spark, monkeypatch):
+    rng = random.Random(9)
+    values = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for b in [rng.getrandbits(64) for _ in range(30)] for _ in range(8)})
+    monkeypatch.setattr(s, "SHARD_NODES", 0)  # the longest keys
+    for radius in (0, 3, 6):
+        fps = spark.createDataFrame([(v - (1 << 64) * (v >> 63),) for v in values], "fp long")
+        root = {r.node: r.root for r in components.components(s.links(fps, radius)).collect()}
+        got = [root.get(v - (1 << 64) * (v >> 63), v - (1 << 64) * (v >> 63)) for v in values]
+        want = groups(values, radius)
+        assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
 def test_components_of_a_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1, 0), (5, 5), (1000, 1001)], "a long, b long")
