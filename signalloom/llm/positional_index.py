@@ -145,20 +145,22 @@ def _match_batches(window: int, slop: int, missing: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes, items, hits, starts = [], [], [], [], []
-            cols = [batch.column(c) for c in ("doc_id", "text_hash", "item_id")]
-            for doc, th, item, seq, shifts, postings in zip(*(c.to_pylist() for c in cols), values(batch.column("words")), values(batch.column("shifts")), values(batch.column("postings"))):
-                wanted = set(seq)
+            cols = [batch.column(c) for c in ("doc_id", "text_hash")]
+            for doc, th, candidates, postings in zip(*(c.to_pylist() for c in cols), values(batch.column("candidates"), 16), values(batch.column("postings"), 16)):
+                wanted = {w for c in candidates for w in c["words"]}
                 lists = {p["term"]: set(p["positions"]) for p in postings if p["term"] in wanted}
-                n = min(window, len(seq))
-                hit: set[int] = set()
-                at: set[int] = set()
-                for shift in shifts:
-                    total = np.concatenate(([0], np.cumsum(_matched(lists, seq, shift, slop))))
-                    for j in np.flatnonzero(total[n:] - total[:-n] >= n - missing).tolist():
-                        at.add(shift + j)
-                        hit.update(range(shift + j, shift + j + n))
-                if at:
-                    ids.append(doc), hashes.append(th), items.append(item), hits.append(sorted(hit)), starts.append(sorted(at))
+                for c in candidates:
+                    seq = c["words"]
+                    n = min(window, len(seq))
+                    hit: set[int] = set()
+                    at: set[int] = set()
+                    for shift in c["shifts"]:
+                        total = np.concatenate(([0], np.cumsum(_matched(lists, seq, shift, slop))))
+                        for j in np.flatnonzero(total[n:] - total[:-n] >= n - missing).tolist():
+                            at.add(shift + j)
+                            hit.update(range(shift + j, shift + j + n))
+                    if at:
+                        ids.append(doc), hashes.append(th), items.append(c["item_id"]), hits.append(sorted(hit)), starts.append(sorted(at))
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(items, pa.int64()), pa.array(starts, ints), pa.array(hits, ints)],
@@ -184,10 +186,12 @@ def matches(index: PositionalIndex, items: DataFrame, window: int = WINDOW, slop
         .groupBy("doc_id", "text_hash", "item_key")
         .agg(F.collect_set("shift").alias("shifts"))
     )
+    # a document's lists travel once, to all of its candidate items
+    asked = pairs.join(hint(items), "item_key").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("candidates"))
     own = index.rows.where("size(postings) > 0").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "postings").dropDuplicates(["d", "h"])
-    found = pairs.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).join(hint(items), "item_key")
+    found = asked.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
     schema = "doc_id long, text_hash long, item_id long, starts array<int>, hits array<int>"
-    return arrow_map(found.select("doc_id", "text_hash", "item_id", "words", "shifts", "postings"), _match_batches(window, slop, missing), schema)
+    return arrow_map(found.select("doc_id", "text_hash", "candidates", "postings"), _match_batches(window, slop, missing), schema)
 
 
 def _small(items: DataFrame) -> bool:
