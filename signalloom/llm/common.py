@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import materialise, packed, quoted, shared_dir, ship
 
@@ -25,9 +26,16 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow, which takes columns by name: those with a dot or a backtick in theirs go by
+    another on the way."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    names = {c: free_name(df, f"odd_{i}") if "." in c or "`" in c else c for i, c in enumerate(df.columns)}
+    plain = df.toDF(*names.values())
+    if isinstance(schema, str):
+        return plain.mapInArrow(fn, schema)
+    inner = T.StructType([T.StructField(names.get(f.name, f.name), f.dataType, f.nullable) for f in schema.fields])
+    return plain.mapInArrow(fn, inner).toDF(*schema.names)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -45,6 +45,19 @@ def test_stages(spark, sf_dir):
     assert sum(r.length for r in whole.collect()) == sum(r.length for r in pieces)
 
 
+def test_stages_on_odd_tables(spark, sf_dir, odd_docs, no_docs):
+    """Nulls, empty and long texts, repeats and clashing names go through every stage; what stays keeps its columns."""
+    want = {"toxicity": 9, "simhash_near_dedup": 5, "benchmark_decontamination": 5, "secret_scans": 5}
+    docs, none = odd_docs, no_docs
+    for name, stage in corpus_pipeline.STAGES:
+        docs, none = common.materialise(stage(spark, docs, sf_dir), name), common.materialise(stage(spark, none, sf_dir), name)
+        assert none.count() == 0
+        if name in want:
+            assert docs.columns == odd_docs.columns and docs.count() == want[name]
+            assert {r["a.b"] for r in docs.collect()} == {"a.b"} and {r["__p"] for r in docs.collect()} == {"__p"}
+    assert {r.doc_id for r in docs.collect()} == {None, 1, 2, 6, 7}
+
+
 def test_registry(spark, sf_dir):
     names = list(registry.queries())
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
