@@ -2,8 +2,9 @@
 
 The field labels segments, not tokens. Around triggers (digits, spelled-out addresses, titles,
 street words) it lists candidate segments of bounded length with every plausible boundary and
-type, scores each by features of the whole span and its context, and a Viterbi pass over the
-positions chooses boundaries and types jointly (Sarawagi and Cohen, 2004). Outside the triggers
+type, scores each by features of the whole span, its context and the type of the segment before
+it, and a Viterbi pass over the positions chooses boundaries and types jointly (Sarawagi and
+Cohen, 2004). Outside the triggers
 no segment but "other" exists, so only these islands need the dynamic programme. The weights
 maximise the conditional likelihood, by forward-backward over the same segments, of examples
 that are generated here from formats with a fixed seed; no corpus is read for them.
@@ -83,14 +84,15 @@ _NUMBERS = re.compile(r"[0-9(][0-9() ./-]{6,}+")
 _FIRST = re.compile(r"(?<![\w.+/-])[(]?[0-9]")
 _AFTER = re.compile(r"[\w/-]")
 _GROUP = re.compile(r"[0-9]+")
-_SPELLED = re.compile(r"[\w.+-]{1,40}(?: at | ?\(at\) ?| ?\[at\] ?)[\w-]{1,40}(?:(?: dot | ?\(dot\) ?| ?\[dot\] ?|\.)[\w-]{1,20}){1,3}")
-_TITLE = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? (?:[A-Z][a-z]+[ -]?){1,4}")
+_SPELLED = re.compile(r"\b(?:[\w.+-]{1,40}(?: dot | ?\(dot\) ?| ?\[dot\] ?)){0,2}[\w.+-]{1,40}(?: at | ?\(at\) ?| ?\[at\] ?)[\w-]{1,40}(?:(?: dot | ?\(dot\) ?| ?\[dot\] ?|\.)[\w-]{1,20}){1,3}")
+_TITLE = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.? (?:(?:[A-Z][a-z]*['\u2019-])*[A-Z][A-Za-z]*\.?(?: (?:de|van|von|der|den|la|le|di|da) (?=[A-Z])| |(?![A-Za-z]))){1,4}")
+_NAME_WORD = re.compile(r"[A-Za-z]+(?:['\u2019-][A-Za-z]+)*")
 _STREET = re.compile(r"\b[0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard)\b")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 #: Words that announce a kind.
 CUES = {
-    "phone": ("phone", "tel", "call", "mobile", "fax", "cell"),
-    "id": ("ssn", "social", "security", "passport", "taxpayer"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "telephone", "ring", "text", "dial", "whatsapp"),
+    "id": ("ssn", "social", "security", "passport", "taxpayer", "tax", "insurance", "identity", "nin"),
     "birth": ("born", "birth", "dob", "birthday"),
     "other": ("order", "isbn", "version", "page", "pages", "price", "invoice", "serial", "issue", "vol", "between", "part", "chapter"),
 }
@@ -135,9 +137,9 @@ def islands(text: str) -> list[list[tuple[int, int, str]]]:
         every += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text)]
     if "dot" in text or "(at)" in text or "[at]" in text:
         every += [(m.start(), m.end(), "email") for m in _SPELLED.finditer(text)]
-    if "Mr" in text or "Ms" in text or "Dr" in text or "Prof" in text:
+    if "Mr" in text or "Ms" in text or "Miss" in text or "Dr" in text or "Prof" in text:
         for m in _TITLE.finditer(text):
-            ends = [m.start() + w.end() for w in _WORD.finditer(m.group())]
+            ends = [m.start() + w.end() for w in _NAME_WORD.finditer(m.group())]
             every += [(m.start(), e, "name") for e in ends[1 : LONGEST + 1]]
     every.sort()
     out: list[list[tuple[int, int, str]]] = []
@@ -178,57 +180,92 @@ def features(text: str, a: int, b: int, kind: str) -> list[str]:
 # --- the field ----------------------------------------------------------------------------
 
 
-def viterbi(segments: list[tuple[int, int, str]], scores: list[float]) -> list[int]:
-    """The best set of segments that don't overlap; what none covers is "other", of score 0."""
-    order = sorted(range(len(segments)), key=lambda i: segments[i][1])
-    ends = [0]
-    best = [0.0]
-    taken: list[tuple[int, int] | None] = [None]
-    for i in order:
-        a, b, _ = segments[i]
-        lo, hi = 0, len(ends)
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if ends[mid] <= a else (lo, mid)
-        score = best[lo] + scores[i]
-        if score > best[-1]:
-            ends.append(b), best.append(score), taken.append((i, lo))
-        else:
-            ends.append(b), best.append(best[-1]), taken.append(None)
-    out, k = [], len(ends) - 1
-    while k > 0:
-        if taken[k] is None:
-            k -= 1
-        else:
-            out.append(taken[k][0])
-            k = taken[k][1]
-    return out[::-1]
+Links = dict[tuple[str, str], float]
+_NO_LINKS: Links = {}
 
 
-def marginals(segments: list[tuple[int, int, str]], scores: list[float]) -> list[float]:
-    """Each segment's probability, by forward-backward over the points where segments begin or end."""
+def _lattice(segments: list[tuple[int, int, str]]) -> tuple[list[str], list[tuple[int, int, int]], int]:
+    """The types, "" for none before; each segment as (first point, last point, type); the points' number."""
     points = sorted({p for a, b, _ in segments for p in (a, b)})
     at = {p: i for i, p in enumerate(points)}
-    n = len(points)
-    forward, backward = [-math.inf] * n, [-math.inf] * n
-    add = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
-    into, out = defaultdict(list), defaultdict(list)
-    for i, (a, b, _) in enumerate(segments):
-        into[at[b]].append(i), out[at[a]].append(i)
-    forward[0] = 0.0
+    kinds = ["", *sorted({k for _, _, k in segments})]
+    return kinds, [(at[a], at[b], kinds.index(k)) for a, b, k in segments], len(points)
+
+
+def _paths(segments: list[tuple[int, int, str]], scores: list[float], links: Links):
+    """What the two passes share: segments by their last point, and a link's score by type numbers."""
+    kinds, placed, n = _lattice(segments)
+    into: list[list[int]] = [[] for _ in range(n)]
+    for i, (_, b, _) in enumerate(placed):
+        into[b].append(i)
+    table = [[links.get((x, y), 0.0) for y in kinds] for x in kinds]
+    return kinds, placed, n, into, table
+
+
+def viterbi(segments: list[tuple[int, int, str]], scores: list[float], links: Links = _NO_LINKS) -> list[int]:
+    """The best set of segments that don't overlap; what none covers is "other", of score 0. ``links``
+    are scores of a segment's type after the type of the one before it."""
+    kinds, placed, n, into, table = _paths(segments, scores, links)
+    best = [[-math.inf] * len(kinds) for _ in range(n)]
+    taken: list[list[tuple[int, int] | None]] = [[None] * len(kinds) for _ in range(n)]
+    best[0][0] = 0.0
     for p in range(1, n):
-        forward[p] = forward[p - 1]
+        best[p] = best[p - 1][:]
         for i in into[p]:
-            forward[p] = add(forward[p], forward[at[segments[i][0]]] + scores[i])
-    backward[-1] = 0.0
-    for p in range(n - 2, -1, -1):
-        backward[p] = backward[p + 1]
-        for i in out[p]:
-            backward[p] = add(backward[p], backward[at[segments[i][1]]] + scores[i])
-    return [math.exp(forward[at[a]] + s + backward[at[b]] - forward[-1]) for (a, b, _), s in zip(segments, scores)]
+            a, _, k = placed[i]
+            before = max(range(len(kinds)), key=lambda j: best[a][j] + table[j][k])
+            score = best[a][before] + table[before][k] + scores[i]
+            if score > best[p][k]:
+                best[p][k], taken[p][k] = score, (i, before)
+    k = max(range(len(kinds)), key=best[-1].__getitem__)
+    out, p = [], n - 1
+    while p > 0 and k:
+        while p > 0 and best[p][k] == best[p - 1][k] and taken[p][k] is None:
+            p -= 1
+        i, k = taken[p][k]
+        out.append(i)
+        p = placed[i][0]
+    return out[::-1]
+
+
+def _add(x: float, y: float) -> float:
+    return max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
 
 
-def examples(n: int = 900, seed: int = 11) -> list[tuple[str, list[Span]]]:
+def marginals(segments: list[tuple[int, int, str]], scores: list[float], links: Links = _NO_LINKS) -> tuple[list[float], dict[tuple[str, str], float]]:
+    """Each segment's probability and each link's expected number, by forward-backward over the
+    points where segments begin or end and the type of the last segment."""
+    kinds, placed, n, into, table = _paths(segments, scores, links)
+    size = len(kinds)
+    forward = [[-math.inf] * size for _ in range(n)]
+    backward = [[0.0] * size for _ in range(n)]
+    out: list[list[int]] = [[] for _ in range(n)]
+    for i, (a, _, _) in enumerate(placed):
+        out[a].append(i)
+    forward[0][0] = 0.0
+    for p in range(1, n):
+        forward[p] = forward[p - 1][:]
+        for i in into[p]:
+            a, _, k = placed[i]
+            for j in range(size):
+                forward[p][k] = _add(forward[p][k], forward[a][j] + table[j][k] + scores[i])
+    for p in range(n - 2, -1, -1):
+        backward[p] = backward[p + 1][:]
+        for i in out[p]:
+            _, b, k = placed[i]
+            for j in range(size):
+                backward[p][j] = _add(backward[p][j], table[j][k] + scores[i] + backward[b][k])
+    total = backward[0][0]
+    chances, expected = [], defaultdict(float)
+    for i, (a, b, k) in enumerate(placed):
+        each = [math.exp(forward[a][j] + table[j][k] + scores[i] + backward[b][k] - total) for j in range(size)]
+        chances.append(sum(each))
+        for j, x in enumerate(each):
+            expected[kinds[j], kinds[k]] += x
+    return chances, expected
+
+
+def examples(n: int = 2400, seed: int = 11) -> list[tuple[str, list[Span]]]:
     """Generated sentences with their true spans; half of them have numbers that are nobody's."""
     rng = random.Random(seed)
     num = lambda k: "".join(rng.choices("0123456789", k=k))
@@ -247,15 +284,30 @@ def examples(n: int = 900, seed: int = 11) -> list[tuple[str, list[Span]]]:
         return f"{rng.randint(1, 665):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}"
 
     def phone() -> str:
-        return rng.choice((f"{num(3)}-{num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"0{num(2)} {num(4)} {num(4)}"))
+        return rng.choice((f"{num(3)}-{num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"07{num(3)} {num(6)}", f"0{num(3)} {num(6)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(2)}/{num(7)}"))
+
+    def announced(kind: str, made: str) -> tuple[str, str]:
+        before = {"phone": (*(f"{c}{x}" for c in CUES["phone"] for x in (" ", ": ", " me on ")), "reach us at "), "id": ("SSN ", "SSN: ", "social security number ")}[kind]
+        return rng.choice(before) if rng.random() < 0.7 else "", made
+
+    def person() -> str:
+        last = rng.choice((name(), f"{rng.choice(('O', 'D'))}'{name()}", f"Mc{name()}", f"{name()}-{name()}", f"{rng.choice(('van', 'de', 'von'))} {name()}"))
+        first = rng.choice(("", f"{name()} ", f"{name()} ", f"{name()[0]}. ", f"{name()} {name()[0]}. "))
+        return f"{rng.choice(('Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Prof.', 'Mr', 'Ms', 'Miss'))} {first}{last}"
+
+    def spelled() -> str:
+        local = word() if rng.random() < 0.6 else f"{word()} dot {word()}"
+        if rng.random() < 0.6:
+            return f"{local} at {word()} dot {rng.choice(('com', 'org', 'net', 'co dot uk'))}"
+        return f"{word()}{rng.choice(('(at)', '[at]', ' (at) ', ' [at] '))}{word()}{rng.choice(('.', ' dot ', ' [dot] '))}{rng.choice(('com', 'org'))}"
 
     makers = {
-        "phone": lambda: (rng.choice(CUES["phone"]) + rng.choice((" ", ": ")) if rng.random() < 0.7 else "", phone()),
-        "id": lambda: (rng.choice(("SSN ", "SSN: ", "social security number ", "passport no ")) if rng.random() < 0.7 else "", ssn()),
+        "phone": lambda: announced("phone", phone()),
+        "id": lambda: announced("id", ssn()) if rng.random() < 0.6 else (rng.choice(("passport no ", "passport number ", "passport ", "tax id ", "national insurance no ", "identity card ", "taxpayer number ")), num(rng.randint(8, 11))),
         "birth": lambda: (rng.choice(("born ", "born on ", "date of birth: ", "DOB ")), birth()),
         "iban": lambda: ("IBAN " if rng.random() < 0.5 else "", iban()),
-        "email": lambda: ("", f"{word()} at {word()} dot {rng.choice(('com', 'org', 'net'))}" if rng.random() < 0.6 else f"{word()}{rng.choice(('(at)', '[at]', ' (at) '))}{word()}.{rng.choice(('com', 'org'))}"),
-        "name": lambda: ("", f"{rng.choice(('Mr.', 'Mrs.', 'Dr.', 'Prof.'))} {name()} {name()}"),
+        "email": lambda: ("", spelled()),
+        "name": lambda: ("", person()),
         "address": lambda: ("", f"{rng.randint(1, 999)} {name()} {rng.choice(('Street', 'Avenue', 'Road', 'Lane'))}"),
     }
     nobody = (
@@ -279,10 +331,11 @@ def examples(n: int = 900, seed: int = 11) -> list[tuple[str, list[Span]]]:
         for _ in range(rng.randint(1, 2)):
             if rng.random() < 0.5:
                 kind = rng.choice(list(makers))
-                before, body = makers[kind]()
-                text += before
-                spans.append((len(text), len(text) + len(body), kind))
-                text += body
+                for k in range(rng.choice((1, 1, 1, 2, 3))):  # sometimes a row of them
+                    before, body = makers[kind]()
+                    text += (rng.choice((", ", " ", " / ")) if kind == "phone" else ", ") if k else before
+                    spans.append((len(text), len(text) + len(body), kind))
+                    text += body
             else:
                 text += rng.choice(nobody)()
             text += rng.choice((" ", ", ", ". ")) + " ".join(word() for _ in range(rng.randint(1, 5))) + " "
@@ -290,45 +343,60 @@ def examples(n: int = 900, seed: int = 11) -> list[tuple[str, list[Span]]]:
     return out
 
 
-def train(data: list[tuple[str, list[Span]]], epochs: int = 6, rate: float = 0.4, decay: float = 1e-4) -> dict[str, float]:
+class Field:
+    """``weights`` of features, and scores of ``links``: a type after the type of the segment before."""
+
+    def __init__(self, weights: dict[str, float], links: Links) -> None:
+        self.weights, self.links = weights, links
+
+    def scores(self, text: str, segments: list[tuple[int, int, str]], margin: float = 0.0) -> list[float]:
+        return [sum(self.weights.get(x, 0.0) for x in features(text, *s)) - margin for s in segments]
+
+
+def train(data: list[tuple[str, list[Span]]], epochs: int = 6, rate: float = 0.4, decay: float = 1e-4) -> Field:
     """Weights of greatest regularised conditional likelihood, by stochastic gradient (AdaGrad)."""
-    weights: dict[str, float] = defaultdict(float)
-    seen: dict[str, float] = defaultdict(lambda: 1e-6)
+    weights: dict = defaultdict(float)
+    seen: dict = defaultdict(lambda: 1e-6)
     cases = []
     for text, spans in data:
         truth = set(spans)
         for segments in islands(text):
-            cases.append((segments, [features(text, *s) for s in segments], [s in truth for s in segments]))
+            true = [s in truth for s in segments]
+            row = ["", *(k for (_, _, k), t in sorted(zip(segments, true)) if t)]
+            cases.append((segments, [features(text, *s) for s in segments], true, list(zip(row, row[1:]))))
     rng = random.Random(5)
     for _ in range(epochs):
         rng.shuffle(cases)
-        for segments, fs, truth in cases:
-            chances = marginals(segments, [sum(weights[x] for x in f) for f in fs])
-            step: dict[str, float] = defaultdict(float)
-            for f, p, t in zip(fs, chances, truth):
+        for segments, fs, true, pairs in cases:
+            chances, expected = marginals(segments, [sum(weights[x] for x in f) for f in fs], weights)
+            step: dict = defaultdict(float)
+            for f, p, t in zip(fs, chances, true):
                 for x in f:
                     step[x] += t - p
+            for pair in pairs:
+                step[pair] += 1
+            for pair, x in expected.items():
+                step[pair] -= x
             for x, g in step.items():
                 g -= decay * weights[x]
                 seen[x] += g * g
                 weights[x] += rate * g / math.sqrt(seen[x])
-    return dict(weights)
+    return Field({x: w for x, w in weights.items() if isinstance(x, str)}, {x: w for x, w in weights.items() if isinstance(x, tuple)})
 
 
 @lru_cache(maxsize=1)
-def trained() -> dict[str, float]:
+def trained() -> Field:
     return train(examples())
 
 
-def _finder(weights: dict[str, float], margin: float):
+def _finder(field: Field, margin: float):
     def find(text: str) -> tuple[list[Span], list[Span]]:
         base = base_spans(text)
         covered, added = Covered(base), []
         for segments in islands(text):
             segments = [s for s in segments if not covered.overlaps(s)]
             if segments:
-                scores = [sum(weights.get(x, 0.0) for x in features(text, *s)) - margin for s in segments]
-                added += [segments[i] for i in viterbi(segments, scores)]
+                added += [segments[i] for i in viterbi(segments, field.scores(text, segments, margin), field.links)]
         return base, added
 
     return find
@@ -356,7 +424,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def mask(docs: DataFrame, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """docs with every span of personal data replaced by its kind in brackets; all rows stay."""
+    """docs with every span of personal data replaced by its kind in brackets; all rows and columns
+    stay. Null and empty texts stay as they are; an empty table stays one."""
     return arrow_map(docs, masking_batches(_finder(trained(), margin), text_col, lambda kind: f"[{kind.upper()}]"), docs.schema)
 
 
