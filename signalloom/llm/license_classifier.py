@@ -296,9 +296,10 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # a blank line may hold a comment's marks only
     blank = r"\n(?:[^\S\n]|[/*#;%!>-])*\n"
     paragraphs = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", blank)).alias("at", "x")).where(F.col("x").rlike(cue))
-    words = paragraphs.select("doc_id", "text_hash", "at", F.regexp_extract_all("x", F.lit("[a-z0-9]+"), F.lit(0)).alias("w")).where("size(w) > 0")
-    pairs = " or ".join(f"(w[i] = '{x}' and get(w, i + 1) = '{y}')" for x, y in PAIRS)
-    cues = words.select("*", F.expr(f"filter(sequence(0, size(w) - 1), i -> w[i] rlike '{'|'.join(CUES)}' or coalesce({pairs}, false))").alias("c")).where("size(c) > 0")
+    # no filter on what is computed here: pushed below, it would compute the words once for each of them
+    words = paragraphs.select("doc_id", "text_hash", "at", F.regexp_extract_all("x", F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+    pairs = " or ".join(f"(x = '{x}' and get(w, i + 1) = '{y}')" for x, y in PAIRS)
+    cues = words.select("*", F.expr(f"filter(transform(w, (x, i) -> if(x rlike '{'|'.join(CUES)}' or {pairs}, i, null)), i -> i is not null)").alias("c"))
     far = 2 * REACH
     ends = cues.select("*", F.expr(f"filter(c, (x, i) -> i = 0 or x - c[greatest(i - 1, 0)] > {far})").alias("a"), F.expr(f"filter(c, (x, i) -> i = size(c) - 1 or get(c, i + 1) - x > {far})").alias("b"))
     spans = ends.select("doc_id", "text_hash", "at", "w", F.explode(F.arrays_zip("a", "b")).alias("s"))
