@@ -13,6 +13,7 @@ All that touches rows is DataFrame functions; the driver holds counts per partit
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -30,7 +31,7 @@ CELL_ROWS = 100_000
 #: Rows up to which the library's sampler is exact; larger draws use ``hypergeometric``.
 LIBRARY_ROWS = 1_000_000_000
 #: Partitions whose bounds are sent to the cluster at once.
-MATRIX_SLICE = 20_000
+MATRIX_SLICE = 10_000
 #: Matrix entries up to which the matrix is broadcast; above it is joined by partition.
 BROADCAST_ENTRIES = 4_000_000
 
@@ -89,10 +90,10 @@ def communication_matrix(rows: list[int], columns: list[int], seed: int) -> list
 def written_matrix(spark: SparkSession, parts: list[int], matrix: list[list[int]]) -> DataFrame:
     """(p, bounds): each partition's running sums over the shards, as a written table: a plan that
     reads it stays small however many partitions there are."""
-    kind, slices = "p int, bounds array<long>", []
+    kind, slices = "array<struct<p: int, bounds: array<long>>>", []
     for i in range(0, max(len(parts), 1), MATRIX_SLICE):
-        rows = [(p, np.cumsum(x).tolist()) for p, x in zip(parts[i : i + MATRIX_SLICE], matrix[i : i + MATRIX_SLICE])]
-        slices.append(materialise(spark.createDataFrame(rows, kind), "matrix"))
+        rows = [{"p": p, "bounds": np.cumsum(x).tolist()} for p, x in zip(parts[i : i + MATRIX_SLICE], matrix[i : i + MATRIX_SLICE])]
+        slices.append(materialise(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind))), "matrix"))
     return reduce(DataFrame.union, slices)
 
 
