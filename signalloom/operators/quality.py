@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialise, quoted
+from ..sources.scratch import quoted
 from .ranks import cumulative, quantiles
 
 
@@ -55,16 +57,19 @@ def describe(rows: DataFrame, *columns: str) -> DataFrame:
     values = [(c, F.when(~F.isnan(quoted(c).cast("double")), quoted(c).cast("double"))) for c in columns]
     moments = [F.struct(F.lit(c).alias("name"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("g")) for c, x in values]
     stats = rows.agg(*(m.alias(f"m{i}") for i, m in enumerate(moments))).select(F.explode(F.array(*(F.col(f"m{i}") for i in range(len(moments))))).alias("m")).select("m.*")
-    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("g"), x.alias("v")) for c, x in values))).alias("e")).select("e.*").where("v is not null")
-    counts = materialise(long.groupBy("g", "v").agg(F.count("*").alias("n")), "values")
+    # each column is counted by itself, before it meets the others
+    parts = [rows.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count("*").alias("n")).select(F.lit(c).alias("g"), "v", "n") for c, x in values]
+    counts = reduce(DataFrame.unionByName, parts)
     members = rows.sparkSession.createDataFrame([(c, c) for c in columns], "w string, g string")
-    cut = quantiles(counts, members, [0.25, 0.5, 0.75]).groupBy("w").agg(*(F.max(F.when(F.col("share") == q, F.col("value"))).alias(k) for k, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    far = F.sum(F.when((F.col("v") < F.col("q1") - reach) | (F.col("v") > F.col("q3") + reach), F.col("n")).otherwise(0))
-    outside = counts.join(F.broadcast(cut), F.col("g") == F.col("w")).groupBy("w", "median").agg(far.alias("outliers"))
+    cut = quantiles(counts, members, [0.25, 0.5, 0.75])
+    edges = cut.groupBy("w").agg(*(F.max(F.when(F.col("share") == q, F.col("value"))).alias(k) for k, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))).collect()
+    found = {e.w: (e.median, e.q1 - 1.5 * (e.q3 - e.q1), e.q3 + 1.5 * (e.q3 - e.q1)) for e in edges}  # one row a column
+    far = [(F.count_if((x < found[c][1]) | (x > found[c][2])) if c in found else F.lit(0)).alias(f"o{i}") for i, (c, x) in enumerate(values)]
+    outside = rows.agg(*far)
     skew = F.when(F.col("n") > 2, F.col("g") * F.sqrt(F.col("n") * (F.col("n") - 1)) / (F.col("n") - 2))
-    joined = stats.join(F.broadcast(outside), F.col("name") == F.col("w"), "left")
-    return joined.select("name", "n", "mean", "std", "min", "median", "max", skew.alias("skew"), F.coalesce("outliers", F.lit(0)).alias("outliers"))
+    each = [F.struct(F.lit(c).alias("w"), F.lit(found[c][0] if c in found else None).cast("double").alias("median"), F.col(f"o{i}").cast("long").alias("outliers")) for i, c in enumerate(columns)]
+    placed = outside.select(F.explode(F.array(*each)).alias("e")).select("e.*")
+    return stats.join(F.broadcast(placed), F.col("name") == F.col("w")).select("name", "n", "mean", "std", "min", "median", "max", skew.alias("skew"), "outliers")
 
 
 def tier_breakdown(rows: DataFrame, group: str, flag: str) -> DataFrame:

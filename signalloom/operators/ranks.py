@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialise, packed, quoted
 
+#: Range partitions that values are dealt to at least.
+PIECES = 16
 _EARLIER = (Window.unboundedPreceding, -1)
 
 
@@ -35,7 +37,9 @@ def quantiles(counts: DataFrame, members: DataFrame, shares: list[float]) -> Dat
     Only the partitions in which a quantile lies are looked into. members is a small table (years
     by earlier years, names); both it and the totals are broadcast.
     """
-    placed = materialise(counts.select("g", "v", "n").repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    # small partitions: one of them is ordered for each quantile
+    pieces = max(PIECES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = materialise(counts.select("g", "v", "n").repartitionByRange(pieces, "v").withColumn("part", F.spark_partition_id()), "values")
     members = F.broadcast(members.select("w", "g"))
     totals = placed.groupBy("g", "part").agg(F.sum("n").alias("n")).join(members, "g").groupBy("w", "part").agg(F.sum("n").alias("n"))
     ordered = Window.partitionBy("w").orderBy("part").rowsBetween(*_EARLIER)
