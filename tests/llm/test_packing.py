@@ -96,3 +96,19 @@ def test_small_blocks(monkeypatch, exact):
             got += list(stream.sequences(False))
     got += list(stream.sequences(True))
     assert sum(len(x[3]) for s in got for x in s) == total and all(sum(len(x[3]) for x in s) <= 128 for s in got)
+
+
+def test_both_libraries_agree_on_every_character():
+    """The splitting pattern knows classes of characters only, so each is tried in every kind of place."""
+    e = p.encoder()
+    points = [c for c in range(p.COMPARED) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)} {chr(c)}{chr(c)}x{chr(c)}1 '{chr(c)}s \n{chr(c)}\t{chr(c)}. {chr(c)}'s" for c in points]
+    for i in range(0, len(texts), 20_000):
+        slow = e.exact.encode_batch(texts[i : i + 20_000], add_special_tokens=False)
+        assert e.fast.encode_ordinary_batch(texts[i : i + 20_000]) == [x.ids for x in slow]
+    rng = random.Random(12)
+    pools = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x500), (0x590, 0x700), (0x900, 0xA00), (0x2000, 0x2070), (0x3040, 0x3100), (0x4E00, 0x5000), (0xAC00, 0xAD00), (0x1F300, 0x1F700)]
+    mixed = ["".join(chr(rng.randrange(*rng.choice(pools))) if rng.random() < 0.8 else rng.choice([" ", "  ", "\n", "'s", "'ll", "1", ".", "\r\n"]) for _ in range(rng.randint(1, 60))) for _ in range(20_000)]
+    assert [e.encode(t).tolist() for t in mixed] == [x.ids for x in e.exact.encode_batch(mixed, add_special_tokens=False)]
+    for t in ("a<|endoftext|>b", "\U00030000 x", ""):
+        assert e.encode(t).tolist() == e.exact.encode(t, add_special_tokens=False).ids
