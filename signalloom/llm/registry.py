@@ -18,6 +18,7 @@ MODULES = (
     "positional_index",
     "packing_dp",
     "simhash_bktree",
+    "periodic_runs",
 )
 
 
