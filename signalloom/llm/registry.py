@@ -19,6 +19,7 @@ MODULES = (
     "packing_dp",
     "simhash_bktree",
     "periodic_runs",
+    "suffix_dedup",
     "source_divergence",
 )
 
