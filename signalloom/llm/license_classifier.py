@@ -293,8 +293,8 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     cue = "|".join([*CUES, *(f"{x}[^a-z0-9]+{y}" for x, y in PAIRS)])
     text = F.regexp_replace(F.translate(whole_text(text_col), upper, lower), "\r\n?", "\n")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), text.alias("text")).where(F.col("text").rlike(cue))
-    # a blank line may hold a comment's marks only
-    blank = r"\n(?:[^\S\n]|[/*#;%!>-])*\n"
+    # a blank line may hold a comment's marks only; one class, taken whole: a line of marks may be long
+    blank = r"\n[ \t\x0B\f\r/*#;%!>-]*+\n"
     paragraphs = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", blank)).alias("at", "x")).where(F.col("x").rlike(cue))
     # no filter on what is computed here: pushed below, it would compute the words once for each of them
     words = paragraphs.select("doc_id", "text_hash", "at", F.regexp_extract_all("x", F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))

@@ -255,3 +255,11 @@ def test_license_rows(spark, odd_docs, no_docs):
     assert sorted((r.doc_id or 0, r.n_candidates, r.licenses) for r in lic.licenses(two).collect()) == [(0, 2, "Apache-2.0,proprietary"), (1, 0, ""), (1, 1, "MIT"), (1, 1, "MIT")]
     plan = lic.licenses(odd_docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("line", ["-" * 1_000_000, " " * 1_000_000, "#\n" * 200_000, "* -" * 300_000, "\n" * 300_000])
+def test_long_lines_of_signs(spark, line):
+    """A pattern that recursed at each sign ended the JVM."""
+    docs = spark.createDataFrame([(1, f"Licensed under the MIT License.\n{line}\nAll rights reserved.")], "doc_id long, text string")
+    row = lic.licenses(docs).first()
+    assert row.licenses in ("MIT,proprietary", "MIT") and row.n_candidates >= 1
