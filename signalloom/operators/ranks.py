@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialise, packed, quoted
+from ..sources.scratch import holds_map, materialise, packed, quoted
 
 #: Range partitions that values are dealt to at least.
 PIECES = 16
@@ -78,7 +78,9 @@ def at_cuts(rows: DataFrame, stratum: Column, order: Column, tie: Column, cuts:
     sure = known.where(~split).select("row", passed.alias("part"))
 
     here = F.element_at(F.filter("marks", lambda m: m["h"] == F.col("h")), 1)["start"]
-    copies = known.where(split).groupBy("s", "h", "o", "k", "row", "cuts", here.alias("base")).agg(F.count("*").alias("n")).withColumn("t", F.xxhash64("row"))
+    # rows that hold a map can't be grouped as they are: their JSON stands for them
+    same = F.to_json("row") if holds_map(rows.schema) else F.col("row")
+    copies = known.where(split).groupBy("s", "h", "o", "k", same.alias("same"), "cuts", here.alias("base")).agg(F.count("*").alias("n"), F.first("row").alias("row")).withColumn("t", F.xxhash64("same")).drop("same")
     placed = materialise(copies.repartitionByRange("s", "h", "o", "k", "t").withColumn("part", F.spark_partition_id()), "cuts")
     totals = placed.groupBy("s", "h", "part").agg(F.sum("n").alias("n"))
     offsets = totals.select(F.struct("s", "h").alias("g"), "part", F.coalesce(F.sum("n").over(Window.partitionBy("s", "h").orderBy("part").rowsBetween(*_EARLIER)), F.lit(0)).alias("offset"))

@@ -8,20 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import normal_space
-from ..sources.scratch import ship
+from ..sources.scratch import holds_map, quoted, ship
 from .ranks import cumulative
 
 
+def _tie(rows: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns as something that can be ordered: those that hold a map as JSON."""
+    return [F.to_json(F.struct(quoted(c))) if holds_map(rows.schema[c].dataType) else quoted(c) for c in columns]
+
+
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of each key the row of least order: an aggregate, so copies are reduced before the exchange."""
+    """Of each key the row of least order: an aggregate, so copies are reduced before the exchange.
+
+    Rows without order come last, NaN just before them; rows of equal order go by their other
+    columns. A null key is a key like any other."""
     rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("__row")).select(key, "__row.*").select(*rows.columns)
+    ranked = F.struct(quoted(order).isNull(), quoted(order), *_tie(rows, [c for c in rest if c != order]))
+    found = rows.groupBy(quoted(key).alias("key")).agg(F.min_by(F.struct(*map(quoted, rows.columns)), ranked).alias("row"))
+    return found.select("row.*")
 
 
 def first_position_last_value(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of each key the last row, at the first one's position."""
+    """Of each key the last row, at the first one's position.
+
+    A row without order is last only where all of its key are; rows of equal order go by their
+    other columns."""
     rest = [c for c in rows.columns if c not in (key, order)]
-    return rows.groupBy(key).agg(F.min(order).alias(order), F.max_by(F.struct(*rest), order).alias("__row")).select(key, order, "__row.*").select(*rows.columns)
+    ranked = F.struct(quoted(order).isNotNull(), quoted(order), *_tie(rows, rest))
+    found = rows.groupBy(quoted(key).alias("key")).agg(F.min(quoted(order)).alias("at"), F.max_by(F.struct(*map(quoted, rows.columns)), ranked).alias("row"))
+    return found.select(*((F.col("at") if c == order else F.col("row").getField(c)).alias(c) for c in rows.columns))
 
 
 def keep_first_join(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
@@ -40,11 +55,12 @@ def top_per_group(rows: DataFrame, group: str, score: Column, tie: str, k: int)
 
 
 def keep_top_share(rows: DataFrame, score: str, tie: str, remove: float = 0.15) -> DataFrame:
-    """The best floor(n * (1 - remove)) rows, one at least; null scores come last.
+    """The best floor(n * (1 - remove)) rows, one at least; null and NaN scores come last, as one.
 
     The score at which they end follows from counts by score, so most rows pass a plain filter;
     only those of that very score are ordered by the tie."""
-    value = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    number = F.col(score).cast("double")
+    value = F.coalesce(F.when(~F.isnan(number), number), F.lit(float("-inf")))
     counts = rows.groupBy((-value).alias("down")).agg(F.count("*").alias("n")).persist()
     keep = max(1, int((counts.agg(F.sum("n")).first()[0] or 0) * (1 - remove)))
     edge = cumulative(counts, "down", ["n"]).where(F.col("cum_n") >= keep).orderBy("down").limit(1).first()

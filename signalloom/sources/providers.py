@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import has_quality, matches_query
 from ..functions.texts import query_variants, title_and_abstract
 from ..operators.sampling import allocate, quota_sample, seeded_subsample
+from .committed import CommittedTable
 from .scratch import materialise
 
 
@@ -101,10 +102,17 @@ def recover_seeds(query: str, years: list[int], provider: SearchProvider, spark:
     return found.orderBy("attempt", "doc_id").limit(most)
 
 
-def read_through(keys: DataFrame, cache: DataFrame, key: str, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows for keys: from the cache, and fetched for those it lacks."""
-    missing = keys.join(cache.select(key), key, "left_anti")
-    return cache.join(keys.select(key), key, "left_semi").unionByName(fetch(missing))
+def read_through(keys: DataFrame, cache: CommittedTable, key: str, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows for keys: those that the cache lacks are fetched and committed to it first, so each
+    is fetched once. Keys for which nothing is found are asked for again the next time. A null key
+    has no rows."""
+    asked = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    known = cache.read()
+    missing = asked if known is None else asked.join(known.select(key), key, "left_anti")
+    if not missing.isEmpty():
+        cache.append(fetch(missing))
+    found = cache.read()
+    return asked if found is None else found.join(asked, key, "left_semi")
 
 
 def sqlite_table(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:

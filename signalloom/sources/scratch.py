@@ -9,6 +9,7 @@ import uuid
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -62,6 +63,26 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def holds_map(kind: T.DataType) -> bool:
+    """Whether a type is a map or has one inside, which can be neither hashed nor ordered."""
+    if isinstance(kind, T.ArrayType):
+        return holds_map(kind.elementType)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.StructType) and any(holds_map(f.dataType) for f in kind.fields))
+
+
+def row_hash(rows: DataFrame, *columns: str) -> Column:
+    """A hash of the whole row, or of the columns; those that hold a map count by their JSON, in
+    the order of the map's keys."""
+
+    def hashable(c: str) -> Column:
+        kind = rows.schema[c].dataType
+        if not holds_map(kind):
+            return quoted(c)
+        return F.to_json(F.struct((F.sort_array(F.map_entries(quoted(c))) if isinstance(kind, T.MapType) and not holds_map(kind.valueType) else quoted(c)).alias("x")))
+
+    return F.xxhash64(*map(hashable, columns or rows.columns))
+
+
 def packed(rows: DataFrame, **also: Column) -> DataFrame:
     """``row``, a struct of all columns, beside the named ones: no name of rows can clash with them."""
     return rows.select(F.struct(*map(quoted, rows.columns)).alias("row"), *(c.alias(k) for k, c in also.items()))

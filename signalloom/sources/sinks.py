@@ -2,41 +2,87 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import cumulative
-from .scratch import quoted
+from .committed import Files
+from .scratch import materialise, packed, quoted, row_hash
 
 VERSION = "1"
+#: Marks a folder whose job has ended well.
+WHOLE = "_whole"
 
 
 def write_corpus(rows: DataFrame, path: str, rows_per_file: int = 0) -> None:
-    """Parquet with zstd; with ``rows_per_file`` in files of so many rows. Spark's commit makes
-    the files appear only when all are whole."""
+    """Parquet with zstd; with ``rows_per_file`` in files of at most so many rows.
+
+    A table that is there is replaced only when the new one is whole: it is written beside it and
+    takes its name then, so rows may be read from the old one. Of a call that breaks between the
+    two renames, the next one finds the whole new table and puts it in place first."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    files = Files(rows.sparkSession, folder)
+    _take_name(files, name)
     out = rows.write.mode("overwrite").option("compression", "zstd")
-    (out.option("maxRecordsPerFile", rows_per_file) if rows_per_file else out).parquet(path)
+    (out.option("maxRecordsPerFile", rows_per_file) if rows_per_file else out).parquet(f"{folder}/_new-{name}")
+    files.write(f"_new-{name}/{WHOLE}", "")
+    _take_name(files, name)
+
+
+def _take_name(files: Files, name: str) -> None:
+    """Puts a whole table that was written beside the named one in its place."""
+    if files.exists(f"_new-{name}/{WHOLE}"):
+        files.delete(f"_old-{name}")
+        if files.exists(name) and not files.move(name, f"_old-{name}"):
+            raise FileExistsError(f"{files.root}/_old-{name}")
+        if not files.move(f"_new-{name}", name):
+            raise FileExistsError(f"{files.root}/{name}")
+    files.delete(f"_old-{name}")
 
 
 def write_shards(rows: DataFrame, folder: str, rows_per_file: int, order: str, whole_only: bool = True) -> int:
     """rows in files part-00000.parquet, part-00001.parquet, ... of exactly ``rows_per_file`` rows
     each, in ascending order; returns how many. With ``whole_only`` rows of a last, short file are
-    held back for a later run. A file appears under its name only when it is whole."""
-    placed = cumulative(rows.withColumn("__one", F.lit(1)), order, ["__one"])
-    spark, total = rows.sparkSession, rows.count()
-    files = total // rows_per_file if whole_only else -(-total // rows_per_file)
-    # rows of equal order keep it by the rest of the row
-    at = F.row_number().over(Window.partitionBy("cum___one").orderBy(F.xxhash64(*(quoted(c) for c in rows.columns))))
-    numbered = placed.withColumn("__at", F.col("cum___one") - at).withColumn("__shard", F.floor(F.col("__at") / rows_per_file).cast("int")).where(F.col("__shard") < files)
-    staged = f"{folder.rstrip('/')}/_staged"
-    numbered.drop("__one", "cum___one", "__at").repartition(max(files, 1), "__shard").write.mode("overwrite").option("compression", "zstd").partitionBy("__shard").parquet(staged)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
-    for k in range(files):
-        [part] = [f.getPath() for f in fs.listStatus(path(f"{staged}/__shard={k}")) if f.getPath().getName().startswith("part-")]
-        fs.rename(part, path(f"{folder.rstrip('/')}/part-{k:05d}.parquet"))
-    fs.delete(path(staged), True)
-    return files
+    held back for a later run. Rows of equal order keep it by a hash of the row.
+
+    A later call goes on after the files that are there. New files are first written whole to a
+    folder of their own under their final numbers, then renamed one by one, never onto another
+    file; a call that breaks meanwhile is finished by the next one."""
+    spark = rows.sparkSession
+    files = Files(spark, folder)
+    _finish_shards(files)
+    have = [int(m[1]) for n in files.names() if (m := re.fullmatch(r"part-(\d+)\.parquet", n))]
+    after = max(have, default=-1) + 1
+    each = packed(rows, at=quoted(order), hash=row_hash(rows), one=F.lit(1))
+    placed = materialise(cumulative(each, "at", ["one"]), "shards")
+    total = placed.count()
+    count = total // rows_per_file if whole_only else -(-total // rows_per_file)
+    if not count:
+        return 0
+    place = F.col("cum_one") - F.row_number().over(Window.partitionBy("cum_one").orderBy("hash"))
+    numbered = placed.select("row", place.alias("place")).select("row.*", F.floor(F.col("place") / rows_per_file).alias("__shard")).where(F.col("__shard") < count)
+    staged = f"_staged-{uuid.uuid4().hex}"
+    dealt = numbered.withColumn("__shard", F.col("__shard") + after).repartition(count, "__shard")
+    # one file a shard, whatever limit the session sets
+    dealt.write.option("compression", "zstd").option("maxRecordsPerFile", 0).partitionBy("__shard").parquet(f"{files.root}/{staged}")
+    files.write(f"{staged}/{WHOLE}", "")
+    _finish_shards(files)
+    return count
+
+
+def _finish_shards(files: Files) -> None:
+    """Renames what whole staged folders still hold; others were never finished and go."""
+    for staged in [n for n in files.names() if n.startswith("_staged-")]:
+        for shard in files.names(staged) if files.exists(f"{staged}/{WHOLE}") else ():
+            if shard.startswith("__shard="):
+                [part] = [n for n in files.names(f"{staged}/{shard}") if n.startswith("part-")] or [None]
+                name = f"part-{int(shard.removeprefix('__shard=')):05d}.parquet"
+                if part and not files.move(f"{staged}/{shard}/{part}", name):
+                    raise FileExistsError(f"{files.root}/{name}")
+        files.delete(staged)
 
 
 def export(rows: DataFrame, path: str, training_end_year: int) -> DataFrame:

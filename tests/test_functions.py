@@ -217,3 +217,14 @@ def test_year_roles(spark):
 def test_compact(spark):
     assert one(spark, "x string", ("a" * 4000 + "b" * 2000,), texts.compact(F.col("x"))) == "a" * 3750 + " … " + "b" * 1250
     assert one(spark, "x string", ("short",), texts.compact(F.col("x"))) == "short"
+
+
+def test_stems_of_long_runs(spark):
+    """One look at each run, however long: a blob of letters and digits without a space."""
+    import time
+
+    blob = "ab1" * 700_000
+    start = time.time()
+    got = one(spark, "x string", (f"{blob}s {blob}ing 12 34abcds runnings",), texts.word_stems(F.col("x")))
+    assert [len(w) for w in got] == [2_100_000, 2_100_000, 4, 7] and got[2:] == ["abcd", "running"]
+    assert time.time() - start < 30

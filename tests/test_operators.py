@@ -397,9 +397,19 @@ def test_small_sources(spark, tmp_path):
         db.execute("create table t (a int, b text)")
         db.execute("insert into t values (1, 'x')")
     assert [tuple(r) for r in providers.sqlite_table(spark, str(tmp_path / "db"), "select a, b from t", "a int, b string").collect()] == [(1, "x")]
-    keys, cache = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "old"), (3, "other")], "k int, v string")
-    got = providers.read_through(keys, cache, "k", lambda missing: missing.withColumn("v", F.lit("new")))
-    assert sorted(map(tuple, got.collect())) == [(1, "old"), (2, "new")]
+    from signalloom.sources.committed import CommittedTable
+
+    cache, asked = CommittedTable(spark, str(tmp_path / "cache")), []
+    cache.append(spark.createDataFrame([(1, "old"), (3, "other")], "k int, v string"))
+
+    def fetch(missing):
+        asked.append(sorted(r.k for r in missing.collect()))
+        return missing.withColumn("v", F.lit("new"))
+
+    keys = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
+    for _ in range(2):  # what was fetched is kept
+        assert sorted(map(tuple, providers.read_through(keys, cache, "k", fetch).collect())) == [(1, "old"), (2, "new")]
+    assert asked == [[2]]
     assert tables.probe(spark, "/root/testdata/sf0.001/region.parquet") == (5, {"r_regionkey": "int", "r_name": "string"})
     assert texts.safe_name("  A b/C! ") == "a_b_c" and texts.safe_name("!!") == "query"
 
