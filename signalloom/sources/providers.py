@@ -86,14 +86,18 @@ def searches(spark: SparkSession, query: str) -> list[tuple[str, bool]]:
 def recover_seeds(query: str, years: list[int], provider: SearchProvider, spark: SparkSession, limit: int = 300, enough: int = 10, most: int = 100, budget: TimeBudget | None = None) -> DataFrame:
     """(doc_id, attempt): up to ``most`` works that match the whole query, each by the first of the
     ``searches`` that finds it. Searches end when ``enough`` works are found or the budget is used
-    up. What is found is written once per search, never collected."""
+    up. What is found is written once per search, never collected. A provider with ``whole(query)``,
+    as one over a term index, says itself what matches; else the found works' texts do."""
+    of_whole = provider.whole(query) if hasattr(provider, "whole") else None
     whole = matches_query(title_and_abstract(F.col("title"), F.col("abstract_text")), F.lit(query))
     found = None
     for attempt, (asked, references) in enumerate(searches(spark, query)):
         if budget and budget.expired():
             budget.stop()
             break
-        hits = provider.search(asked, limit, years, references).where(whole).select("doc_id", F.lit(attempt).alias("attempt"))
+        hits = provider.search(asked, limit, years, references)
+        hits = hits.where(whole) if of_whole is None else hits.join(of_whole, "doc_id", "left_semi")
+        hits = hits.select("doc_id", F.lit(attempt).alias("attempt"))
         found = materialise((hits if found is None else found.unionByName(hits)).groupBy("doc_id").agg(F.min("attempt").alias("attempt")), "seeds")
         if found.count() >= enough:
             break

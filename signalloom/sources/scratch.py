@@ -43,12 +43,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: it cuts the lineage, so a lost executor
     costs a re-read, and what is read twice is the same both times. Dropped when the process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers that the local JVM starts find this package, wherever the driver's
     working folder is. On a cluster install the package or pass it by --py-files."""
