@@ -1,11 +1,12 @@
 """Where a work's vector lies among the centroids of its topic and of the others' past.
 
-Each year sees only earlier years. Vectors are summed by topic and year (one row per pair and
-dimension block), running sums give each pair's past centroid, and the works of a year are
-compared with that year's centroids in batches of one matrix product. A year's works are cut
-into parts and its centroids into blocks by hashes, in numbers that follow from their counts, so
-that whatever the year holds, a task's part and block hold a few thousand vectors at most.
-``is_history`` restricts what counts as past (a training set, say); every work gets its features.
+Each year sees only earlier years. Vectors travel as their non-zero entries. A topic's works of a
+year are dealt to tasks in bounded pieces and added in place; a topic's yearly sums then meet in
+the order of years and give each year's past centroid. The works of a year are compared with that
+year's centroids by matrix products: works are cut into parts and centroids into blocks by hashes,
+in numbers that follow from their counts, so that whatever the year holds, a task's part and block
+hold a bounded number of vectors. ``is_history`` restricts what counts as past (a training set,
+say); every work gets its features.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import as_year
 from ..sources.scratch import ship
@@ -26,15 +28,24 @@ from .labels import expanding_outliers
 
 BUCKETS = 2000
 NORM_GUARD = 1e-12
-#: Centroids in a block and works in a part, on average: each vector travels once for every block
-#: or part of the other side, so both are about equal and as large as memory allows.
-BLOCK_TOPICS, PART_WORKS = 2048, 2048
+#: Centroids in a block, works in a part and works added in one place, on average: each vector
+#: travels once for every block or part of the other side, so they are as large as memory allows.
+BLOCK_TOPICS, PART_WORKS, SUM_WORKS = 2048, 16_384, 16_384
 #: Works of one matrix product.
 BATCH = 256
 
+SPARSE = T.StructType([T.StructField("i", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.DoubleType()))])
+
+
+def sparse(vector: Column) -> Column:
+    """An array's non-zero entries: places i, ascending, and values x."""
+    kept = F.filter(F.transform(vector, lambda x, i: F.struct(i.cast("int").alias("i"), x.cast("double").alias("x"))), lambda e: e["x"] != 0)
+    return F.when(vector.isNotNull(), F.struct(F.transform(kept, lambda e: e["i"]).alias("i"), F.transform(kept, lambda e: e["x"]).alias("x")))
+
 
 def hashed_vectors(works: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """works with ``vector``: word counts hashed to buckets, without English stop words, of length 1."""
+    """works with ``vector``: word counts hashed to buckets, without English stop words, of length
+    1, as non-zero entries."""
     tokens = RegexTokenizer(inputCol="__text", outputCol="__tokens", pattern=r"(?U)\b\w\w+\b", gaps=False)
     rest = StopWordsRemover(inputCol="__tokens", outputCol="__rest")
     counts = HashingTF(inputCol="__rest", outputCol="__counts", numFeatures=buckets)
@@ -42,63 +53,147 @@ def hashed_vectors(works: DataFrame, text: str = "text", buckets: int = BUCKETS)
     found = works.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     for stage in (tokens, rest, counts, unit):
         found = stage.transform(found)
-    return found.withColumn("vector", vector_to_array("__unit")).drop("__text", "__tokens", "__rest", "__counts", "__unit")
-
-
-def _partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums by topic and year over a partition: what is exchanged is one row per pair and task."""
-    sums: dict[tuple, list] = {}
-    for frame in batches:
-        for topic, year, vector in zip(frame["topic_id"], frame["pub_year"], frame["vector"]):
-            have = sums.setdefault((topic, year), [np.zeros(len(vector)), 0])
-            have[0] += vector
-            have[1] += 1
-            if len(sums) >= 4096:
-                yield _flushed(sums)
-                sums = {}
-    if sums:
-        yield _flushed(sums)
-
-
-def _flushed(sums: dict) -> pd.DataFrame:
-    return pd.DataFrame({"topic_id": [k[0] for k in sums], "pub_year": [k[1] for k in sums], "total": [v[0].tolist() for v in sums.values()], "n": [v[1] for v in sums.values()]})
+    return found.withColumn("vector", sparse(vector_to_array("__unit"))).drop("__text", "__tokens", "__rest", "__counts", "__unit")
+
+
+def _entries(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first entry of each vector and their end, places, values) of a column of sparse vectors."""
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(array, pa.ChunkedArray):
+        array = pa.concat_arrays(array.chunks) if array.num_chunks else pa.array([], array.type)
+    i, x = array.field("i"), array.field("x")
+    starts = np.append(0, np.cumsum(np.diff(i.offsets.to_numpy()))) if len(array) else np.zeros(1, np.int64)
+    return starts, i.flatten().to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False)
+
+
+def _sparse_column(dense: list[np.ndarray]) -> pa.Array:
+    places = [np.flatnonzero(v) for v in dense]
+    lists = lambda parts, kind: pa.array([p.tolist() for p in parts], pa.list_(kind))
+    return pa.StructArray.from_arrays([lists(places, pa.int32()), lists([v[p] for v, p in zip(dense, places)], pa.float64())], ["i", "x"])
+
+
+class _Sum:
+    """A running sum of sparse vectors, as long as the farthest entry so far."""
+
+    def __init__(self) -> None:
+        self.total, self.n = np.zeros(0), 0
+
+    def add(self, places: np.ndarray, values: np.ndarray, n: int) -> None:
+        size = int(places.max(initial=-1)) + 1
+        if size > len(self.total):
+            self.total = np.append(self.total, np.zeros(size - len(self.total)))
+        self.total += np.bincount(places, values, len(self.total))
+        self.n += n
+
+
+def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by (topic, year, piece), in order: one sum of each."""
+    at, held = None, _Sum()
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], kind), pa.array([at[1]], pa.int32()), _sparse_column([held.total]), pa.array([held.n], pa.int64())], names=["topic_id", "pub_year", "vector", "n"])
+
+    for batch in batches:
+        kind = batch.schema.field("topic_id").type
+        starts, places, values = _entries(batch.column("vector"))
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("topic_id", "pub_year", "piece"))))
+        heads = [k for k, key in enumerate(keys) if not k or key != keys[k - 1]]
+        for a, b in zip(heads, [*heads[1:], len(keys)]):
+            if keys[a] != at:
+                if at is not None:
+                    yield row()
+                at, held = keys[a], _Sum()
+            held.add(places[starts[a] : starts[b]], values[starts[a] : starts[b]], b - a)
+    if at is not None:
+        yield row()
+
+
+def _past_batches(years: list[int]):
+    """Rows of one topic after another, by year: the mean of those before each of the years."""
+
+    def past(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, out = None, _Sum(), []
+
+        def upto(year: int | None) -> None:
+            """Centroids for the years after the last one given, up to this one."""
+            nonlocal done
+            while done < len(years) and (year is None or years[done] <= year):
+                if held.n:
+                    out.append((at, years[done], held.total / held.n, held.n))
+                done += 1
+
+        def flushed() -> pa.RecordBatch:
+            topic, year, mean, n = zip(*out)
+            norm = [float(np.sqrt(m @ m)) for m in mean]
+            return pa.RecordBatch.from_arrays([pa.array(topic, kind), pa.array(year, pa.int32()), _sparse_column(list(mean)), pa.array(norm), pa.array(n, pa.int64())], names=["topic_id", "pub_year", "centroid", "norm", "n"])
+
+        done = 0
+        for batch in batches:
+            kind = batch.schema.field("topic_id").type
+            starts, places, values = _entries(batch.column("vector"))
+            for k, (topic, year, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("topic_id", "pub_year", "n")))):
+                if topic != at:
+                    if at is not None:
+                        upto(None)
+                    at, held, done = topic, _Sum(), 0
+                upto(year)
+                held.add(places[starts[k] : starts[k + 1]], values[starts[k] : starts[k + 1]], n)
+                if len(out) >= 256:
+                    yield flushed()
+                    out = []
+        if at is not None:
+            upto(None)
+        if out:
+            yield flushed()
+
+    return past
 
 
 def past_centroids(works: DataFrame, is_history: Column | None = None) -> DataFrame:
     """(topic_id, pub_year, centroid, norm, n): the mean vector of a topic's works of history of
-    earlier years, for each year from the topic's second to the corpus' last."""
-    kind = dict(works.dtypes)["topic_id"]
-    ship(works.sparkSession)
-    valid = works.where(F.expr("topic_id is not null and pub_year is not null and vector is not null") & history_rows(is_history)).select("topic_id", "pub_year", "vector")
-    partial = valid.mapInPandas(_partial_sums, f"topic_id {kind}, pub_year int, total array<double>, n long")
-    each = partial.select("topic_id", "pub_year", "n", F.posexplode("total").alias("d", "x"))
-    summed = each.groupBy("topic_id", "pub_year", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    years = works.where("pub_year is not null").select(F.col("pub_year").alias("y")).distinct()
-    # a topic's row in each later year, so that years without its works see its centroid too
-    later = summed.join(F.broadcast(years), F.col("pub_year") < F.col("y")).groupBy("topic_id", "y", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    means = later.groupBy("topic_id", "y").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("d", (F.col("x") / F.col("n")).alias("x")))).alias("c"))
-    raw = F.transform("c", lambda e: e["x"])
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return means.select("topic_id", F.col("y").alias("pub_year"), raw.alias("centroid"), norm.alias("norm"), "n")
-
-
-def _nearest(works: pd.DataFrame, centroids: pd.DataFrame) -> pd.DataFrame:
+    earlier years, for each year from the topic's second to the corpus' last. vector is sparse."""
+    spark, kind, vector = works.sparkSession, works.schema["topic_id"].dataType.simpleString(), SPARSE.simpleString()
+    ship(spark)
+    valid = works.where(F.expr("topic_id is not null and pub_year is not null and vector is not null") & history_rows(is_history)).select("topic_id", "pub_year", "vector", F.xxhash64("doc_id").alias("h"))
+    # how many pieces a topic's year is cut into
+    sizes = valid.groupBy("topic_id", "pub_year").agg(_dealt(F.count("*"), SUM_WORKS).alias("pieces"))
+    cut = valid.join(sizes, ["topic_id", "pub_year"]).select("topic_id", "pub_year", F.pmod("h", F.col("pieces")).alias("piece"), "vector")
+    keys = ["topic_id", "pub_year", "piece"]
+    sums = cut.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_sum_batches, f"topic_id {kind}, pub_year int, vector {vector}, n long")
+    # years are few
+    years = sorted(r.pub_year for r in works.where("pub_year is not null").select("pub_year").distinct().collect())
+    ordered = sums.repartition("topic_id").sortWithinPartitions("topic_id", "pub_year")
+    return ordered.mapInArrow(_past_batches(years), f"topic_id {kind}, pub_year int, centroid {vector}, norm double, n long")
+
+
+def _dense(column: pa.ChunkedArray, width: int, lo: int = 0, hi: int | None = None, entries=None) -> np.ndarray:
+    """Vectors lo to hi as rows."""
+    starts, places, values = entries or _entries(column)
+    hi = len(starts) - 1 if hi is None else hi
+    out = np.zeros((hi - lo, width))
+    part = slice(starts[lo], starts[hi])
+    out[np.repeat(np.arange(hi - lo), np.diff(starts[lo : hi + 1])), places[part]] = values[part]
+    return out
+
+
+def _nearest(works: pa.Table, centroids: pa.Table) -> pa.Table:
     """For a part of a year's works and one block of its centroids: the cosine with the own one,
-    and the greatest with any other."""
-    if works.empty or centroids.empty:
-        return pd.DataFrame({"doc_id": works["doc_id"].iloc[:0], "own": [], "nearest": []})
-    unit = np.stack(centroids["centroid"].to_numpy()) / centroids["norm"].to_numpy()[:, None]
-    place = {t: i for i, t in enumerate(centroids["topic_id"])}
-    at = np.array([place.get(t, -1) for t in works["topic_id"]])
-    vectors = works["vector"].to_numpy()
-    own, nearest = np.full(len(works), np.nan), np.empty(len(works))
-    for i in range(0, len(works), BATCH):
-        sims = np.stack(vectors[i : i + BATCH]) @ unit.T
-        rows = np.flatnonzero(at[i : i + BATCH] >= 0)
-        own[i + rows] = sims[rows, at[i + rows]]
-        sims[rows, at[i + rows]] = -np.inf
-        nearest[i : i + BATCH] = sims.max(axis=1)
-    return pd.DataFrame({"doc_id": works["doc_id"].to_numpy(), "own": own, "nearest": nearest})
+    and the greatest with any other. Both are sparse until a product needs them."""
+    count = works.num_rows if centroids.num_rows else 0
+    own, nearest = np.full(count, np.nan), np.empty(count)
+    if count:
+        mine, theirs = _entries(works.column("vector")), _entries(centroids.column("centroid"))
+        width = 1 + max(int(mine[1].max(initial=0)), int(theirs[1].max(initial=0)))
+        unit = _dense(None, width, entries=theirs) / centroids.column("norm").to_numpy()[:, None]
+        place = {t: i for i, t in enumerate(centroids.column("topic_id").to_pylist())}
+        at = np.array([place.get(t, -1) for t in works.column("topic_id").to_pylist()])
+        for i in range(0, count, BATCH):
+            sims = _dense(None, width, i, min(i + BATCH, count), mine) @ unit.T
+            rows = np.flatnonzero(at[i : i + BATCH] >= 0)
+            own[i + rows] = sims[rows, at[i + rows]]
+            sims[rows, at[i + rows]] = -np.inf
+            nearest[i : i + BATCH] = sims.max(axis=1)
+    return pa.table({"doc_id": works.column("doc_id").slice(0, count), "own": own, "nearest": nearest})
 
 
 def _dealt(counted: Column, size: int) -> Column:
@@ -110,14 +205,17 @@ def text_geometry(works: DataFrame, is_history: Column | None = None) -> DataFra
     """(doc_id, pub_year, topic_id, novelty_raw, topic_centroid_similarity, cluster_density,
     topic_local_volume, nearest_topic_similarity, cross_topic_gap, is_outlier_cluster).
 
-    works has doc_id, topic_id, pub_year and ``vector`` (array of doubles, of length 1), and what
-    ``is_history`` names. Centroids, volumes and the outlier threshold come from works of history
+    works has doc_id, topic_id, pub_year and ``vector`` (of length 1: an array of numbers, or its
+    non-zero entries, see ``sparse``), and what ``is_history`` names. Centroids, volumes and the outlier threshold come from works of history
     with a topic only. Works without topic get the nearest centroid only; the first year, years in
-    which no work has a topic, and works without year keep the defaults: novelty 1, all else 0.
+    which no work has a topic, and works without year keep the defaults: novelty 1, all else 0. So
+    do works without doc_id; those that repeat one share the greatest of their similarities.
     """
+    if not isinstance(works.schema["vector"].dataType, T.StructType):
+        works = works.withColumn("vector", sparse(F.col("vector")))
     flagged = works.withColumn("__history", F.coalesce(history_rows(is_history), F.lit(False)))
     works = flagged.withColumn("pub_year", as_year(F.col("pub_year"))).select("doc_id", "topic_id", "pub_year", "vector", F.col("__history").alias("history"))
-    doc, topic = dict(works.dtypes)["doc_id"], dict(works.dtypes)["topic_id"]
+    doc = dict(works.dtypes)["doc_id"]
     centroids = past_centroids(works, F.col("history"))
     usable = centroids.where(F.col("norm") > NORM_GUARD).select("pub_year", "topic_id", "centroid", "norm")
     # years are few: how many pieces each side has is a small table
@@ -129,7 +227,7 @@ def text_geometry(works: DataFrame, is_history: Column | None = None) -> DataFra
     left = works.where("vector is not null").join(F.broadcast(pieces.where("blocks > 0")), "pub_year").select("pub_year", "doc_id", "topic_id", "vector", piece("doc_id", "parts").alias("part"), every("blocks").alias("block"))
     right = usable.join(F.broadcast(pieces), "pub_year").select("pub_year", "topic_id", "centroid", "norm", piece("topic_id", "blocks").alias("block"), every("parts").alias("part"))
     keys = ["pub_year", "block", "part"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_nearest, f"doc_id {doc}, own double, nearest double")
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_nearest, f"doc_id {doc}, own double, nearest double")
     best = near.groupBy("doc_id").agg(F.max("nearest").alias("nearest"), F.max(F.nanvl("own", F.lit(-9.0))).alias("own"))
 
     rows = works.select("doc_id", "topic_id", "pub_year", "history")

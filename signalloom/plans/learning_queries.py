@@ -102,12 +102,12 @@ def indexed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).hits(_REQUEST).select(F.col("key").alias("doc_id"), F.col("year").alias("pub_year"), "hits")
 
 
-_SEED_REQUEST = "onsen entions therings attion"
+_SEED_REQUEST = "thing thin"
 
 
 @query(f"""
 WITH w AS (SELECT doc_id, cast(2017 + doc_id % 7 AS INTEGER) AS pub_year, {_TERMS.format("coalesce(string_split(text, chr(10))[1], '') || ' ' || coalesce(text, '')", _STOP)} AS t FROM documents),
-asked AS (SELECT * FROM (VALUES (0, '{_SEED_REQUEST}'), (1, 'onsen entions therings'), (2, 'onsen entions therings'), (3, 'onsen entions'), (4, 'onsen entions'), (5, 'onsen'), (6, 'onsen')) v(attempt, q)),
+asked AS (SELECT * FROM (VALUES (0, '{_SEED_REQUEST}'), (1, 'thing'), (2, 'thing')) v(attempt, q)),
 a AS (SELECT attempt, {_TERMS.format("q", _STOP)} AS a FROM asked),
 f AS (SELECT w.doc_id, w.pub_year, attempt, row_number() OVER (PARTITION BY attempt, pub_year ORDER BY md5(concat(doc_id, ':42')), doc_id) AS k FROM w, a
   WHERE pub_year IN (2018, 2019) AND len(list_intersect(t, a.a)) >= greatest(1, ceil(len(a.a) * 6 / 10))),

@@ -196,9 +196,47 @@ def test_geometry_in_pieces(spark, monkeypatch):
     whole = key(text_geometry.text_geometry(works))
     monkeypatch.setattr(text_geometry, "BLOCK_TOPICS", 2)
     monkeypatch.setattr(text_geometry, "PART_WORKS", 7)
+    monkeypatch.setattr(text_geometry, "SUM_WORKS", 3)
     assert key(text_geometry.text_geometry(works)) == whole
 
 
+def test_hashed_texts_against_loops(spark):
+    """Sparse vectors of texts, held against dense loops over all pairs of works and centroids."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa the of".split()
+    rows = [(i, i % 4 if i % 9 else None, 2018 + i % 5 if i % 11 else None, " ".join(words[(i * j + j * j) % len(words)] for j in range(1, 2 + i % 7)) if i % 13 else None) for i in range(90)]
+    works = text_geometry.hashed_vectors(spark.createDataFrame(rows, "doc_id int, topic_id int, pub_year int, text string"))
+    assert works.schema["vector"].dataType.simpleString() == text_geometry.SPARSE.simpleString()
+    got = by_id(text_geometry.text_geometry(works))
+    dense = {}
+    for r in works.collect():
+        v = np.zeros(text_geometry.BUCKETS)
+        v[r.vector.i] = r.vector.x
+        assert abs(v @ v - bool(r.vector.i)) < 1e-9 and len(r.vector.i) <= 7
+        dense[r.doc_id] = (r.topic_id, r.pub_year, v)
+    placed = {y for t, y, _ in dense.values() if t is not None and y is not None}
+    for i, (topic, year, v) in dense.items():
+        past = {}
+        for t, y, w in dense.values():
+            if t is not None and y is not None and year is not None and y < year:
+                past.setdefault(t, []).append(w)
+        mean = {t: np.mean(ws, axis=0) for t, ws in past.items()}
+        norm = {t: np.linalg.norm(m) for t, m in mean.items() if np.linalg.norm(m) > 1e-12} if year in placed else {}
+        sims = {t: float(v @ mean[t]) / norm[t] for t in norm}
+        own = sims.get(topic, 0.0)
+        others = [s for t, s in sims.items() if t != topic]
+        nearest = max(others) if others and len(norm) >= 2 else 0.0
+        assert abs(got[i].novelty_raw - (1 - own if topic in sims else 1)) < 1e-9 and abs(got[i].nearest_topic_similarity - nearest) < 1e-9
+        assert abs(got[i].topic_centroid_similarity - own) < 1e-9 and got[i].topic_local_volume == (len(past.get(topic, [])) if topic is not None else 0)
+
+
+def test_sums_follow_the_entries(spark):
+    """What leaves a centroid's exchange are entries, not dimensions."""
+    rows = [(i, i % 3, 2018 + i % 2, [0.0] * 500 + [1.0]) for i in range(40)]
+    works = spark.createDataFrame(rows, "doc_id int, topic_id int, pub_year int, v array<double>").select("doc_id", "topic_id", "pub_year", text_geometry.sparse(F.col("v")).alias("vector"))
+    found = text_geometry.past_centroids(works).collect()
+    assert len(found) == 3 and all(r.centroid.i == [500] and r.norm == 1.0 for r in found)
+
+
 def test_quota_sample_is_exact(spark):
     rows = spark.range(20000).select(F.col("id"), (F.col("id") % 3).alias("s"))
     quotas = spark.createDataFrame([(0, 150), (1, 7000), (2, 1)], "s long, quota long")
