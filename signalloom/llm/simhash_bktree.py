@@ -36,33 +36,47 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
+def fingerprint(text: bytes, words: int = WORDS, distinct: bool = False) -> int:
     """SimHash of UTF-8 text: lower-cased A-Z, words between ASCII white space, shingles with
-    repeats, XXH64 with seed 42. A text of fewer words is one shingle; one of none is zero."""
+    repeats (or each once), XXH64 with seed 42. A text of fewer words is one shingle; one of none is zero."""
     seq = text.translate(_LOWER).split()
     if not seq:
         return 0
-    shingles = [b" ".join(seq)] if len(seq) < words else list(map(b" ".join, zip(*(seq[i:] for i in range(words)))))
-    ones = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for i in range(0, len(shingles), _CHUNK):
-        part = shingles[i : i + _CHUNK]
-        h = np.fromiter((digest(s, SEED) for s in part), np.uint64, len(part))
+    count, ones, seen = 0, np.zeros(64, np.int64), set()
+    for part in _shingles(seq, words):
+        if distinct:
+            part = set(part) - seen
+            seen |= part
+        h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part))
         ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(shingles), bitorder="little")
+        count += len(part)
+    bits = np.packbits(2 * ones > count, bitorder="little")
     return int.from_bytes(bits.tobytes(), "little")
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fp = np.fromiter((fingerprint(t) for t in utf8(batch.column("text"))), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+def _shingles(seq: list[bytes], words: int) -> Iterator[list[bytes]]:
+    """The shingles of a sequence, or the whole of a shorter one, some at a time."""
+    if len(seq) < words:
+        yield [b" ".join(seq)]
+        return
+    for i in range(0, len(seq) - words + 1, _CHUNK):
+        part = seq[i : i + _CHUNK + words - 1]
+        yield list(map(b" ".join, zip(*(part[j:] for j in range(words))))) if words > 1 else part
+
+
+def _fingerprint_batches(words: int, distinct: bool):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.fromiter((fingerprint(t, words, distinct) for t in utf8(batch.column("text"))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
+    return made
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distinct: bool = False) -> DataFrame:
     """(doc_id, text_hash, fp) for each row; fp is the fingerprint as a signed long."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return arrow_map(rows, _fingerprint_batches, "doc_id long, text_hash long, fp long")
+    return arrow_map(rows, _fingerprint_batches(words, distinct), "doc_id long, text_hash long, fp long")
 
 
 class BKTree:
@@ -221,25 +235,124 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each group the row with the least doc_id stays.
+#: Likeness of near copies: their distinct five-word shingles have at least 4/5 in common.
+LIKE_WORDS, LIKE = 5, (4, 5)
+#: Candidates for that: fingerprints of distinct words, which an edit changes less than shingles.
+CANDIDATE_WORDS, CANDIDATE_RADIUS = 1, 7
+
+
+def shingle_set(text: bytes, words: int = LIKE_WORDS) -> np.ndarray:
+    """The hashes of a text's distinct shingles, ascending."""
+    seq = text.translate(_LOWER).split()
+    parts = [np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part)) for part in _shingles(seq, words)] if seq else []
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two ascending sets have ``LIKE`` of their union in common; empty ones have."""
+    small, large = sorted((len(a), len(b)))
+    if small * LIKE[1] < large * LIKE[0]:
+        return False
+    if not small:
+        return True
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    common = int((a[at] == b).sum())
+    return common * LIKE[1] >= (len(a) + len(b) - common) * LIKE[0]
+
+
+def _first_hashes(x: np.ndarray) -> list[int]:
+    """So many of the least hashes that two sets alike share one at least."""
+    return x[: len(x) - -(-len(x) * LIKE[0] // LIKE[1]) + 1].tolist()
+
+
+def _alike_stars(members: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """A spanning star of each group of alike sets in one block: members among themselves if there
+    are no others, else the others against the members. Sets meet by the least of their hashes."""
+    groups, index, empty = _Groups(), {}, None
+    for k, (node, x) in enumerate(members):
+        if not others:
+            _meet(groups, index, members, node, x)
+        if not len(x):
+            if empty is not None:
+                groups.join(node, empty)
+            empty = node
+        for h in _first_hashes(x) if len(x) else ():
+            index.setdefault(h, []).append(k)
+    for node, x in others:
+        _meet(groups, index, members, node, x)
+        if not len(x) and empty is not None:
+            groups.join(node, empty)
+    return [(x, groups.find(x)) for x in list(groups.up) if groups.find(x) != x]
+
+
+def _meet(groups: _Groups, index: dict[int, list[int]], members: list[tuple[int, np.ndarray]], node: int, x: np.ndarray) -> None:
+    for k in {k for h in _first_hashes(x) for k in index.get(h, ())} if len(x) else ():
+        if groups.find(node) != groups.find(members[k][0]) and alike(members[k][1], x):
+            groups.join(node, members[k][0])
+
+
+def _verified_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts by (root, low, high): links between the alike ones of each block."""
+    at, members, others, last = None, [], [], None
+    out: list[tuple[int, int]] = []
+    for batch in batches:
+        for root, low, high, part, node, text in zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "part", "node")), utf8(batch.column("text"))):
+            if at != (root, low, high):
+                if at and (at[1] == at[2] or others):
+                    out += _alike_stars(members, others)
+                at, members, others, last = (root, low, high), [], [], None
+            if node != last:  # a row that is there twice
+                (members if part == low else others).append((node, shingle_set(text)))
+            last = node
+        if len(out) >= 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+            out = []
+    if at and (at[1] == at[2] or others):
+        out += _alike_stars(members, others)
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
+#: Texts of one block of a candidate group, on average.
+BLOCK_TEXTS = 1024
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies: of each group of alike texts the row with the least doc_id stays.
+
+    Two texts are alike if their distinct five-word shingles have at least 0.8 of their union in
+    common (a text of fewer words is one shingle); groups are what such links reach. BK-trees over
+    SimHashes of distinct words find candidates within seven bits; every candidate group's texts
+    are then compared by their shingles, in blocks of bounded size where it has many.
 
     A row is known by doc_id and text, so one without doc_id loses to one with it, and different
-    rows that repeat a doc_id are told apart. Of rows that are equal in both, one stays.
+    rows that repeat a doc_id are told apart. Of rows that are equal in both, one stays. Null,
+    empty and word-less texts are one group. An empty table gives an empty one.
     """
-    fps = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    roots = linked_fingerprints(fps, radius)
-    firsts = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
-    kept = (
-        firsts.join(roots, "fp", "left")
-        .groupBy(F.coalesce("root", "fp").alias("root"))
-        .agg(F.min("first").alias("first"))
-        .select(*_key(F.col("first.doc_id"), F.col("first.text_hash")))
-    )
-    # the join and the removal of equal rows share their keys, so the texts are exchanged once; rows
-    # travel as one struct, so their columns may have any name
+    fps = materialise(fingerprints(docs, id_col, text_col, CANDIDATE_WORDS, True), "fingerprints")
+    roots = linked_fingerprints(fps, CANDIDATE_RADIUS)
+    # one row for each text: its least document
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    texts = fps.groupBy("fp", "text_hash").agg(least).join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "text_hash", "first")
+    texts = materialise(texts.withColumn("node", F.xxhash64("text_hash", "first")), "texts")
+    several = texts.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("parts"))
+    candidates = texts.join(several, "root").select("root", "node", "parts", *_key(F.col("first.doc_id"), F.col("text_hash")))
+
     key = ["id", "none", "hash"]
-    left = packed(docs, x=F.struct(*_key(quoted(id_col).cast("long"), F.xxhash64(quoted(text_col))))).select("row", "x.*").join(kept, key, "left_semi")
+    keyed = packed(docs, x=F.struct(*_key(quoted(id_col).cast("long"), F.xxhash64(quoted(text_col)))), text=quoted(text_col)).select("row", "text", "x.*")
+    found = keyed.select("text", *key).join(candidates, key)
+    blocks = (
+        found.withColumn("part", F.expr("cast(pmod(xxhash64(node, 11), parts) as int)"))
+        .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+        .select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "text")
+    )
+    dealt = blocks.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "node")
+    groups = components(arrow_map(dealt, _verified_batches, "a long, b long").distinct())
+
+    named = texts.join(groups.withColumnRenamed("root", "of"), "node", "left").select(F.coalesce("of", "node").alias("of"), F.struct("first.none", "first.doc_id", "text_hash").alias("first"))
+    kept = named.groupBy("of").agg(F.min("first").alias("first")).select(*_key(F.col("first.doc_id"), F.col("first.text_hash")))
+    # the join and the removal of equal rows share their keys, so the texts are exchanged once for both;
+    # rows travel as one struct, so their columns may have any name
+    left = keyed.select("row", *key).join(kept, key, "left_semi")
     return left.groupBy(*key).agg(F.first("row").alias("row")).select("row.*")
 
 

@@ -30,6 +30,37 @@ def groups(fps, radius=3):
     return [find(i) for i in range(len(fps))]
 
 
+def plain_words(text):
+    return [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+
+
+def plain_set(text):
+    words = plain_words(text)
+    return {" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def plain_word_fingerprint(text):
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(plain_words(text))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_near_copies(texts):
+    """The group of each text: alike by shingles within what word fingerprints link."""
+    candidates, sets = groups([plain_word_fingerprint(t) for t in texts], 7), [plain_set(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if candidates[i] == candidates[j] and len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+                up[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
 def test_fingerprint():
     rng = random.Random(1)
     for _ in range(200):
@@ -133,5 +164,70 @@ def test_one_of_each(spark, odd_docs, no_docs):
     assert s.one_of_each(no_docs).count() == 0
 
 
+def near_copies(rng, bases=12, each=6, words=60):
+    """Texts with a few words changed, inserted or dropped; most stay alike."""
+    vocabulary, out = [f"w{i}" for i in range(400)], []
+    for _ in range(bases):
+        base = rng.choices(vocabulary, k=words)
+        for _ in range(each):
+            seq = list(base)
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(seq))
+                seq[at : at + 1] = rng.choice([[], [rng.choice(vocabulary)], [seq[at], rng.choice(vocabulary)]])
+            out.append(rng.choice([" ", "\n"]).join(seq))
+    return out
+
+
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = near_copies(rng) + ["", " ", "short text", "Short TEXT", "short text here", "a b c d e", "a b c d f"]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").repartition(5)
+    root, least = plain_near_copies([t for _, t in rows]), {}
+    for g, (d, _) in zip(root, rows):
+        least[g] = min(least.get(g, d), d)
+    whole = sorted(r.doc_id for r in s.one_of_each(df).collect())
+    assert whole == sorted(least.values()) and 12 <= len(whole) < 40
+    monkeypatch.setattr(s, "BLOCK_TEXTS", 3)  # groups in many blocks
+    assert sorted(r.doc_id for r in s.one_of_each(df).collect()) == whole
+
+
+def test_alike_is_exact():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ({rng.randrange(40) for _ in range(rng.randrange(30))} for _ in range(2))
+        x, y = (s.np.array(sorted(v), s.np.uint64) for v in (a, b))
+        want = len(a & b) * 5 >= len(a | b) * 4
+        assert s.alike(x, y) == want and s.alike(y, x) == want
+        if want and a:
+            assert set(s._first_hashes(x)) & set(s._first_hashes(y))
+
+
+def test_recall_of_near_copies(spark):
+    """Of the pairs that are alike by all their shingles, how many end in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 100").select("doc_id", "text")
+    rng = random.Random(6)
+    edited = []
+    for r in docs.limit(150).collect():
+        words = r.text.split(" ")
+        for _ in range(max(1, len(words) // 70)):
+            words[rng.randrange(len(words))] = "changed"
+        if len(plain_set(r.text) & plain_set(" ".join(words))) * 5 >= len(plain_set(r.text) | plain_set(" ".join(words))) * 4:
+            edited.append((r.doc_id + 1_000_000, " ".join(words)))
+    kept = {r.doc_id for r in s.one_of_each(docs.unionByName(spark.createDataFrame(edited, docs.schema))).collect()}
+    assert len(edited) > 100 and sum(d not in kept for d, _ in edited) >= 0.9 * len(edited)
+
+
 def test_short_texts():
     assert s.fingerprint(b"") == 0 and s.fingerprint(b"a") == plain_fingerprint("a")
+
+
+def test_chunks_of_shingles(monkeypatch):
+    """A long text's shingles are hashed some at a time."""
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["aa", "b", "Cc", "d"]) + str(rng.randrange(30)) for _ in range(300))
+    want = s.fingerprint(text.encode()), s.fingerprint(text.encode(), 1, True), s.shingle_set(text.encode()).tolist()
+    assert want[:2] == (plain_fingerprint(text), plain_word_fingerprint(text)) and len(want[2]) == len(plain_set(text))
+    monkeypatch.setattr(s, "_CHUNK", 7)
+    assert (s.fingerprint(text.encode()), s.fingerprint(text.encode(), 1, True), s.shingle_set(text.encode()).tolist()) == want

@@ -6,7 +6,7 @@ import corpus_pipeline
 from signalloom.llm import common, language_viterbi, packing_dp, registry, secret_tokens, simhash_bktree, toxicity_ordinal
 
 from .test_index import plain as plain_contamination
-from .test_near_duplicates import groups, plain_fingerprint
+from .test_near_duplicates import plain_near_copies
 
 
 def test_stages(spark, sf_dir):
@@ -21,7 +21,7 @@ def test_stages(spark, sf_dir):
         if name == "toxicity":
             kept = [(d, t) for d, t in kept if model.above(model.row(t.encode()))[0] < toxicity_ordinal.REJECT]
         elif name == "simhash_near_dedup":
-            root, least = groups([plain_fingerprint(t) for _, t in kept]), {}
+            root, least = plain_near_copies([t for _, t in kept]), {}
             for g, (d, _) in zip(root, kept):
                 least[g] = min(least.get(g, d), d)
             kept = [(d, t) for g, (d, t) in zip(root, kept) if least[g] == d]
@@ -60,7 +60,7 @@ def test_stages_on_odd_tables(spark, sf_dir, odd_docs, no_docs):
 
 def test_registry(spark, sf_dir):
     names = list(registry.queries())
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and set(registry.oracle_sql()) <= set(names)
     assert simhash_bktree.RADIUS == 3 and language_viterbi.FOLDS == 5 and corpus_pipeline.ORACLE_SQL is None
 
 
