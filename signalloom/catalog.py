@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import learning_queries, record_queries, table_queries, works_queries
+from .plans import coverage_queries, learning_queries, record_queries, table_queries, works_queries
 
-_PARTS = (works_queries, table_queries, record_queries, learning_queries)
+_PARTS = (works_queries, table_queries, record_queries, learning_queries, coverage_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import quoted
+from ..sources.scratch import materialise, quoted
 from .ranks import cumulative, quantiles
 
 
@@ -35,13 +33,11 @@ def corpus_counters(works: DataFrame) -> DataFrame:
 
 
 def value_counts(rows: DataFrame, *columns: str) -> DataFrame:
-    """(name, value, n, share) for each column's values."""
-    out = None
-    for c in columns:
-        part = rows.groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("name"), "value", "n")
-        out = part if out is None else out.union(part)
-    totals = rows.agg(F.count("*").alias("total"))
-    return out.crossJoin(F.broadcast(totals)).select("name", "value", "n", (F.col("n") / F.col("total")).alias("share"))
+    """(name, value, n, share) for each column's values, in one pass."""
+    entries = F.array(*(F.struct(F.lit(c).alias("name"), quoted(c).cast("string").alias("value")) for c in columns))
+    counts = rows.select(F.explode(entries).alias("e")).select("e.*").groupBy("name", "value").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("name").agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(totals), "name").select("name", "value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def null_profile(rows: DataFrame) -> DataFrame:
@@ -53,23 +49,29 @@ def null_profile(rows: DataFrame) -> DataFrame:
 def describe(rows: DataFrame, *columns: str) -> DataFrame:
     """(name, n, mean, std, min, median, max, skew, outliers): sample deviation and skewness, and
     values beyond one and a half quartile ranges; null and NaN don't count. A column without values
-    has n 0. Moments are one pass without an exchange; quartiles come from counts by value."""
-    values = [(c, F.when(~F.isnan(quoted(c).cast("double")), quoted(c).cast("double"))) for c in columns]
-    moments = [F.struct(F.lit(c).alias("name"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("g")) for c, x in values]
-    stats = rows.agg(*(m.alias(f"m{i}") for i, m in enumerate(moments))).select(F.explode(F.array(*(F.col(f"m{i}") for i in range(len(moments))))).alias("m")).select("m.*")
-    # each column is counted by itself, before it meets the others
-    parts = [rows.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count("*").alias("n")).select(F.lit(c).alias("g"), "v", "n") for c, x in values]
-    counts = reduce(DataFrame.unionByName, parts)
-    members = rows.sparkSession.createDataFrame([(c, c) for c in columns], "w string, g string")
-    cut = quantiles(counts, members, [0.25, 0.5, 0.75])
-    edges = cut.groupBy("w").agg(*(F.max(F.when(F.col("share") == q, F.col("value"))).alias(k) for k, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))).collect()
-    found = {e.w: (e.median, e.q1 - 1.5 * (e.q3 - e.q1), e.q3 + 1.5 * (e.q3 - e.q1)) for e in edges}  # one row a column
-    far = [(F.count_if((x < found[c][1]) | (x > found[c][2])) if c in found else F.lit(0)).alias(f"o{i}") for i, (c, x) in enumerate(values)]
-    outside = rows.agg(*far)
-    skew = F.when(F.col("n") > 2, F.col("g") * F.sqrt(F.col("n") * (F.col("n") - 1)) / (F.col("n") - 2))
-    each = [F.struct(F.lit(c).alias("w"), F.lit(found[c][0] if c in found else None).cast("double").alias("median"), F.col(f"o{i}").cast("long").alias("outliers")) for i, c in enumerate(columns)]
-    placed = outside.select(F.explode(F.array(*each)).alias("e")).select("e.*")
-    return stats.join(F.broadcast(placed), F.col("name") == F.col("w")).select("name", "n", "mean", "std", "min", "median", "max", skew.alias("skew"), "outliers")
+    has n 0. One pass counts each column's values, reduced in the tasks first; all else comes from
+    the counts."""
+    value = lambda c: F.when(~F.isnan(quoted(c).cast("double")), quoted(c).cast("double"))
+    entries = F.array(*(F.struct(F.lit(i).alias("g"), value(c).alias("v")) for i, c in enumerate(columns)))
+    each = rows.select(F.explode(entries).alias("e")).select("e.*").where(F.col("v").isNotNull())
+    counts = materialise(each.groupBy("g", "v").agg(F.count("*").alias("n")), "value-counts")
+    spark = rows.sparkSession
+    members = spark.range(len(columns)).select(F.col("id").cast("int").alias("w"), F.col("id").cast("int").alias("g"))
+    cut = quantiles(counts, members, [0.25, 0.5, 0.75], True)
+    edges = cut.groupBy("w").agg(*(F.max(F.when(F.col("share") == q, F.col("value"))).alias(k) for k, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    means = counts.groupBy("g").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    # one row a column: centres and fences meet the counts
+    known = F.broadcast(means.join(edges, F.col("g") == F.col("w")).drop("w"))
+    off, reach = F.col("v") - F.col("mean"), 1.5 * (F.col("q3") - F.col("q1"))
+    beyond = (F.col("v") < F.col("q1") - reach) | (F.col("v") > F.col("q3") + reach)
+    central = [F.sum(F.col("n") * off**k).alias(f"m{k}") for k in (2, 3)]
+    found = counts.join(known, "g").groupBy("g").agg(F.sum("n").alias("n"), F.first("mean").alias("mean"), F.min("v").alias("min"), F.first("median").alias("median"), F.max("v").alias("max"), F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outliers"), *central)
+    n, spread = F.col("n"), F.try_divide(F.col("m3") / F.col("n"), (F.col("m2") / F.col("n")) ** 1.5)
+    skew = F.when(n > 2, spread * F.sqrt(n * (n - 1)) / (n - 2))
+    shown = found.select("g", "n", "mean", F.when(n > 1, F.sqrt(F.col("m2") / (n - 1))).alias("std"), "min", "median", "max", skew.alias("skew"), "outliers")
+    names = spark.range(1).select(F.posexplode(F.array(*map(F.lit, columns))).alias("at", "name"))
+    whole = names.join(F.broadcast(shown), F.col("at") == F.col("g"), "left")
+    return whole.select("name", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "min", "median", "max", "skew", F.coalesce("outliers", F.lit(0)).alias("outliers"))
 
 
 def tier_breakdown(rows: DataFrame, group: str, flag: str) -> DataFrame:
@@ -127,8 +129,12 @@ def binned_information(rows: DataFrame, column: str, y: str, bins: int = 20) ->
 
 
 def feature_check(rows: DataFrame, *columns: str) -> DataFrame:
-    """(name, finite, distinct, mean, std, constant)."""
+    """(name, finite, distinct, mean, std, constant); std is the sample's."""
     long = rows.select(F.lit(0).alias("__"), *(F.col(c).cast("double") for c in columns)).unpivot(["__"], list(columns), "name", "x").drop("__")
     finite = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))
     by = long.groupBy("name", "x").agg(F.count("*").alias("c"))
-    return by.groupBy("name").agg(F.bool_and(finite).alias("finite"), F.count("x").alias("distinct"), F.try_divide(F.sum(F.col("x") * F.col("c")), F.sum(F.when(F.col("x").isNotNull(), F.col("c")))).alias("mean"), (F.count("x") <= 1).alias("constant"))
+    valued = F.when(F.col("x").isNotNull(), F.col("c"))
+    means = by.groupBy("name").agg(F.try_divide(F.sum(F.col("x") * F.col("c")), F.sum(valued)).alias("mean"))
+    spread = F.sqrt(F.try_divide(F.sum(F.col("c") * (F.col("x") - F.col("mean")) ** 2), F.sum(valued) - 1))
+    # one row a column
+    return by.join(F.broadcast(means), "name").groupBy("name").agg(F.bool_and(finite).alias("finite"), F.count("x").alias("distinct"), F.first("mean").alias("mean"), spread.alias("std"), (F.count("x") <= 1).alias("constant"))

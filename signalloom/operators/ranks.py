@@ -1,8 +1,9 @@
 """Running sums, quantiles and ranks over orders that no single task can hold.
 
-Rows are dealt to range partitions and written with their partition's number, so that a row's
-partition is the same each time it is read. Totals by partition are a small table; what runs
-within a partition starts from the total of those before it.
+Rows are written first, so nothing above them runs twice. A table of a hundred thousand rows is
+ordered by one task; a larger one is dealt to range partitions and written with their partition's
+number, so that a row's partition is the same each time it is read. Totals by partition are a
+small table; what runs within a partition starts from the total of those before it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from ..sources.scratch import holds_map, materialise, packed, quoted
 
 #: Range partitions that values are dealt to at least.
 PIECES = 16
+#: Rows that one task may order.
+FEW_ROWS = 1 << 17
 _EARLIER = (Window.unboundedPreceding, -1)
 
 
@@ -21,7 +24,11 @@ def cumulative(rows: DataFrame, order: str, sums: list[str]) -> DataFrame:
     """rows with ``cum_<x>``, the running sum in ascending order, rows of equal order being one."""
     names = {f"s{i}": x for i, x in enumerate(sums)}
     each = packed(rows, at=quoted(order), **{k: quoted(x) for k, x in names.items()})
-    placed = materialise(each.repartitionByRange("at").withColumn("part", F.spark_partition_id()), "ranges")
+    held = materialise(each, "rows")
+    if held.count() <= FEW_ROWS:
+        upto = Window.orderBy("at")
+        return held.coalesce(1).select("row.*", *(F.sum(k).over(upto).alias(f"cum_{x}") for k, x in names.items()))
+    placed = materialise(held.repartitionByRange("at").withColumn("part", F.spark_partition_id()), "ranges")
     totals = placed.groupBy("part").agg(*(F.sum(k).alias(k) for k in names))
     before = Window.orderBy("part").rowsBetween(*_EARLIER)
     starts = totals.select("part", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"start_{k}") for k in names))
@@ -30,16 +37,19 @@ def cumulative(rows: DataFrame, order: str, sums: list[str]) -> DataFrame:
     return joined.select("row.*", *((F.sum(k).over(within) + F.col(f"start_{k}")).alias(f"cum_{x}") for k, x in names.items()))
 
 
-def quantiles(counts: DataFrame, members: DataFrame, shares: list[float]) -> DataFrame:
+def quantiles(counts: DataFrame, members: DataFrame, shares: list[float], written: bool = False) -> DataFrame:
     """(w, share, value): exact interpolated quantiles of the values of each w, which draws from
-    the groups g that members (w, g) lists for it. counts has g, v (not null) and n.
+    the groups g that members (w, g) lists for it. counts has g, v (not null) and n; ``written``
+    says that it is a written table already.
 
     Only the partitions in which a quantile lies are looked into. members is a small table (years
     by earlier years, names); both it and the totals are broadcast.
     """
     # small partitions: one of them is ordered for each quantile
     pieces = max(PIECES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = materialise(counts.select("g", "v", "n").repartitionByRange(pieces, "v").withColumn("part", F.spark_partition_id()), "values")
+    held = counts.select("g", "v", "n") if written else materialise(counts.select("g", "v", "n"), "values")
+    few = held.count() <= FEW_ROWS
+    placed = held.withColumn("part", F.lit(0)) if few else materialise(held.repartitionByRange(pieces, "v").withColumn("part", F.spark_partition_id()), "value-ranges")
     members = F.broadcast(members.select("w", "g"))
     totals = placed.groupBy("g", "part").agg(F.sum("n").alias("n")).join(members, "g").groupBy("w", "part").agg(F.sum("n").alias("n"))
     ordered = Window.partitionBy("w").orderBy("part").rowsBetween(*_EARLIER)

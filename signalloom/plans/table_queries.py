@@ -104,9 +104,9 @@ def corpus_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.corpus_metrics(tables.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("pub_year")))
 
 
-@query(f"SELECT name, true AS finite, count(DISTINCT x) AS distinct, round(avg(x), 4) AS mean, count(DISTINCT x) <= 1 AS constant FROM ({_LONG}) GROUP BY name")
+@query(f"SELECT name, true AS finite, count(DISTINCT x) AS distinct, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, count(DISTINCT x) <= 1 AS constant FROM ({_LONG}) GROUP BY name")
 def feature_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(quality.feature_check(tables.table(spark, sf_dir, "lineitem"), *_NUMBERS), "mean", digits=4)
+    return rounded(quality.feature_check(tables.table(spark, sf_dir, "lineitem"), *_NUMBERS), "mean", "std", digits=4)
 
 
 @query("""
