@@ -1,5 +1,6 @@
 """Languages of texts, and the spans of mixed-language texts.
 
+Words lie between white space and between scripts; in scripts without spaces each letter is one.
 A word's script, from ranges of code points, narrows the languages to those that write in it;
 among them the word is scored by its character trigrams. Viterbi over the words, with a penalty
 for switching, gives each word a language. Running sums show most texts' path without the
@@ -16,6 +17,7 @@ import math
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,14 @@ FOLDS = 5
 SAMPLE = 6000
 #: Trigrams kept, by count.
 TRIGRAMS = 60_000
-#: Nats by which one word can speak against a language, and that a switch costs.
-WORD_LIMIT, SWITCH = 6.0, 10.0
+#: Nats by which one word can speak against a language, that a switch costs, and by which a word
+#: speaks against a language that is not written in its script.
+WORD_LIMIT, SWITCH, SCRIPT_LIMIT = 6.0, 10.0, 15.0
 #: Share of a language's letters from which a script counts as its own.
 SCRIPT_SHARE = 0.01
 _CACHE_WORDS = 400_000
+#: Characters of texts whose words are held at once, or one text.
+_TOGETHER = 1 << 20
 
 #: First code points of script ranges (Unicode blocks), to the next one.
 _RANGES = (
@@ -48,6 +53,37 @@ def script(char: str) -> str:
     return _RANGES[bisect_right(_STARTS, ord(char)) - 1][1]
 
 
+#: Scripts that are written without spaces: each letter is a word.
+UNSPACED = frozenset(("han", "kana", "thai"))
+
+
+@lru_cache(maxsize=200_000)
+def cuts(token: str) -> tuple[int, ...]:
+    """Where a token without white space is cut into words: before a letter of another script than
+    the one before it, and before each letter of an unspaced script but a word's first."""
+    out, last = [], None
+    for i, c in enumerate(token):
+        if c.isalpha():
+            kind = script(c)
+            if last is not None and (kind != last or kind in UNSPACED):
+                out.append(i)
+            last = kind
+    return tuple(out)
+
+
+def pieces(token: str) -> list[str]:
+    at = cuts(token)
+    return [token[a:b] for a, b in zip((0, *at), (*at, len(token)))] if at else [token]
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-cased words of a text: between white space, of one script each."""
+    tokens = text.lower().split()
+    if text.isascii():
+        return tokens
+    return [w for t in tokens for w in ((t,) if t.isascii() else pieces(t))]
+
+
 def letters(token: str) -> str:
     return token if token.isalpha() else "".join(c for c in token if c.isalpha())
 
@@ -72,7 +108,7 @@ class Model:
 
     def learn(self, tokens: set[str]) -> None:
         """Score new tokens, all at once: log likelihoods by language, 0 for the best and bounded
-        below; all 0 for a token without letters or in a script that no language is known to use."""
+        below, lower where a language has not their script; all 0 for a token without letters or in a script that no language is known to use."""
         if len(self.known) > _CACHE_WORDS:
             self._forget()
         fresh = [(t, letters(t)) for t in sorted(tokens.difference(self.known))]
@@ -95,7 +131,8 @@ class Model:
         s = np.add.reduceat(self.logs[flat], starts, axis=0)
         s = np.where([own for _, _, own in scored], s, -np.inf)
         self.judged[[k for k, _, _ in scored]] = [len(w) for _, w, _ in scored]
-        self.scores[[k for k, _, _ in scored]] = np.maximum(s - s.max(axis=1, keepdims=True), -WORD_LIMIT)
+        bounded = np.maximum(s - s.max(axis=1, keepdims=True), -WORD_LIMIT)
+        self.scores[[k for k, _, _ in scored]] = np.where(np.isneginf(s), -SCRIPT_LIMIT, bounded)
 
     def letters_of(self, tokens: list[str]) -> tuple[int, np.ndarray]:
         """The letters of all tokens, and of each those that speak for some language."""
@@ -163,7 +200,7 @@ def learn(pairs: Iterator[tuple[str, str]]) -> Model:
     """A model from (text, language) pairs: what ``train`` does in the tasks, for a few texts."""
     words: dict[str, Counter] = defaultdict(Counter)
     for text, lang in pairs:
-        words[lang].update(text.lower().split())
+        words[lang].update(words_of(text))
     languages = sorted(words)
     if not languages:
         return Model([], {}, {}, np.zeros((1, 0)))
@@ -184,7 +221,7 @@ def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         counts: Counter = Counter()
         for text, lang in zip(values(batch.column("text")), batch.column("lang").to_pylist()):
-            counts.update((lang, t) for t in text.lower().split())
+            counts.update((lang, t) for t in words_of(text))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "token", "n"])
 
 
@@ -246,7 +283,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def summaries(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     """(language of most letters that speak for some language, their share of all letters) of each text."""
-    lists = [(t or "").lower().split() for t in texts]
+    lists = [words_of(t or "") for t in texts]
     if model.languages:
         model.learn(set().union(*lists))
     out = []
@@ -267,9 +304,15 @@ def summaries(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
 def _predict_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for i in range(0, batch.num_rows, 256):
-                found += summaries(model, batch.column("text").slice(i, 256).to_pylist())
+            found, held, size = [], [], 0
+            for text in values(batch.column("text")):
+                if held and (len(held) == 256 or size + len(text or "") > _TOGETHER):
+                    found += summaries(model, held)
+                    held, size = [], 0
+                held.append(text)
+                size += len(text or "")
+            if held:
+                found += summaries(model, held)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -293,8 +336,10 @@ def text_spans(model: Model, text: str | None) -> list[tuple[int, int, str]]:
     places, tokens, at = [], [], 0
     for token in (text or "").split():
         at = text.index(token, at)
-        places.append((at, at + len(token)))
-        tokens.append(token.lower())
+        edges = (0, *cuts(token), len(token))
+        for a, b in zip(edges, edges[1:]):
+            places.append((at + a, at + b))
+            tokens.append(token[a:b].lower())
         at += len(token)
     if not tokens or not model.languages:
         return []

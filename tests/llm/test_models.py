@@ -130,6 +130,59 @@ def test_scripts_and_spans():
     assert lang.text_spans(model, None) == [] and lang.summaries(lang.learn([]), ["word"]) == [("und", 0.0)]
 
 
+def test_words_of_several_scripts():
+    assert lang.words_of("The-кот hello我们今天 ça va ภาษา 12-x")[:9] == ["the-", "кот", "hello", "我", "们", "今", "天", "ça", "va"]
+    assert lang.pieces("the") == ["the"] and lang.cuts("a1b") == () and lang.cuts("-кот-the") == (5,)
+    model = lang.learn([("the cat sat on the mat and the hat hello there", "en"), ("кот сидел на ковре и смотрел", "ru"), ("我们今天去公园散步天气很好", "zh")])
+    text = "hello我们今天去公园散步天气很好"
+    assert [(text[a:b], k) for a, b, k in lang.text_spans(model, text)] == [("hello", "en"), ("我们今天去公园散步天气很好", "zh")]
+    assert lang.summaries(model, [text, "the-кот сидел на ковре"])[0][0] == "zh" and lang.summaries(model, ["the-кот сидел на ковре"])[0][0] == "ru"
+
+
+def plain_language(model, text):
+    """The language of most letters on the best path through a text's words, without any cache."""
+    words = []
+    for token in (text or "").lower().split():
+        word, last = "", None
+        for c in token:
+            kind = lang.script(c) if c.isalpha() else None
+            if kind and last and (kind != last or kind in lang.UNSPACED):
+                words.append(word)
+                word = ""
+            word, last = word + c, kind or last
+        words.append(word)
+    scores, counts, total = [], [], 0
+    for w in words:
+        w = "".join(c for c in w if c.isalpha())
+        total += len(w)
+        own = model.scripts.get(lang.script(w[0])) if w else None
+        if not own or not any(own):
+            scores.append([0.0] * len(model.languages))
+            counts.append(0)
+            continue
+        padded = f"^{w}$"
+        row = [sum(model.logs[model.rows.get(padded[i : i + 3], len(model.logs) - 1)][j] for i in range(len(w))) if own[j] else -np.inf for j in range(len(own))]
+        scores.append([max(x - max(row), -lang.WORD_LIMIT) if ok else -lang.SCRIPT_LIMIT for x, ok in zip(row, own)])
+        counts.append(len(w))
+    if not total:
+        return "und", 0.0
+    path = lang.viterbi(np.array(scores), lang.SWITCH)
+    by = [sum(n for k, n in zip(path, counts) if k == j) for j in range(len(model.languages))]
+    k = max(range(len(by)), key=by.__getitem__)
+    return model.languages[k], round(by[k] / total, 6)
+
+
+def test_whole_result_against_a_plain_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 3000")
+    model = lang.train(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = lang.predict(docs, model).collect()
+    assert len(got) == len(texts) > 100
+    for r in got:
+        want = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-6, r.doc_id
+
+
 def test_training_in_tasks_is_the_plain_one(spark):
     rows = [(i, t, k) for i, (t, k) in enumerate([("the cat, the hat é", "en"), ("кот Сидел 12", "ru"), ("le chat et la", "fr"), ("the end of it", "en"), (None, "de"), ("x", None)])]
     df = spark.createDataFrame([(i, t, k) for i, t, k in rows for i in [next(j for j in range(1000 * i, 1000 * i + 99) if zlib.crc32(str(j).encode()) % lang.FOLDS)]], "doc_id long, text string, lang string")
