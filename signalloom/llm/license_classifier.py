@@ -34,7 +34,10 @@ REACH = 40
 #: Words that open a segment, in lower case: a word that has one of the first in it,
 #: or two words in a row. Every template has some, none further than ``REACH`` from the next.
 CUES = ("licen", "copyright", "warrant", "permission", "redistribut", "gpl", "spdx", "proprietary", "unauthori", "cc0")
-PAIRS = (("public", "domain"), ("creative", "commons"), ("rights", "reserved"), ("cc", "by"))
+PAIRS = (
+    ("public", "domain"), ("creative", "commons"), ("rights", "reserved"), ("cc", "by"),
+    ("under", "mit"), ("under", "apache"), ("under", "bsd"), ("under", "mpl"), ("under", "isc"), ("mit", "or"), ("or", "mit"), ("apache", "2"), ("bsd", "3"), ("bsd", "2"), ("mpl", "2"),
+)
 
 #: Notices and names by licence family.
 TEMPLATES = {
@@ -173,6 +176,28 @@ OTHER_TEXTS = (
     "The apache tribe asked for permission to cross the land.",
 )
 
+#: Short names by family, and those of families that are not told apart here.
+NAMES = {
+    "MIT": ("MIT",),
+    "Apache-2.0": ("Apache 2.0", "Apache-2.0", "Apache License 2.0", "Apache License v2.0", "Apache v2", "ASL 2.0"),
+    "GPL": ("GPL", "GNU GPL", "GPLv2", "GPLv3", "GPL v2", "GPL v3", "GPL 2.0", "GPL 3.0", "GNU General Public License v2", "GNU General Public License v3"),
+    "LGPL": ("LGPL", "GNU LGPL", "LGPLv2.1", "LGPLv3", "LGPL 2.1", "LGPL 3.0", "LGPL v3", "GNU Lesser General Public License v3"),
+    "AGPL": ("AGPL", "GNU AGPL", "AGPLv3", "AGPL 3.0", "AGPL v3", "GNU Affero General Public License v3"),
+    "BSD": ("BSD", "new BSD", "modified BSD", "simplified BSD", "BSD 2-clause", "BSD 3-clause", "2-clause BSD", "3-clause BSD", "two-clause BSD", "three-clause BSD"),
+    "MPL": ("MPL", "MPL 2.0", "MPL-2.0", "MPL 1.1", "MPL v2", "Mozilla Public License 2.0"),
+    "ISC": ("ISC",),
+    "CC-BY": ("CC BY 4.0", "CC BY 3.0"),
+    "CC-BY-SA": ("CC BY-SA 4.0", "CC BY-SA 3.0"),
+    "CC-BY-NC": ("CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0"),
+    "public-domain": ("CC0", "CC0 1.0"),
+    UNKNOWN: ("EPL 2.0", "EUPL 1.2", "zlib", "Boost", "Artistic 2.0", "CDDL 1.0", "OFL 1.1", "MS-PL", "Elastic 2.0", "SSPL", "JSON", "beerware", "AFL 3.0", "example", "same", "following", "above"),
+}
+#: How a short notice says a name.
+FRAMES = (
+    "{} licensed", "{}-licensed code", "is licensed {}", "licensed under {}", "licensed under the {} license", "dual licensed {} or", "released under {}", "released under the {}", "released under the {} license",
+    "distributed under {}", "distributed under the {} license", "available under {}", "available under the {} license", "under the terms of the {} license", "under the {} licence", "the {} license", "license: {}", "license = {}", "{} or later",
+)
+
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
@@ -184,11 +209,22 @@ def grams(seq: list[str], least: int = 1) -> set[str]:
     return {" ".join(seq[i : i + n]) for n in range(least, GRAMS + 1) for i in range(len(seq) - n + 1)}
 
 
+def has_cue(text: str) -> bool:
+    seq = tokens(text)
+    return any(c in w for w in seq for c in CUES) or any(pair in PAIRS for pair in zip(seq, seq[1:]))
+
+
 def notices(family: str) -> list[str]:
     """A family's templates, SPDX lines included."""
     return [*TEMPLATES.get(family, ()), *(f"SPDX-License-Identifier: {x}" for x in SPDX.get(family, ()))]
 
 
+def short_notices(family: str) -> list[str]:
+    """Every name of the family in every frame: those with a cue word."""
+    made = (frame.format(name) for name in NAMES.get(family, ()) for frame in FRAMES)
+    return [t for t in made if has_cue(t)]
+
+
 def template_grams(text: str) -> set[str]:
     """The 3-grams of a template, or the whole of a shorter one."""
     seq = tokens(text)
@@ -199,12 +235,14 @@ def template_grams(text: str) -> set[str]:
 def own_grams() -> tuple[tuple[str, frozenset[str]], ...]:
     """(family, n-grams) of each template: those that are in no other family's and in no unknown
     text. A template without any confirms nothing."""
-    every = {f: set().union(*(grams(tokens(t)) for t in notices(f))) for f in TEMPLATES}
-    every[UNKNOWN] = set().union(*(grams(tokens(t)) for t in (*OTHER_TEXTS, *notices(UNKNOWN))))
-    out = []
+    every = {f: set().union(*(grams(tokens(t)) for t in (*notices(f), *short_notices(f)))) for f in TEMPLATES}
+    every[UNKNOWN] = set().union(*(grams(tokens(t)) for t in (*OTHER_TEXTS, *notices(UNKNOWN), *short_notices(UNKNOWN))))
+    out: dict[tuple[str, frozenset[str]], None] = {}
     for family in TEMPLATES:
         others = set().union(*(gs for f, gs in every.items() if f != family))
-        out += [(family, frozenset(own)) for t in notices(family) if (own := template_grams(t) - others)]
+        for t in (*notices(family), *short_notices(family)):
+            if own := template_grams(t) - others:
+                out[family, frozenset(own)] = None
     return tuple(out)
 
 
@@ -225,6 +263,13 @@ def examples(seed: int, copies: int) -> list[tuple[list[str], frozenset[str]]]:
     for _ in range(40 * copies):  # two notices in one segment
         (f, x), (g, y) = rng.sample(every, 2)
         out.append((varied(x) + varied(y), frozenset({f, g})))
+    short = [(f, tokens(t)) for f in NAMES for t in short_notices(f)]
+    for family, seq in short:
+        known = frozenset() if family == UNKNOWN else frozenset({family})
+        out += [(around() + seq + around(), known) for _ in range(2 if copies > 1 else 1)]
+    for _ in range(20 * copies):  # a choice of two licences
+        (f, x), (g, y) = rng.sample([(f, tokens(n)) for f, ns in NAMES.items() if f != UNKNOWN for n in ns], 2)
+        out.append((around() + rng.choice((["license"], ["licensed", "under"], ["dual", "licensed"])) + x + [rng.choice(("or", "and"))] + y + around(), frozenset({f, g})))
     for text in (*OTHER_TEXTS, *notices(UNKNOWN)):
         seq = tokens(text)
         out += [(seq, frozenset())] + [(varied(seq), frozenset()) for _ in range(2 * copies)]
@@ -265,7 +310,7 @@ def trained(rounds: int = 1000, rate: float = 2.0, l2: float = 1e-4) -> Model:
     for seq, _ in data:
         for g in grams(seq):
             counts[g] = counts.get(g, 0) + 1
-    known = set().union(*(grams(tokens(t)) for f in (*TEMPLATES, UNKNOWN) for t in notices(f)), *(grams(tokens(t)) for t in OTHER_TEXTS))
+    known = set().union(*(grams(tokens(t)) for f in (*TEMPLATES, UNKNOWN) for t in (*notices(f), *short_notices(f))), *(grams(tokens(t)) for t in OTHER_TEXTS))
     vocabulary = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n >= 4 and g in known))}
     classes = [*TEMPLATES, UNKNOWN]
     y, x = _targets(data, classes), _matrix(data, vocabulary)
@@ -327,12 +372,18 @@ def license_paragraphs(docs: DataFrame, model: Model | None = None, id_col: str
     sums = known.groupBy(*key).agg(*(F.coalesce(F.sum(F.col("w")[j]), F.lit(0.0)).alias(f"s{j}") for j in range(k)), F.flatten(F.collect_list("t")).alias("t"))
     chance = lambda j: 1 / (1 + F.exp(-(F.col(f"s{j}") + model.bias[j]) / model.temperature))
 
-    def contained(family: str) -> F.Column:
-        shares = [F.expr(f"size(filter(t, x -> x = {n}))") / len(own) for n, (f, own) in enumerate(templates) if f == family]
-        return F.greatest(*shares) if len(shares) > 1 else shares[0]
+    # how much of each template that is there at all, and to which family it belongs
+    owners = F.array(*(F.lit(model.classes.index(f)) for f, _ in templates))
+    sizes = F.array(*(F.lit(float(len(own))) for _, own in templates))
+    shares = F.transform(F.array_distinct("t"), lambda n: F.struct(F.get(owners, n).alias("owner"), (F.size(F.filter("t", lambda x: x == n)) / F.get(sizes, n)).alias("share")))
+    rated = sums.withColumn("shares", shares)
+
+    def contained(j: int) -> F.Column:
+        of_family = F.filter("shares", lambda x: x["owner"] == j)
+        return F.coalesce(F.array_max(F.transform(of_family, lambda x: x["share"])), F.lit(0.0))
 
-    entries = [F.struct(F.lit(c).alias("family"), F.round(chance(j), 6).alias("p"), F.round(contained(c), 6).alias("contained")) for j, c in enumerate(model.classes) if c != UNKNOWN]
-    scored = sums.select(*key, F.round(chance(model.classes.index(UNKNOWN)), 6).alias("unknown"), F.array(*entries).alias("e"))
+    entries = [F.struct(F.lit(c).alias("family"), F.round(chance(j), 6).alias("p"), F.round(contained(j), 6).alias("contained")) for j, c in enumerate(model.classes) if c != UNKNOWN]
+    scored = rated.select(*key, F.round(chance(model.classes.index(UNKNOWN)), 6).alias("unknown"), F.array(*entries).alias("e"))
     sure = F.filter("e", lambda x: (x["p"] >= LIKELY) & (x["p"] >= F.col("unknown")) & (x["contained"] >= CONTAINED))
     return scored.select(*key, "unknown", sure.alias("found"))
 

@@ -93,3 +93,51 @@ LATER_UNKNOWN = [
     "SPDX-License-Identifier: Elastic-2.0",
     "Licence to crenellate was granted by the king in 1340.",
 ]
+
+#: Short notices that were reported as missed; the names and frames were written with these in view.
+SHORT = [
+    ("MIT", "The code is MIT licensed."),
+    ("Apache-2.0", "Distributed under the Apache License 2.0; see LICENSE."),
+    ("BSD", "released under the new BSD license"),
+    ("GPL", "GPLv3 or later"),
+    ("LGPL", "Released under LGPL 2.1"),
+    ("MPL", "Code is under MPL-2.0."),
+    ("MIT,Apache-2.0", "license: MIT OR Apache-2.0"),
+]
+
+#: Written after names and frames were settled, before they were run on these.
+SHORT_LATER = [
+    ("MIT", "Copyright 2020 by the authors, MIT license."),
+    ("MIT", "Everything in this folder is provided under the MIT licence."),
+    ("Apache-2.0", "Apache 2.0 licensed, contributions welcome."),
+    ("Apache-2.0", "You may use the model weights under the Apache 2.0 license."),
+    ("GPL", "The plugin is GPLv2 or later, like the host program."),
+    ("GPL", "This tool is published under GNU GPL v3."),
+    ("LGPL", "The bindings are LGPLv3 licensed."),
+    ("LGPL", "Dynamic linking is fine under the terms of the LGPL license."),
+    ("AGPL", "The hosted version is available under AGPLv3."),
+    ("BSD", "Available under the 2-clause BSD license."),
+    ("BSD", "This port is under the modified BSD licence."),
+    ("MPL", "The extension is available under the MPL 2.0 license."),
+    ("ISC", "ISC licensed."),
+    ("CC-BY", "Text is licensed under CC BY 4.0."),
+    ("CC-BY-SA", "All photographs: CC BY-SA 4.0."),
+    ("CC-BY-NC", "The course notes are released under CC BY-NC 4.0."),
+    ("public-domain", "The data is released under CC0."),
+    ("MIT,GPL", "Dual licensed MIT or GPL."),
+    ("BSD,GPL", "You can choose: licensed under BSD 3-clause or GPL v2."),
+    ("proprietary", "Internal use only. All rights reserved."),
+]
+
+SHORT_UNKNOWN = [
+    "Released under the Zope Public License.",
+    "The dataset is available under the Open Database License.",
+    "Licensed under the EPL 2.0.",
+    "Distributed under the zlib license.",
+    "The car is licensed to carry four passengers.",
+    "He works at MIT or at Harvard, under licence from nobody.",
+    "The Apache helicopter was licensed for production abroad.",
+    "Under the terms of the same license, 2 0 copies were sold.",
+    "Wir fahren mit oder ohne Lizenz, license or not.",
+    "The later edition is licensed by the publisher.",
+]

@@ -269,6 +269,21 @@ def test_later_notices(spark):
     assert right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.7
 
 
+def test_short_notices(spark):
+    def counted(cases):
+        right = wrong = missed = 0
+        for want, got in zip([set(f.split(",")) - {""} for f, _ in cases], families(spark, [t for _, t in cases])):
+            for g in got:
+                right, wrong, missed = right + len(g & want), wrong + len(g - want), missed + len(want - g)
+        return right, wrong, missed
+
+    seen = counted(notices.SHORT)
+    later = counted([*notices.SHORT_LATER, *(("", t) for t in notices.SHORT_UNKNOWN)])
+    print("short licence notices: right, wrong, missed", seen, "written later", later)
+    assert seen[1] == 0 and seen[0] / (seen[0] + seen[2]) >= 0.9
+    assert later[0] / (later[0] + later[1]) >= 0.95 and later[0] / (later[0] + later[2]) >= 0.85
+
+
 def test_licenses_against_loops(spark):
     model, rng = lic.trained(), random.Random(2)
     texts = [" ".join(seq) for seq, _ in rng.sample(lic.examples(9, 1), 150)]
@@ -281,7 +296,7 @@ def test_licenses_against_loops(spark):
 def test_templates_lie_within_reach():
     """A segment around a template's cue words holds all of it."""
     for family in lic.TEMPLATES:
-        for text in lic.notices(family):
+        for text in (*lic.notices(family), *lic.short_notices(family)):
             seq = lic.tokens(text)
             cues = [i for i, w in enumerate(seq) if any(c in w for c in lic.CUES) or tuple(seq[i : i + 2]) in lic.PAIRS]
             if not cues:  # the middle of a longer notice, whose cue words stand before
