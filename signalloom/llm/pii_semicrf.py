@@ -86,13 +86,17 @@ _AFTER = re.compile(r"[\w/-]")
 _GROUP = re.compile(r"[0-9]+")
 _SPELLED = re.compile(r"\b(?:[\w.+-]{1,40}(?: dot | ?\(dot\) ?| ?\[dot\] ?)){0,2}[\w.+-]{1,40}(?: at | ?\(at\) ?| ?\[at\] ?)[\w-]{1,40}(?:(?: dot | ?\(dot\) ?| ?\[dot\] ?|\.)[\w-]{1,20}){1,3}")
 _TITLE = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.? (?:(?:[A-Z][a-z]*['\u2019-])*[A-Z][A-Za-z]*\.?(?: (?:de|van|von|der|den|la|le|di|da) (?=[A-Z])| |(?![A-Za-z]))){1,4}")
+#: Words that a name without a title follows, and months.
+_NAMED = re.compile(r"\b(?:[Mm]y name is|[Nn]ame is|[Nn]ame:|I am|I'm|[Ss]igned by|[Ss]igned:|[Cc]ontact:|[Rr]egards,|[Ss]incerely,)\s{1,3}([A-Z][A-Za-z'\u2019-]*\.?(?: [A-Z][A-Za-z'\u2019-]*\.?){1,3})")
+_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec)"
+_DATE = re.compile(rf"\b(?:[0-9]{{1,2}}(?:st|nd|rd|th)? {_MONTH}\.?,? (?:19|20)[0-9]{{2}}|{_MONTH}\.? [0-9]{{1,2}}(?:st|nd|rd|th)?,? (?:19|20)[0-9]{{2}})\b")
 _NAME_WORD = re.compile(r"[A-Za-z]+(?:['\u2019-][A-Za-z]+)*")
 _STREET = re.compile(r"\b[0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard)\b")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 #: Words that announce a kind.
 CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "telephone", "ring", "text", "dial", "whatsapp"),
-    "id": ("ssn", "social", "security", "passport", "taxpayer", "tax", "insurance", "identity", "nin"),
+    "id": ("ssn", "social", "security", "passport", "taxpayer", "tax", "insurance", "identity", "nin", "nhs", "patient"),
     "birth": ("born", "birth", "dob", "birthday"),
     "other": ("order", "isbn", "version", "page", "pages", "price", "invoice", "serial", "issue", "vol", "between", "part", "chapter"),
 }
@@ -132,7 +136,8 @@ def islands(text: str) -> list[list[tuple[int, int, str]]]:
                     if a and text[a - 1] == "(" and ")" in text[a:b]:
                         a -= 1
                     if 6 <= n <= 15 and b - a <= WIDEST:
-                        every += [(a, b, kind) for kind in ("phone", "id", "birth")]
+                        every += [(a, b, kind) for kind in ("phone", "id", "birth")[: 3 if j - i == 2 or j == i else 2 if j - i < 4 else 1]]
+        every += [(m.start(), m.end(), "birth") for m in _DATE.finditer(text)]
         every += [(m.start(), m.end(), "address") for m in _STREET.finditer(text)]
         every += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text)]
     if "dot" in text or "(at)" in text or "[at]" in text:
@@ -141,6 +146,9 @@ def islands(text: str) -> list[list[tuple[int, int, str]]]:
         for m in _TITLE.finditer(text):
             ends = [m.start() + w.end() for w in _NAME_WORD.finditer(m.group())]
             every += [(m.start(), e, "name") for e in ends[1 : LONGEST + 1]]
+    for m in _NAMED.finditer(text):
+        ends = [m.start(1) + w.end() for w in _NAME_WORD.finditer(m.group(1))]
+        every += [(m.start(1), e, "name") for e in ends[1:LONGEST]]
     every.sort()
     out: list[list[tuple[int, int, str]]] = []
     end = -1
@@ -153,23 +161,54 @@ def islands(text: str) -> list[list[tuple[int, int, str]]]:
     return out
 
 
-def features(text: str, a: int, b: int, kind: str) -> list[str]:
-    """Features of a whole segment and what stands around it, each joined with its type."""
-    span = text[a:b]
+#: Characters on each side in which a run of numbers is looked at.
+BESIDE = 24
+_BEFORE, _BEHIND = re.compile(r"[0-9() ./,-]*\Z"), re.compile(r"[0-9() ./,-]*")
+
+
+def beside(text: str, a: int, b: int) -> tuple[str, str]:
+    """How many more numbers stand before and after a segment in one run: 0, 1, 2, 3 or more."""
+    return _numbers(text[max(0, a - BESIDE) : a], True), _numbers(text[b : b + BESIDE], False)
+
+
+@lru_cache(maxsize=4096)
+def _numbers(x: str, before: bool) -> str:
+    run = _BEFORE.search(x).group() if before else _BEHIND.match(x).group()
+    return str(min(len(_GROUP.findall(run)), 3))
+
+
+@lru_cache(maxsize=4096)
+def _facts(span: str, left: str, right: str) -> tuple[list[str], list[str], str, str]:
+    """Features of a segment that are the same for every type, its numbers, their shape and the cue."""
     digits = _GROUP.findall(span)
     shape = "-".join(str(len(g)) for g in digits[:6])
-    seps = "".join(sorted(set(re.sub(r"[\w]", "", span))))
-    words = [w.lower() for w in _WORD.findall(text[max(0, a - 32) : a])]
+    seps = "".join(sorted({c for c in span if not (c.isalnum() or c == "_")}))
+    words = [w.lower() for w in _WORD.findall(left)]
     cue = next((_CUE[w] for w in reversed(words[-4:]) if w in _CUE), "none")
     f = [f"digits={sum(map(len, digits))}", f"shape={shape}", f"seps={seps}", f"cue={cue}", f"groups={min(len(digits), 6)}", f"words={len(_WORD.findall(span))}"]
-    f.append(f"left={'d' if text[max(0, a - 2):a].strip()[-1:].isdigit() else 'o'}")
-    f.append(f"right={'d' if text[b:b + 2].strip()[:1].isdigit() else 'o'}")
+    f.append(f"left={'d' if left[-2:].strip()[-1:].isdigit() else 'o'}")
+    f.append(f"right={'d' if right.strip()[:1].isdigit() else 'o'}")
     f.append(f"shape+cue={shape}/{cue}")
+    return f, digits, shape, cue
+
+
+def features(text: str, a: int, b: int, kind: str) -> list[str]:
+    """Features of a whole segment and what stands around it, each joined with its type."""
+    span = text[a:b]
+    common, digits, shape, cue = _facts(span, text[max(0, a - 32) : a], text[b : b + 2])
+    f = list(common)
+    if kind in ("phone", "id", "birth"):
+        before, after = beside(text, a, b)
+        f += [f"before={before}", f"after={after}", f"beside+cue={max(before, after)}/{cue}"]
+    elif kind == "name":
+        f.append(f"title={bool(_TITLE.match(text, a))}")
     if kind == "id":
         f.append(f"valid={shape == '3-2-4' and digits[0] not in ('000', '666') and digits[0][0] != '9' and digits[1] != '00' and digits[2] != '0000'}")
     elif kind == "birth":
         day = [int(x) for x in digits[:3]] if len(digits) == 3 else [0, 0, 0]
-        f.append(f"valid={any(1 <= x <= 12 for x in day[:2]) and all(x for x in day) and any(1900 <= x <= 2030 for x in day)}")
+        spelled = bool(_DATE.fullmatch(span))
+        f.append(f"valid={spelled or (any(1 <= x <= 12 for x in day[:2]) and all(x for x in day) and any(1900 <= x <= 2030 for x in day))}")
+        f.append(f"spelled={spelled}/{cue}")
     elif kind == "iban":
         f.append(f"valid={mod97(span)}")
     elif kind == "email":
@@ -271,7 +310,13 @@ def examples(n: int = 2400, seed: int = 11) -> list[tuple[str, list[Span]]]:
     num = lambda k: "".join(rng.choices("0123456789", k=k))
     word = lambda: "".join(rng.choice(("ta", "lin", "or", "me", "sh", "an", "ver", "do")) for _ in range(rng.randint(1, 3)))
     name = lambda: word().capitalize()
-    birth = lambda: rng.choice((f"{rng.randint(1, 28)}/{rng.randint(1, 12)}/{rng.randint(1930, 2015)}", f"{rng.randint(1930, 2015)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"))
+    months = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December", "Jan", "Feb", "Aug", "Sept", "Oct", "Dec")
+    birth = lambda: rng.choice((f"{rng.randint(1, 28)}/{rng.randint(1, 12)}/{rng.randint(1930, 2015)}", f"{rng.randint(1930, 2015)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{rng.randint(1, 28)} {rng.choice(months)} {rng.randint(1930, 2015)}", f"{rng.choice(months)} {rng.randint(1, 28)}, {rng.randint(1930, 2015)}"))
+
+    def column() -> str:
+        """A row of a table: numbers of one shape, or of several."""
+        widths, sep = [rng.randint(1, 7) for _ in range(rng.choice((1, 1, 2, 3)))], rng.choice((" ", " ", "  ", " - ", ", "))
+        return sep.join(num(widths[k % len(widths)]) for k in range(rng.randint(4, 24)))
 
     def iban() -> str:
         body = num(rng.choice((14, 18)))
@@ -284,7 +329,7 @@ def examples(n: int = 2400, seed: int = 11) -> list[tuple[str, list[Span]]]:
         return f"{rng.randint(1, 665):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}"
 
     def phone() -> str:
-        return rng.choice((f"{num(3)}-{num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"07{num(3)} {num(6)}", f"0{num(3)} {num(6)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(2)}/{num(7)}"))
+        return rng.choice((f"{num(3)}-{num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"07{num(3)} {num(6)}", f"0{num(3)} {num(6)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(2)}/{num(7)}", f"00{num(2)} {num(2)} {num(rng.randint(5, 7))}", f"00{num(2)} {num(3)} {num(3)} {num(4)}"))
 
     def announced(kind: str, made: str) -> tuple[str, str]:
         before = {"phone": (*(f"{c}{x}" for c in CUES["phone"] for x in (" ", ": ", " me on ")), "reach us at "), "id": ("SSN ", "SSN: ", "social security number ")}[kind]
@@ -303,11 +348,11 @@ def examples(n: int = 2400, seed: int = 11) -> list[tuple[str, list[Span]]]:
 
     makers = {
         "phone": lambda: announced("phone", phone()),
-        "id": lambda: announced("id", ssn()) if rng.random() < 0.6 else (rng.choice(("passport no ", "passport number ", "passport ", "tax id ", "national insurance no ", "identity card ", "taxpayer number ")), num(rng.randint(8, 11))),
+        "id": lambda: announced("id", ssn()) if rng.random() < 0.5 else (rng.choice(("NHS number ", "NHS no. ", "patient number ")), rng.choice((f"{num(3)} {num(3)} {num(4)}", num(10)))) if rng.random() < 0.3 else (rng.choice(("passport no ", "passport number ", "passport ", "tax id ", "national insurance no ", "identity card ", "taxpayer number ")), num(rng.randint(8, 11))),
         "birth": lambda: (rng.choice(("born ", "born on ", "date of birth: ", "DOB ")), birth()),
         "iban": lambda: ("IBAN " if rng.random() < 0.5 else "", iban()),
         "email": lambda: ("", spelled()),
-        "name": lambda: ("", person()),
+        "name": lambda: ("", person()) if rng.random() < 0.7 else (rng.choice(("my name is ", "My name is ", "name: ", "I am ", "signed by ", "Signed: ", "Regards, ", "contact: ")), f"{name()} {rng.choice((name(), f'{name()}-{name()}', f'{name()[0]}. {name()}', f'Mc{name()}'))}"),
         "address": lambda: ("", f"{rng.randint(1, 999)} {name()} {rng.choice(('Street', 'Avenue', 'Road', 'Lane'))}"),
     }
     nobody = (
@@ -324,6 +369,9 @@ def examples(n: int = 2400, seed: int = 11) -> list[tuple[str, list[Span]]]:
         lambda: f"{rng.choice(('order', 'part', 'serial'))} {num(3)}-{num(2)}-{num(4)}",
         lambda: f"{num(3)} {num(3)} {num(4)}",
         lambda: f"ZZ{num(2)}{num(14)}",
+        column,
+        column,
+        lambda: f"name: {name()}",
     )
     out = []
     for _ in range(n):
