@@ -383,7 +383,32 @@ def search_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.text_works(spark, sf_dir).select("doc_id", texts.search_phrase(F.col("title")).alias("phrase"))
 
 
-@query()
+def _stem_sql(w: str) -> str:
+    low = f"lower({w})"
+    bare = f"left({low}, length({w}) - 3)"
+    return f"CASE WHEN length({w}) > 6 AND suffix({low}, 'ing') THEN CASE WHEN right({bare}, 1) = left(right({bare}, 2), 1) THEN left({bare}, length({w}) - 4) ELSE {bare} END WHEN length({w}) > 4 AND suffix({low}, 's') THEN left({low}, length({w}) - 1) ELSE {low} END"
+
+
+_WEIGHT_SQL = "CASE lower(w) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in texts.COMMON_WEIGHTS.items()) + " ELSE least(2.3, 1 + 0.15 * greatest(length(w) - 5, 0)) END"
+_TITLE_STOP = ", ".join(f"'{w}'" for w in texts.TITLE_STOPWORDS)
+_NO_ACRONYM = ", ".join(f"'{w}'" for w in texts.NO_ACRONYMS)
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, coalesce(string_split(text, chr(10))[1], '') AS title, coalesce(text, '') AS abstract FROM documents),
+p AS (SELECT doc_id, unnest(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9]*[^A-Za-z]*')) AS x, generate_subscripts(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9]*[^A-Za-z]*'), 1) - 1 AS i FROM d),
+h AS (SELECT doc_id, {_stem_sql("v")} AS stem, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(abstract, '[A-Za-z][A-Za-z0-9]*')) AS v FROM d) GROUP BY ALL),
+q AS (SELECT doc_id, x, i, regexp_extract(x, '^[A-Za-z][A-Za-z0-9]*') AS w, count(*) OVER (PARTITION BY doc_id) AS words FROM p),
+w AS (SELECT q.*, substr(x, length(w) + 1) AS rest, {_WEIGHT_SQL} AS weight, lower(w) NOT IN ({_TITLE_STOP}) AS plain, coalesce(h.n, 0) AS support FROM q LEFT JOIN h ON h.doc_id = q.doc_id AND h.stem = {_stem_sql("w")}),
+c AS (SELECT a.doc_id, a.i, a.w AS first, b.w AS second, a.weight + b.weight AS weight, least(a.support, b.support, {texts.MOST_SUPPORT}) * (a.weight + b.weight) + a.i / greatest(a.words, 1) AS score
+  FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.plain AND b.plain AND NOT regexp_matches(a.rest, '[.:;!?]') AND least(a.support, b.support) > 0),
+best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i DESC, first DESC, second DESC) = 1),
+acronym AS (SELECT doc_id, arg_min(w.w, w.i) AS w FROM w JOIN best b USING (doc_id) WHERE w.i < b.i AND lower(w.w) NOT IN ({_NO_ACRONYM}) AND length(w.w) <= {texts.ACRONYM_LETTERS} AND length(regexp_replace(w.w, '[^A-Z]', '', 'g')) >= 2 AND w.support > 0 GROUP BY doc_id),
+tail AS (SELECT doc_id, regexp_extract(string_agg(CASE WHEN w.i = b.i + 1 THEN w.rest ELSE w.x END, '' ORDER BY w.i), '(?i)(?:^|[^\pL\pN_])(?:in|for|on|with|towards?)\s+([A-Za-z][A-Za-z0-9]*)(?:$|[^\pL\pN_])', 1) AS term FROM w JOIN best b USING (doc_id) WHERE w.i > b.i GROUP BY doc_id),
+use AS (SELECT doc_id, any_value(term) AS w FROM tail JOIN w USING (doc_id) WHERE w.w = term AND w.plain AND w.support > 0 GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(acronym.w, use.w) IS NOT NULL THEN '"' || first || ' ' || second || '" AND ' || coalesce(acronym.w, use.w) WHEN best.weight >= {texts.LEAST_WEIGHT} THEN '"' || first || ' ' || second || '"' END AS thematic
+FROM d LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN acronym ON acronym.doc_id = d.doc_id LEFT JOIN use ON use.doc_id = d.doc_id
+""")
 def thematic_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.with_thematic_query(tables.text_works(spark, sf_dir), "title", "abstract_text").select("doc_id", "thematic")
 
