@@ -333,7 +333,9 @@ def _literal(spark: SparkSession, rows: list, kind: str) -> DataFrame:
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, at, first, words): the words within ``REACH`` of cue words in paragraphs
     that have some; ``at`` is the paragraph's number, ``first`` the place of the first word in it.
-    Segments that would overlap are one. Each text of a doc_id once."""
+    Segments that would overlap are one. Each text of a doc_id once. Null and empty texts and those
+    without a cue word have no segment; an empty table gives no rows. A paragraph's words are held
+    as one array, whatever its length."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     cue = "|".join([*CUES, *(f"{x}[^a-z0-9]+{y}" for x, y in PAIRS)])
     text = F.regexp_replace(F.translate(whole_text(text_col), upper, lower), "\r\n?", "\n")
@@ -354,7 +356,8 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def license_paragraphs(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, at, first, unknown, found) for each segment: the probability that no
-    family fits, and the families found as (family, p, contained)."""
+    family fits, and the families found as (family, p, contained). Texts without a segment, null and
+    empty ones among them, have no row."""
     model = model or trained()
     cut, key = segments(docs, id_col, text_col), ["doc_id", "text_hash", "at", "first"]
     each = [f"transform(filter(sequence(1, size(words)), i -> i <= size(words) - {n - 1}), i -> array_join(slice(words, i, {n}), ' '))" for n in range(1, GRAMS + 1)]

@@ -105,7 +105,11 @@ class PositionalIndex:
 
 
 def build_index(docs: DataFrame, items: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> PositionalIndex:
-    """Index docs; with ``items`` (from item_words) only what an exact search for them can use."""
+    """Index docs; with ``items`` (from item_words) only what an exact search for them can use.
+
+    Null, empty and word-less texts have no postings but keep their row; rows of one doc_id are told
+    apart by their text, repeated ones are indexed each, and an empty table gives an empty index.
+    A text's words are held at once: a hundred bytes or so for each."""
     vocabulary, shortest = None, None
     if items is not None:
         need = items.select(F.explode("words").alias("term"), F.least(F.size("words"), F.lit(window)).alias("n")).groupBy("term").agg(F.min("n").alias("n"))
@@ -176,7 +180,8 @@ def matches(index: PositionalIndex, items: DataFrame, window: int = WINDOW, slop
     Exact phrases by default. With ``slop`` or ``missing``, proximity matches: all but
     ``missing`` of a window's terms lie within ``slop`` words of where the occurrence of a
     rarest term puts them; such a search needs an index built without ``items``. ``small``:
-    the items' size was checked, so they are broadcast.
+    the items' size was checked, so they are broadcast. Items without words and documents without
+    any of the terms are in no row; an empty index or table of items gives none.
     """
     hint = F.broadcast if small else lambda x: x
     seeds = _seeds(index, items, window, missing + 1)
@@ -228,8 +233,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the contaminated ones; columns and repeats stay as they are. The keys of those
-    are written first: where they are few, their known size lets the planner broadcast them and
+    """docs without the contaminated ones; columns and repeats stay as they are. Null, empty and
+    word-less texts are never contaminated, a null doc_id is one like any other, and an empty table
+    stays one. The keys of those that go are written first: where they are few, their known size lets the planner broadcast them and
     leave the texts in place."""
     bad = contamination(docs, items, id_col, text_col, **options).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct()
     bad = materialise(bad.coalesce(8), "contaminated")

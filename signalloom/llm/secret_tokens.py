@@ -106,7 +106,9 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lim
 
 
 def redact(docs: DataFrame, text_col: str = "text", limit: float = LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
-    """docs with every secret in the text replaced by [SECRET]; all rows and columns stay."""
+    """docs with every secret in the text replaced by [SECRET]; all rows and columns stay, repeats
+    too. Null and empty texts stay as they are; an empty table stays one. A task holds one text and
+    its copy at a time, whatever its length."""
     return arrow_map(docs, masking_batches(_finder(limit, vocabulary), text_col, lambda _: "[SECRET]"), docs.schema)
 
 

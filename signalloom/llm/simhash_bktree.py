@@ -194,7 +194,8 @@ def shard_masks(n: int, radius: int) -> list[int]:
 
 def links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that span every group linked within
-    the radius. The wider it is, the more shards hold each fingerprint; 8 is the most allowed."""
+    the radius. The wider it is, the more shards hold each fingerprint; 8 is the most allowed.
+    Repeated fingerprints count once; null ones and an empty table have no edges."""
     if not 0 <= radius <= 8:
         raise ValueError("radius must be from 0 to 8")
     masks = shard_masks(fps.count(), radius)
