@@ -1,6 +1,8 @@
-"""A paged service as a table: a task for each few pages, filters on year and page pushed to it.
+"""A paged service as a table: a task for each few pages, tests on year and page answered by the source.
 
-``register`` makes the format "pages" known. A service is any class that can be imported where the
+The tests are an argument of ``read_pages``: with Spark's own pushing of filters to Python sources a
+frame's later queries can meet what an earlier one had pushed, and lose rows. ``register`` makes
+the format "pages" known. A service is any class that can be imported where the
 tasks run, named as "module:Class" with its arguments as JSON; see ``Service``. ``collect_pages``
 takes all pages into a committed table, some at a time: what is committed is never asked for
 again, so a run that was paused, or lost, goes on where the last commit ended.
@@ -11,13 +13,13 @@ from __future__ import annotations
 import importlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .committed import CommittedTable
 from .providers import Paused
@@ -28,6 +30,10 @@ SCHEMA = "year int, page int, place int, payload string"
 PAGES_PER_TASK = 4
 
 
+#: The tests that a source answers.
+HOLDS = {"=": lambda x, v: x == v, "in": lambda x, v: x in v, ">": lambda x, v: x > v, ">=": lambda x, v: x >= v, "<": lambda x, v: x < v, "<=": lambda x, v: x <= v}
+
+
 class Service(Protocol):
     def pages(self, year: int) -> int:
         """How many pages a year has, counted from 1."""
@@ -76,25 +82,15 @@ class Pages(InputPartition):
 
 
 class PagesReader(DataSourceReader):
-    """Options: service, arguments (JSON), years (JSON list), done (JSON: year to page numbers)."""
+    """Options: service, arguments (JSON), years (JSON list), done (JSON: year to page numbers), most
+    (pages), tests (JSON: see ``read_pages``)."""
 
     def __init__(self, options: dict) -> None:
         self.options = dict(options)
-        self.tests: list[tuple[str, str, object]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        kinds = {EqualTo: "eq", In: "in", GreaterThan: "gt", GreaterThanOrEqual: "ge", LessThan: "lt", LessThanOrEqual: "le"}
-        for f in filters:
-            if isinstance(f, IsNotNull) and f.attribute in (("year",), ("page",), ("place",)):
-                continue  # they never are
-            if type(f) in kinds and f.attribute in (("year",), ("page",)):
-                self.tests.append((f.attribute[0], kinds[type(f)], tuple(f.value) if isinstance(f, In) else f.value))
-            else:
-                yield f
+        self.tests = json.loads(self.options.get("tests", "[]"))
 
     def _asked(self, column: str, value: int) -> bool:
-        holds = {"eq": lambda v: value == v, "in": lambda v: value in v, "gt": lambda v: value > v, "ge": lambda v: value >= v, "lt": lambda v: value < v, "le": lambda v: value <= v}
-        return all(holds[kind](v) for c, kind, v in self.tests if c == column)
+        return all(HOLDS[kind](value, v) for c, kind, v in self.tests if c == column)
 
     def partitions(self) -> list[Pages]:
         service, done = service_of(self.options), json.loads(self.options.get("done", "{}"))
@@ -137,16 +133,20 @@ class PagesSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to the session and lets it push filters."""
+    """Makes the format known to the session."""
     ship(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagesSource)
 
 
-def read_pages(spark: SparkSession, service: str, arguments: dict, years: list[int], done: dict[int, list[int]] | None = None, most: int = 0) -> DataFrame:
-    """(year, page, place, payload): works as JSON, and for each page a row of place -1 without payload."""
+def read_pages(spark: SparkSession, service: str, arguments: dict, years: list[int], done: dict[int, list[int]] | None = None, most: int = 0, tests: Sequence[tuple[str, str, object]] = ()) -> DataFrame:
+    """(year, page, place, payload): works as JSON, and for each page a row of place -1 without payload.
+
+    ``tests`` are (column, sign, value) on year and page, with a sign of ``HOLDS``: pages that fail
+    one are never asked for. So aren't those of ``done``, nor more than ``most``."""
+    if any(c not in ("year", "page") or sign not in HOLDS for c, sign, _ in tests):
+        raise ValueError("tests are on year and page")
     register(spark)
-    options = {"service": service, "arguments": json.dumps(arguments), "years": json.dumps(years), "done": json.dumps({str(y): p for y, p in (done or {}).items()}), "most": str(most)}
+    options = {"service": service, "arguments": json.dumps(arguments), "years": json.dumps(years), "done": json.dumps({str(y): p for y, p in (done or {}).items()}), "most": str(most), "tests": json.dumps(list(tests))}
     return spark.read.format("pages").options(**options).load()
 
 

@@ -25,25 +25,24 @@ def folder(tmp_path):
     return str(tmp_path / "pages")
 
 
-def test_scan_and_pushed_filters(spark, folder):
-    pages = paged.read_pages(spark, NAME, {"folder": folder}, [2020, 2021, 2022, 2023])
+def test_scan_and_tests(spark, folder):
+    years = [2020, 2021, 2022, 2023]
+    pages = paged.read_pages(spark, NAME, {"folder": folder}, years)
     assert pages.where("place >= 0").count() == 50 and pages.where("place = -1").count() == 11
     assert pages.rdd.getNumPartitions() == 4  # of up to four pages each
-    some = pages.where("year >= 2021 and page in (1, 3) and place >= 0")
+    some = paged.read_pages(spark, NAME, {"folder": folder}, years, tests=[("year", ">=", 2021), ("page", "in", [1, 3])])
     assert sorted({(r.year, r.page) for r in some.collect()}) == [(2021, 1), (2021, 3), (2023, 1)]
     assert some.rdd.getNumPartitions() == 2
-    plan = some._jdf.queryExecution().executedPlan().toString()
-    left = plan.split("Filter", 1)[1].split("BatchScan")[0]
-    assert "place" in left and "year" not in left and "page" not in left
-    assert pages.where("year = 1999").count() == 0
-
-
-def test_filters_ask_for_nothing_else():
-    reader = paged.PagesReader({"service": NAME, "arguments": '{"folder": "/nowhere"}', "years": "[2020, 2021]"})
-    left = list(reader.pushFilters([paged.EqualTo(("year",), 2021), paged.LessThan(("page",), 3), paged.EqualTo(("payload",), "x")]))
-    assert [f.attribute for f in left] == [("payload",)]
-    assert reader._asked("year", 2021) and not reader._asked("year", 2020) and reader._asked("page", 2) and not reader._asked("page", 3)
-    assert reader.partitions() == [paged.Pages(0, [])]
+    assert paged.read_pages(spark, NAME, {"folder": folder}, years, tests=[("year", "=", 1999)]).count() == 0
+    with pytest.raises(ValueError):
+        paged.read_pages(spark, NAME, {"folder": folder}, years, tests=[("payload", "=", "x")])
+
+
+def test_a_query_leaves_the_next_one_alone(spark, folder):
+    """What one query filters is not missing from another over the same frame."""
+    pages = paged.read_pages(spark, NAME, {"folder": folder}, [2020, 2021, 2023])
+    assert pages.where("year = 2021").count() == 3 + 10
+    assert pages.count() == 61 and pages.where("payload is not null").count() == 50
 
 
 def test_resumed_collection_is_the_whole_one(spark, folder, tmp_path, monkeypatch):
