@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -76,10 +77,15 @@ def pieces(token: str) -> list[str]:
     return [token[a:b] for a, b in zip((0, *at), (*at, len(token)))] if at else [token]
 
 
+#: A character that may be a letter of another script than Latin.
+_BEYOND_LATIN = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u2070-\u209f\u20d0-\U0010ffff]")
+
+
 def words_of(text: str) -> list[str]:
     """The lower-cased words of a text: between white space, of one script each."""
-    tokens = text.lower().split()
-    if text.isascii():
+    low = text.lower()
+    tokens = low.split()
+    if not _BEYOND_LATIN.search(low):
         return tokens
     return [w for t in tokens for w in ((t,) if t.isascii() else pieces(t))]
 

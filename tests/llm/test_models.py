@@ -133,6 +133,10 @@ def test_scripts_and_spans():
 def test_words_of_several_scripts():
     assert lang.words_of("The-кот hello我们今天 ça va ภาษา 12-x")[:9] == ["the-", "кот", "hello", "我", "们", "今", "天", "ça", "va"]
     assert lang.pieces("the") == ["the"] and lang.cuts("a1b") == () and lang.cuts("-кот-the") == (5,)
+    # texts of Latin letters alone need no look at each word
+    for c in map(chr, range(0x3000)):
+        if not lang._BEYOND_LATIN.search(c) and c.isalpha():
+            assert lang.script(c) == "latin"
     model = lang.learn([("the cat sat on the mat and the hat hello there", "en"), ("кот сидел на ковре и смотрел", "ru"), ("我们今天去公园散步天气很好", "zh")])
     text = "hello我们今天去公园散步天气很好"
     assert [(text[a:b], k) for a, b, k in lang.text_spans(model, text)] == [("hello", "en"), ("我们今天去公园散步天气很好", "zh")]
