@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boosting, information, metrics, model, sampling, selection
+from ..operators import boosting, information, model, sampling, selection
 from ..sources import providers, scratch, tables, term_index
 from .features import build_features
 from .table_queries import _KEYWORDS, _REQUEST, _STOP, _TERMS, ORACLE_SQL as TABLE_SQL
