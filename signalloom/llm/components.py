@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import by_key, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's greater neighbours point at the least of its neighbourhood."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(by_key(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its lesser neighbours point at the least of those; edges have a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(by_key(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -30,7 +30,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the least node of its component.
 
     Nodes are longs. Each round is one aggregate and one join of (a, b) rows in each star step,
-    whose skewed keys AQE splits; no component meets in one task. Each round is written to the
+    whose skewed keys AQE splits; no component meets in one task and nothing is broadcast. Each round is written to the
     shared folder, so a lost executor repeats one round. Empty edges give an empty result;
     edges in either direction, repeated, null or from a node to itself are accepted.
     """

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, materialise, packed, quoted, utf8
+from .common import arrow_map, by_key, documents, materialise, packed, quoted, utf8
 from .components import components
 
 WORDS = 3
@@ -202,7 +202,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) ->
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     bands = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("band", "key"))
     sizes = bands.groupBy("band", "key").count().where("count > 1")
-    shared = bands.join(sizes, ["band", "key"]).withColumn("parts", F.expr(f"cast(ceil(count / {int(tree_nodes)}) as int)"))
+    shared = bands.join(by_key(sizes), ["band", "key"]).withColumn("parts", F.expr(f"cast(ceil(count / {int(tree_nodes)}) as int)"))
     blocks = (
         shared.withColumn("part", F.expr("cast(pmod(xxhash64(fp, 7), parts) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
@@ -229,11 +229,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = firsts.join(linked_fingerprints(fps, radius), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = firsts.join(by_key(linked_fingerprints(fps, radius)), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = materialise(roots, "roots")
-    least = roots.where("root = fp").select("root").join(roots.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    named = roots.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = roots.where("root = fp").select("root").join(by_key(roots.groupBy("root").agg(F.min("first").alias("component_id"))), "root")
+    named = roots.join(by_key(least), "root").select("fp", "component_id")
+    return fps.join(by_key(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Likeness of near copies: their distinct five-word shingles have at least 4/5 in common.
@@ -333,14 +333,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     roots = linked_fingerprints(fps, CANDIDATE_RADIUS)
     # one row for each text: its least document
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    texts = fps.groupBy("fp", "text_hash").agg(least).join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "text_hash", "first")
+    texts = fps.groupBy("fp", "text_hash").agg(least).join(by_key(roots), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "text_hash", "first")
     texts = materialise(texts.withColumn("node", F.xxhash64("text_hash", "first")), "texts")
     several = texts.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("parts"))
-    candidates = texts.join(several, "root").select("root", "node", "parts", *_key(F.col("first.doc_id"), F.col("text_hash")))
+    candidates = texts.join(by_key(several), "root").select("root", "node", "parts", *_key(F.col("first.doc_id"), F.col("text_hash")))
 
     key = ["id", "none", "hash"]
     keyed = packed(docs, x=F.struct(*_key(quoted(id_col).cast("long"), F.xxhash64(quoted(text_col)))), text=quoted(text_col)).select("row", "text", "x.*")
-    found = keyed.select("text", *key).join(candidates, key)
+    found = keyed.select("text", *key).join(by_key(candidates), key)
     blocks = (
         found.withColumn("part", F.expr("cast(pmod(xxhash64(node, 11), parts) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
@@ -349,11 +349,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dealt = blocks.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "node")
     groups = components(arrow_map(dealt, _verified_batches, "a long, b long").distinct())
 
-    named = texts.join(groups.withColumnRenamed("root", "of"), "node", "left").select(F.coalesce("of", "node").alias("of"), F.struct("first.none", "first.doc_id", "text_hash").alias("first"))
+    named = texts.join(by_key(groups.withColumnRenamed("root", "of")), "node", "left").select(F.coalesce("of", "node").alias("of"), F.struct("first.none", "first.doc_id", "text_hash").alias("first"))
     kept = named.groupBy("of").agg(F.min("first").alias("first")).select(*_key(F.col("first.doc_id"), F.col("first.text_hash")))
     # the join and the removal of equal rows share their keys, so the texts are exchanged once for both;
     # rows travel as one struct, so their columns may have any name
-    left = keyed.select("row", *key).join(kept, key, "left_semi")
+    left = keyed.select("row", *key).join(by_key(kept), key, "left_semi")
     return left.groupBy(*key).agg(F.first("row").alias("row")).select("row.*")
 
 

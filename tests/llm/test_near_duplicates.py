@@ -231,3 +231,12 @@ def test_chunks_of_shingles(monkeypatch):
     assert want[:2] == (plain_fingerprint(text), plain_word_fingerprint(text)) and len(want[2]) == len(plain_set(text))
     monkeypatch.setattr(s, "_CHUNK", 7)
     assert (s.fingerprint(text.encode()), s.fingerprint(text.encode(), 1, True), s.shingle_set(text.encode()).tolist()) == want
+
+
+def test_growing_tables_are_not_broadcast(spark, tmp_path):
+    """Whatever looks small to the planner: the driver would hold it whole."""
+    spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long").write.parquet(f"{tmp_path}/edges")
+    spark.createDataFrame([(i, "one two three four five six " + "x" * (i % 3)) for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    edges, docs = spark.read.parquet(f"{tmp_path}/edges"), spark.read.parquet(f"{tmp_path}/docs")
+    for df in (s.links(edges.select(F.col("a").alias("fp"))), components._large_star(edges), components._small_star(edges), s.near_duplicates(docs), s.one_of_each(docs)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
