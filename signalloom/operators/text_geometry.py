@@ -16,13 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import as_year
-from ..sources.scratch import ship
+from ..sources.scratch import materialise, ship
 from .history import history_rows
 from .labels import expanding_outliers
 
@@ -53,7 +52,8 @@ def hashed_vectors(works: DataFrame, text: str = "text", buckets: int = BUCKETS)
     found = works.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     for stage in (tokens, rest, counts, unit):
         found = stage.transform(found)
-    return found.withColumn("vector", sparse(vector_to_array("__unit"))).drop("__text", "__tokens", "__rest", "__counts", "__unit")
+    plain = F.unwrap_udt("__unit")  # sparse, its places ascending
+    return found.withColumn("vector", F.struct(plain["indices"].alias("i"), plain["values"].alias("x"))).drop("__text", "__tokens", "__rest", "__counts", "__unit")
 
 
 def _entries(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,5 +251,6 @@ def text_geometry(works: DataFrame, is_history: Column | None = None) -> DataFra
         (F.col("history") & F.col("topic_id").isNotNull()).alias("history"),
         F.col("parts").isNotNull().alias("placed"),
     )
+    found = materialise(found, "geometry")  # read for the thresholds and for the rows
     marked = expanding_outliers(found, "novelty_raw", 0.95, "is_outlier_cluster", F.col("history"))
     return marked.withColumn("is_outlier_cluster", F.when(F.col("placed"), F.col("is_outlier_cluster")).otherwise(0)).drop("history", "placed")

@@ -487,7 +487,9 @@ def split_aware_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def text_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = tables.text_works(spark, sf_dir).withColumn("text", texts.title_and_abstract(F.col("title"), F.col("abstract_text")))
-    found = text_geometry.text_geometry(text_geometry.hashed_vectors(works))
+    # texts are hashed once; all else reads the vectors
+    hashed = scratch.materialise(text_geometry.hashed_vectors(works).select("doc_id", "topic_id", "pub_year", "vector"), "hashed")
+    found = text_geometry.text_geometry(hashed)
     return rounded(found, "novelty_raw", "topic_centroid_similarity", "cluster_density", "nearest_topic_similarity", "cross_topic_gap")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions import texts
 from signalloom.operators import citations, evidence, history, labels, metrics, model, quality, ranks, sampling, selection, text_geometry
+from signalloom.plans import table_queries
 from signalloom.plans.features import build_features, score_and_select
 from signalloom.sources import providers, sinks, tables
 from signalloom.streaming import counts as stream
@@ -552,3 +553,12 @@ def test_select_end_to_end(spark):
     articles = works.select("doc_id", F.concat(F.lit("title "), "doc_id").alias("title"), F.lit("text").alias("abstract"), F.lit("article").alias("work_type"), F.array(*(F.when(F.col("doc_id") % 20 == i, 1.0).otherwise(0.0) for i in range(20))).alias("vector"))
     got = score_and_select(features.where("pub_year > 1997"), fitted, articles, limit=5).collect()
     assert len(got) == 5 and all(r.shap_values for r in got)
+
+
+def test_text_novelty_hashes_each_text_once(spark, sf_dir):
+    """What it returns reads what was hashed, never the texts again; vectors never become dense."""
+    assert not any("documents" in f for f in table_queries.text_novelty(spark, sf_dir).inputFiles())
+    rows = text_geometry.hashed_vectors(spark.createDataFrame([(1, "Deep nets, deep seas"), (2, "the"), (3, None)], "doc_id long, text string"))
+    assert "vector_to_array" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: (r.vector.i, [round(x, 9) for x in r.vector.x]) for r in rows.collect()}
+    assert got[2] == got[3] == ([], []) and sorted(got[1][1]) == [0.40824829, 0.40824829, 0.816496581] and got[1][0] == sorted(got[1][0])
